@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tabulon.llm import bpe, fingerprints, jaccard, katz, mixing, store, topk
+from tabulon.llm import bpe, fingerprints, jaccard, katz, mixing, store, suffixes, topk
 
 
 def queries() -> dict:
-    found = [jaccard.op1_ngram_jaccard, store.op4_token_store, katz.op5_katz, mixing.op6_mix, topk.op7_topk, bpe.op8_bpe, fingerprints.op10_fingerprints]
+    found = [jaccard.op1_ngram_jaccard, suffixes.op3_suffix_dedup, store.op4_token_store, katz.op5_katz, mixing.op6_mix, topk.op7_topk, bpe.op8_bpe, fingerprints.op10_fingerprints]
     return {f.__name__: f for f in found}
 
 
