@@ -118,24 +118,8 @@ def codec(path: str, spec: str) -> Codec:
     return Codec(path, spec)
 
 
-def encode(docs: DataFrame, path: str, spec: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids (array of int) and decoded (binary) of every row's whole text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, spec)
-        for b in batches:
-            packed = [c.encode(t.as_py() or "") for t in b.column(1)]
-            ids = [np.frombuffer(p, "<i4") for p in packed]
-            offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype("i4")
-            flat = pa.array(np.concatenate(ids) if ids else np.empty(0, "i4"), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, flat), pa.array([c.decode(p) for p in packed], pa.binary())], names=["doc_id", "ids", "decoded"])
-
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
-
-
 def digests(docs: DataFrame, path: str, spec: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: digests of what encode gives, taken in the
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: digests of what encode_rows gives, taken in the
     same batch so that ids needn't travel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +137,23 @@ def digests(docs: DataFrame, path: str, spec: str) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encode_rows(docs: DataFrame, path: str, spec: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids and round_trip (whether decoding gives the text's bytes) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, spec)
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            packed = [c.encode(t) for t in texts]
+            right = [c.decode(p) == t.encode("utf-8", "surrogatepass") for p, t in zip(packed, texts, strict=True)]
+            offsets = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype("i4")
+            ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(offsets).astype("i8")), ids, pa.array(right)], names=["doc_id", "source", "n_tokens", "ids", "round_trip"])
+
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string")).mapInArrow(run, "doc_id long, source string, n_tokens long, ids array<int>, round_trip boolean")
+
+
 # --- the fold as Spark higher-order functions --------------------------------------------------------------
 
 BUCKETS, SLOTS, STEP_A, STEP_B = 32749, 1 << 18, 262139, 65519

@@ -33,7 +33,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 #: Slopes of the schedules, repeating by source: early, even, late.
 SLOPES = (0.8, 0.0, -0.8)
-ROUNDS = 64
+BROADCAST_ROWS = 1_000_000  # plans of at most this many rows (32 MB) are sent to all executors
 
 
 def source_targets(sizes: DataFrame, share: float, most: float, weights: tuple[float, ...], slopes: tuple[float, ...]) -> DataFrame:
@@ -70,13 +70,13 @@ def demand_time(place: Column, target: Column, slope: Column) -> Column:
 
 def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, keep: list[str] | None = None) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken, copies, position (0 to 1, null where none is
-    taken) and the columns in keep."""
+    taken) and the columns in keep, which should be small: they are shuffled with the sizes."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")]
     rows = docs.select(*cols, *(F.col(c).alias(f"keep_{c}") for c in keep or []))
     rows = rows.withColumn("h", F.xxhash64(F.lit("mix"), "doc_id")).withColumn("block", F.pmod(F.shiftrightunsigned("h", 20), F.lit(2 * parts)).cast("int"))
-    rows = Scratch(spark, "mix").write(rows, "sized") if not keep else rows
+    rows = Scratch(spark, "mix").write(rows, "sized")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights, slopes)
     placed = running_start(rows, ["h", "doc_id", "size"], "size", "block", "place", ["source"])
     joined = placed.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from tabulon.llm import bpe, fingerprints, jaccard, katz, mixing, store, suffixes, topk
+from tabulon.llm import bpe, fingerprints, jaccard, katz, licenses, mixing, quality, store, suffixes, topk
 
 
 def queries() -> dict:
-    found = [jaccard.op1_ngram_jaccard, suffixes.op3_suffix_dedup, store.op4_token_store, katz.op5_katz, mixing.op6_mix, topk.op7_topk, bpe.op8_bpe, fingerprints.op10_fingerprints]
+    found = [
+        jaccard.op1_ngram_jaccard,
+        quality.op2_quality,
+        suffixes.op3_suffix_dedup,
+        store.op4_token_store,
+        katz.op5_katz,
+        mixing.op6_mix,
+        topk.op7_topk,
+        bpe.op8_bpe,
+        licenses.op9_licenses,
+        fingerprints.op10_fingerprints,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where SQL can express the operator and is fast enough on whole tables."""
+    return {"op9_licenses": licenses.ORACLE}

@@ -518,5 +518,49 @@ def removed_digests(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_bytes", pick(F.col("n_bytes"), F.col("n_removed"), F.lit(0)).cast("long").alias("n_removed"), pick(F.lit(1), F.col("n_spans"), F.lit(0)).cast("long").alias("n_spans"), pick(F.lit(nothing), F.col("kept_sha256"), F.lower(F.hex("sha"))).alias("kept_sha256"))
 
 
+def cut_text(t: bytes, starts: list[int], ends: list[int]) -> bytes:
+    """The text without the whole characters that the spans cover."""
+    out, at = [], 0
+    for s, e in zip(starts, ends, strict=True):
+        while s < e and t[s] & 0xC0 == 0x80:
+            s += 1
+        while e > s and e < len(t) and t[e] & 0xC0 == 0x80:
+            e -= 1
+        out.append(t[at:s])
+        at = max(at, e)
+    out.append(t[at:])
+    return b"".join(out)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """documents with repeated strings cut out of the texts and n_chars as it is then; rows of which nothing is left go."""
+    known, spans = repeated_spans(docs, Scratch(docs.sparkSession, "suffixes"))
+    whole = known.where((~F.col("first")) & (F.col("n_bytes") >= SPAN)).select("doc_id", "tag", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n_bytes").alias("ends"))
+    cuts = spans.select("doc_id", "tag", "starts", "ends").unionByName(whole.distinct())
+    cuts = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "starts", "ends")).alias("cuts")).withColumnRenamed("doc_id", "id")
+    side = _side(cuts, F.aggregate("cuts", F.lit(0), lambda n, c: n + F.size(c["starts"]) * 16 + 40))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, texts, n_chars = [], [], []
+            for text, n, own in zip(b.column("text").to_pylist(), b.column("n_chars").to_pylist(), b.column("cuts").to_pylist(), strict=True):
+                t = encoded(text)
+                tag = tag_of(hashlib.sha256(t).digest()) if own else None
+                cut = next((c for c in own or [] if c["tag"] == tag), None)
+                left = cut_text(t, cut["starts"], cut["ends"]) if cut else t
+                keep.append(cut is None or bool(left))
+                if cut:
+                    text = left.decode("utf-8", "surrogatepass")
+                    n = len(text)
+                texts.append(text)
+                n_chars.append(n)
+            rows = pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), b.column("lang"), b.column("source"), pa.array(n_chars, pa.int64())], names=["doc_id", "text", "lang", "source", "n_chars"])
+            yield rows.filter(pa.array(keep, pa.bool_()))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
+    joined = rows.join(side, rows["doc_id"].eqNullSafe(F.col("id")), "left").select("doc_id", "text", "lang", "source", "n_chars", "cuts")
+    return joined.mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_digests(table(spark, sf_dir, "documents"))
