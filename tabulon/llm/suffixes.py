@@ -209,6 +209,7 @@ def _contexts(blocks: int):
     def flush(rows: list[tuple]) -> pa.RecordBatch:
         import zstandard
 
+        rows = list({(i, tag): (i, tag, t, f) for i, tag, t, f in rows}.values())
         texts = [t for _, _, t, _ in rows]
         doc, at, lo, hi, h = found_in(texts)
         each = np.bincount(doc, minlength=len(texts))
@@ -404,6 +405,9 @@ def _sorted_group(blocks: int):
         offset = np.cumsum(size) - size
         order = np.lexsort((m[4], m[2], m[1], m[0]))
         m, offset = m[:, order], offset[order]
+        if m.shape[1]:  # a row that is there twice is one document
+            once = np.append(True, (m[:3, 1:] != m[:3, :-1]).any(0) | (m[4, 1:] != m[4, :-1]))
+            m, offset = m[:, once], offset[once]
         start = np.flatnonzero(np.append(True, m[0, 1:] != m[0, :-1])) if m.shape[1] else np.empty(0, np.int64)
         count = np.diff(np.append(start, m.shape[1]))
         kept = np.flatnonzero(np.repeat(count, count) > 1)

@@ -1,0 +1,422 @@
+"""Each operator against a brute-force version, on rows that are null, empty, repeated, tied, long or clashing."""
+
+import hashlib
+import math
+import random
+import unicodedata
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import re
+
+from tabulon.llm import bpe, fingerprints, jaccard, katz, licenses, mixing, quality, store, suffixes, topk
+from tabulon.llm.util import Scratch
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, block int"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def made(seed: int = 1, n: int = 120) -> list[tuple]:
+    """Documents with copies, near copies, shared passages and odd texts; the last two columns clash with names used inside."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    passage = " ".join(rng.choice(words) for _ in range(60))
+    texts: list[str | None] = [None, "", " ", "\t\n", "one", "two words", "a b c", "x" * 5000, "ab " * 400, passage, "Licensed under the Apache License, Version 2.0.\nAll rights reserved.", "don't we'll\n\n  <|endoftext|>  x", "日本語 テスト 😀😀"]
+    base = [rng.choice(words) for _ in range(150)]
+    while len(texts) < n:
+        kind = rng.random()
+        if kind < 0.15:
+            texts.append(rng.choice(texts))
+        elif kind < 0.45:
+            near = list(base)
+            for _ in range(rng.randint(0, 6)):
+                near[rng.randrange(len(near))] = rng.choice(words).upper()
+            texts.append(" ".join(near))
+        else:
+            own = [rng.choice(words) for _ in range(rng.randint(1, 120))]
+            if rng.random() < 0.5:
+                own.insert(rng.randrange(len(own)), passage)
+            texts.append(rng.choice([" ", "\n", "  "]).join(own))
+    rows = [(i * 3, t, rng.choice(["en", "de", None]), rng.choice(["a", "b", "c", "d", None]), len(t or ""), "x", 1) for i, t in enumerate(texts)]
+    return rows + [rows[20], rows[0]]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return made()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOW))
+
+
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
+def test_jaccard(docs, rows, n, percent):
+    sets = {}
+    for i, t, *_ in rows:
+        w = words(t)
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+    parent = {i: i for i in sets}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = sorted((top(a), top(b)))
+                    parent[y] = x
+    expected = Counter((i, len(sets[i]), top(i)) for i, *_ in rows)
+    assert Counter(tuple(r) for r in jaccard.jaccard_components(docs, n, percent).collect()) == expected
+
+
+def test_jaccard_in_many_rounds(spark, monkeypatch):
+    """Chains and groups whose members link to some others only, with one place a round."""
+    monkeypatch.setattr(jaccard, "PLACES", 1)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for _ in range(60):
+        t = list(base)
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(80)] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    rows = [(i, t, None, None, 0, "", 0) for i, t in enumerate(texts)]
+    test_jaccard(spark.createDataFrame(rows, DOCS), rows, 4, 85)
+
+
+def test_suffixes(docs, rows):
+    first, out = set(), {}
+    for i, t in sorted({(r[0], (r[1] or "").encode()) for r in rows}):
+        mark = np.zeros(len(t) + 1, int)
+        for s in range(len(t) - 99):
+            if t[s : s + 100] in first:
+                mark[s] += 1
+                mark[s + 100] -= 1
+            first.add(t[s : s + 100])
+        gone = np.cumsum(mark)[:-1] > 0
+        spans = int((gone & ~np.append(False, gone[:-1])).sum()) if len(t) else 0
+        out[i] = (len(t), int(gone.sum()), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest())
+    got = suffixes.removed_digests(docs).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: tuple(r)[1:] for r in got} == out
+    assert sum(x[1] for x in out.values()) > 1000
+
+
+def test_suffix_sort():
+    """The merge sort against Python's, with ties in order."""
+    rng = np.random.default_rng(2)
+    rows = rng.integers(97, 99, (40, 168)).astype("u1")
+    rows[5:25] = rows[5]
+    rows[10:20, 130:] = 98
+    s = suffixes.Suffixes(rows)
+    segment = np.repeat([0, 1, 2], [25, 1, 14])
+    row, start = np.arange(40), np.full(40, 30)
+    order = s.sort(segment, row, start)
+    assert order.tolist() == sorted(range(40), key=lambda i: (segment[i], rows[i, 30:130].tobytes()))
+    assert s.shared(np.array([5]), np.array([0]), np.array([6]), np.array([0])).tolist() == [100]
+
+
+def test_cut_keeps_characters_whole():
+    t = "aé日b".encode()
+    assert suffixes.cut_text(t, [2], [5]).decode() == "aé日b"[:2] + "日b"
+    assert suffixes.cut_text(t, [1], [6]) == b"ab"
+
+
+@pytest.fixture(scope="module")
+def tokenizers():
+    return pytest.importorskip("public_tokenizers")
+
+
+def test_token_store(spark, docs, rows, tokenizers):
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    scratch = Scratch(spark, "test")
+    store.write_store(docs, path, 2, scratch)
+    got = {}
+    for r in store.read_store(spark, scratch).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["n_tokens"], r["ids_crc32"]))
+    at, expected = 0, {}
+    for i, text, *_ in sorted(rows, key=lambda r: r[0]):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        expected.setdefault(i, []).append((at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert {k: sorted(v) for k, v in got.items()} == expected
+
+
+def test_store_tells_damage(spark, tokenizers):
+    docs = spark.createDataFrame([(1, "some words", None, None, 0, "", 0)], DOCS)
+    scratch = Scratch(spark, "test")
+    store.write_store(docs, tokenizers.path("byte_bpe_50k.json"), 2, scratch)
+    from pyspark.sql import functions as F
+
+    bad = spark.read.parquet(scratch.path("objects")).withColumn("data", F.when(F.col("kind") == "chunk", F.concat(F.substring("data", 3, 10**6), F.substring("data", 1, 2))).otherwise(F.col("data")))
+    other = Scratch(spark, "test")
+    bad.write.partitionBy("kind").parquet(other.path("objects"))
+    spark.read.parquet(scratch.path("recipes")).write.parquet(other.path("recipes"))
+    with pytest.raises(Exception, match="match its key"):
+        store.read_store(spark, other).collect()
+
+
+def test_cut_points_and_crc():
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 50_000, 60_000).astype("<u4")
+    ends = store.cut_points(ids)
+    assert ends[-1] == len(ids) and (np.diff(ends, prepend=0) > 0).all() and np.diff(ends, prepend=0).max() <= store.MOST
+    assert set(store.cut_points(np.concatenate([ids[:777], ids]))[5:]) >= {e + 777 for e in ends[5:].tolist()}
+    parts = np.split(ids, ends[:-1])
+    after = 4 * (len(ids) - ends)
+    shifted = store.crc_shifted(np.array([zlib.crc32(p.tobytes()) for p in parts]), after)
+    assert int(np.bitwise_xor.reduce(shifted)) == zlib.crc32(ids.tobytes())
+
+
+def test_katz(docs, rows):
+    def check(frame, given):
+        texts = [(i, [*words(t), None], katz.held_out(i)) for i, t, *_ in given]
+        u, pairs, heads = Counter(), Counter(), Counter()
+        for _, t, held in texts:
+            if not held:
+                u.update(t)
+                pairs.update(zip(["<s>", *t], t, strict=False))
+                heads.update(["<s>", *t[:-1]])
+        n, k = sum(u.values()), katz.K
+        coc = lambda c: [Counter(c.values())[r] for r in range(1, k + 2)]
+        p1 = katz.Unigrams(n, coc(u))
+        d = katz.discounts(coc(pairs))
+        p = lambda w: float(p1(np.array([u[w]]))[0])
+        low = lambda c: c * (d[c] if c <= k else 1)
+        seen = defaultdict(list)
+        for (h, w), c in pairs.items():
+            seen[h].append((w, c))
+        alpha = {h: (1 - sum(low(c) for _, c in x) / (heads[h] + katz.PSEUDO)) / (1 - sum(p(w) for w, _ in x)) for h, x in seen.items()}
+        for h in list(seen)[:25]:  # sums to one over the types and the unknown word
+            all_of = sum(low(pairs[h, w]) / (heads[h] + katz.PSEUDO) if pairs[h, w] else alpha[h] * p(w) for w in u) + alpha[h] * p("not a word")
+            assert all_of == pytest.approx(1)
+        expected = []
+        for i, t, held in texts:
+            base = sum(math.log10((u[w] + 1) / (n + len(u) + 1)) for w in t)
+            score = sum(math.log10(low(pairs[h, w]) / (heads[h] + katz.PSEUDO) if pairs[h, w] else alpha.get(h, 1) * p(w)) for h, w in zip(["<s>", *t], t, strict=False))
+            expected.append((i, held, len(t), sum(u[w] > 0 for w in t), n, pytest.approx(base, rel=1e-9, abs=1e-9), pytest.approx(score, rel=1e-9, abs=1e-9)))
+        key = lambda r: (r[0], r[2])
+        assert sorted((tuple(r) for r in katz.katz_scores(frame).collect()), key=key) == sorted(expected, key=key)
+
+    check(docs, rows)
+
+
+def test_mixing(docs, rows):
+    size = Counter()
+    for _, t, _, s, *_ in rows:
+        size[s] += len(WORD.findall(t or ""))
+    order = sorted((s for s in size if s is not None)) + ([None] if None in size else [])
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, free, left = {}, set(order), 1.5 * sum(size.values())
+    while free:
+        over = {s for s in free if left * weight[s] / sum(weight[x] for x in free) > 2 * size[s]}
+        if not over:
+            target |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+            break
+        target |= {s: 2.0 * size[s] for s in over}
+        left -= sum(2 * size[s] for s in over)
+        free -= over
+    got = mixing.mix(docs, keep=["source"]).collect()
+    again = mixing.mix(docs.repartition(7), keep=["source"]).collect()
+    assert Counter((r["doc_id"], r["taken"]) for r in got) == Counter((r["doc_id"], r["taken"]) for r in again)
+    assert len(got) == len(rows)
+    taken = Counter()
+    for r in got:
+        assert r["target"] == pytest.approx(target[r["source"]]) and r["source_size"] == size[r["source"]]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        assert r["position"] is None or 0 <= r["position"] <= 1
+        taken[r["source"]] += r["taken"]
+    for s in order:
+        assert taken[s] == math.floor(target[s] + 1e-6)
+
+
+def test_demand_is_inverted(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(t / 20, s) for t in range(21) for s in (-0.8, 0.0, 0.8)], "t double, s double")
+    place = F.lit(70.0) * (F.col("t") + F.col("s") * F.col("t") * (1 - F.col("t")))
+    for r in df.select("t", mixing.demand_time(place, F.lit(70.0), F.col("s")).alias("x")).collect():
+        assert r["x"] == pytest.approx(r["t"], abs=1e-9)
+
+
+def test_topk(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+    rng = random.Random(5)
+    vectors = [(i, [rng.uniform(-1, 1) for _ in range(10)], 0) for i in range(0, 400, 5)]
+    vectors += [(1000, None, 0), (1001, [], 0), (1050, [float("nan")] * 10, 0), (1051, [None, 1.0], 0), (1100, [0.5] * 4, 0), (1101, [0.5] * 10, 0), (1102, [0.5] * 10, 0), (1103, [0.5] * 10, 0), (1103, [0.5] * 10, 0), (1150, [float("inf")], 0)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").repartition(4)
+    whole = [(i, [math.floor(256 * np.float64(np.float32(x))) for x in v]) for i, v, _ in vectors if v and all(x is not None and math.isfinite(x) for x in v)]
+    expected = []
+    for q, a in whole:
+        if q % 50 == 0:
+            best = sorted(((sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in whole if i != q), key=lambda s: (-s[0], s[1]))[:5]
+            expected += [(q, k + 1, i, s) for k, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in topk.top_k(df, 5, 50).collect()) == sorted(expected)
+
+
+def test_bpe(docs, rows, tokenizers):
+    import base64
+
+    import tiktoken
+
+    path = tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    parts = ["a", "b", " ", "  ", "\n", "\t", "'", "'s", "'ll", "1", "$", "é", "ß", " ", "　", "\x1c", "\x85", "日", "😀", ".", " .", ",", "-", "_", "́"]
+    odd = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    c = bpe.codec(path, tokenizers.PATTERN)
+    for t in odd:
+        assert np.frombuffer(c.encode(t), "<u4").tolist() == enc.encode_ordinary(t), repr(t)
+        assert c.decode(c.encode(t)) == t.encode()
+    expected = Counter()
+    for i, t, *_ in rows:
+        ids = enc.encode_ordinary(t or "")
+        expected[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
+    assert Counter(tuple(r) for r in bpe.digests(docs, path, tokenizers.PATTERN).collect()) == expected
+    assert all(r["round_trip"] for r in bpe.encode_rows(docs, path, tokenizers.PATTERN).collect())
+
+
+def test_bpe_folds_agree(spark, tokenizers):
+    """The higher-order fold, the fold in Python and the heap give the same ids."""
+    path = tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.load_ranks(path)
+    some = [b"", b"a", b" the", b" understanding", b"aaaaaaaaaaaaa", "日本語".encode(), b"\xff\xfe", b" thonatthinwh"]
+    got = spark.createDataFrame([(some,)], "w array<binary>").select(bpe.fold_words("w", path).alias("x")).first()["x"]
+    assert got == [bpe.fold_word(w, ranks) if w else [] for w in some] == [bpe.fold_long(w, ranks) for w in some]
+
+
+def test_licenses(spark, docs, rows):
+    import duckdb
+    import pandas as pd
+
+    extra = [
+        (9001, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial\nportions of the Software."),
+        (9002, "text. Released under the MIT License. more\nLicensed under CC BY-NC 4.0."),
+        (9003, "licensed under nothing known"),
+    ]
+    df = docs.unionByName(spark.createDataFrame([(i, t, None, None, 0, "", 0) for i, t in extra], DOCS))
+    got = Counter(tuple(r) for r in licenses.scan(df).collect())
+    documents = pd.DataFrame([(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()], columns=["doc_id", "text"])  # noqa: F841
+    c = duckdb.connect()
+    c.register("documents", documents)
+    assert Counter(c.execute(licenses.ORACLE).fetchall()) == got
+    by_id = {r[0]: r for r in got}
+    assert by_id[9001][3] == "MIT" and by_id[9002][3] == "CC-BY-NC-4.0 MIT" and by_id[9003][3] == "" and by_id[30][3] == "All-Rights-Reserved Apache-2.0"
+
+
+def canon(text):
+    return re.sub(r"[\s  -     　 ]+", " ", unicodedata.normalize("NFKC", text or "").lower()).strip(" ")
+
+
+def test_fingerprints(spark, tmp_path, rows):
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path)
+    more = [(7001, "Café ﬁne"), (7002, "  café  FINE\n"), (7003, "café fin")]
+    given = rows[:-2] + [(i, t, None, None, 0, "", 0) for i, t in more]
+    spark.createDataFrame(given, DOCS).repartition(3).write.parquet(f"{path}/documents.parquet")
+    got = {r["doc_id"]: r for r in fingerprints.op10_fingerprints(spark, path).collect()}
+    order = sorted(given, key=lambda r: r[0])
+    assert len(got) == len(given)
+    group = defaultdict(list)
+    for i, t, *_ in given:
+        group[canon(t)].append(i)
+    for k, (i, t, *_) in enumerate(order):
+        t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["near_edited"], r["near_next"]) == (float(canon(t) == canon(edited)), float(canon(t) == canon(nxt)))
+        assert (r["group_id"], r["group_size"]) == (min(group[canon(t)]), len(group[canon(t)]))
+    prints = defaultdict(set)
+    for i, t, *_ in given:
+        prints[canon(t)].add(got[i]["fingerprint"])
+    assert all(len(x) == 1 for x in prints.values()) and len(set.union(*prints.values())) == len(prints)
+    assert got[7001]["fingerprint"] == got[7002]["fingerprint"] != got[7003]["fingerprint"]
+    plan = fingerprints.with_next(spark.read.parquet(f"{path}/documents.parquet"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert spark.range(1).select(fingerprints.fingerprint(F.lit("")).alias("x")).first()["x"] == got[0]["fingerprint"]
+
+
+def test_quality(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels)
+    got = {r["doc_id"]: r for r in quality.scored(docs, model).collect()}
+    assert len(got) == docs.count()
+    known = [(r["doc_id"], r["quality"]) for r in labels.collect()]
+    right = sum(got[i]["kept"] == (q == 1) for i, q in known if i in got)
+    assert right >= 0.9 * len(known)
+
+
+def test_quality_on_held_out_rows(spark):
+    """Accuracy on labelled rows that the model hasn't seen."""
+    big = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    model = quality.fit(docs, labels.where("doc_id % 3 <> 0"))
+    got = {r["doc_id"]: r["kept"] for r in quality.scored(docs, model).collect()}
+    known = [(r["doc_id"], r["quality"]) for r in labels.where("doc_id % 3 = 0").collect()]
+    good = [got[i] for i, q in known if q == 1]
+    bad = [not got[i] for i, q in known if q == 0]
+    assert sum(good) >= 0.95 * len(good) and sum(bad) >= 0.8 * len(bad)
+
+
+def test_quality_without_two_kinds(spark, docs, rows):
+    labels = spark.createDataFrame([(0, 1, 0), (None, 0, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    assert model is None
+    assert all(r["kept"] and r["score"] == 1.0 for r in quality.scored(docs, model).collect())
+
+
+def test_empty_tables(spark, empty, tmp_path, tokenizers):
+    path, spec = tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN
+    assert jaccard.jaccard_components(empty, 4, 85).count() == 0
+    assert suffixes.removed_digests(empty).count() == 0
+    assert katz.katz_scores(empty).count() == 0
+    assert mixing.mix(empty).count() == 0
+    assert bpe.digests(empty, path, spec).count() == 0
+    assert licenses.scan(empty).count() == 0
+    scratch = Scratch(spark, "test")
+    store.write_store(empty, tokenizers.path("byte_bpe_50k.json"), 2, scratch)
+    assert store.read_store(spark, scratch).count() == 0
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert fingerprints.op10_fingerprints(spark, str(tmp_path)).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.scored(empty, quality.fit(empty, labels)).count() == 0
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert topk.top_k(none, 5, 50).count() == 0
+
+
+def test_null_ids(spark):
+    rows = [(None, "some words of a text that is long enough " * 4, None, None, None, "", 0), (None, None, None, None, None, "", 0), (1, "some words of a text that is long enough " * 4, None, None, None, "", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    assert Counter(r["component_id"] for r in jaccard.jaccard_components(df, 4, 85).collect()) == {None: 2, 1: 1}
+    assert len(suffixes.removed_digests(df).collect()) == 3
+    assert len(katz.katz_scores(df).collect()) == 3
+    assert len(mixing.mix(df).collect()) == 3
+    assert len(licenses.scan(df).collect()) == 3
+    assert len(quality.scored(df, None).collect()) == 3
