@@ -37,10 +37,12 @@ def bm25(docs: DataFrame, id_col: str, weights: dict[str, float], query: list[st
     shuffled; corpus statistics are one row."""
     wanted = sorted(set(query))
     fields = list(weights)
-    hit = lambda f: F.filter(tokens(F.coalesce(f, F.lit(""))), lambda t: t.isin(*wanted))
-    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), hit(F.col(f)).alias("terms")) for f in fields)))
-    size = reduce(lambda a, b: a + b, (F.size(tokens(F.coalesce(f, F.lit("")))) for f in fields))
-    rows = docs.select(F.col(id_col).alias("id"), size.alias("n_tokens"), *fields)
+    # tokens are made once, in a projection of their own; the rest reads the arrays
+    split = docs.select(F.col(id_col).alias("id"), *(tokens(F.coalesce(f, F.lit(""))).alias(f) for f in fields))
+    hit = lambda f: F.filter(F.col(f), lambda t: t.isin(*wanted))
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), hit(f).alias("terms")) for f in fields)))
+    size = reduce(lambda a, b: a + b, (F.size(f) for f in fields))
+    rows = split.select("id", size.alias("n_tokens"), *fields)
     stats = rows.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean"))
     weight = reduce(lambda w, f: w.when(F.col("field") == f, F.lit(weights[f])), fields[1:], F.when(F.col("field") == fields[0], F.lit(weights[fields[0]])))
     found = rows.select("id", "n_tokens", each.alias("e")).select("id", "n_tokens", "e.field", F.explode("e.terms").alias("term")).groupBy("id", "n_tokens", "term").agg(F.sum(weight).alias("f"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulon.operators import layers, search
 from tabulon.plans.registry import query
-from tabulon.sources.ledger import LEDGER_SQL, demo_ledger
+from tabulon.sources.ledger import LEDGER_SQL, Ledger, demo_ledger
 
 L = LEDGER_SQL
 
@@ -287,3 +287,51 @@ def inequality_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_mktsegment").alias("g"), F.col("c_acctbal").alias("v"))
     out = stats.gini(c, "g", "v").join(stats.theil(c, "g", "v"), "g")
     return out.select("g", F.round("gini", 6).alias("gini"), F.round("theil_index", 6).alias("theil_index"))
+
+
+@query()
+def retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole search for one request."""
+    from tabulon.operators import retrieve
+
+    asked = retrieve.Request(years=[1997, 1998], row_terms=["asia"], column_terms=["1998"], must=["region"], avoid=["segment"], mode="calendar", period="calendar", monthly=True)
+    made = demo_ledger(spark, sf_dir)
+    # the demonstration is derived anew for each use; a stored ledger would just be read
+    kept = Ledger(made.tables.persist(), made.rows.persist(), made.columns.persist(), made.cells.persist())
+    return retrieve.retrieve(kept, asked)
+
+
+_REQUESTS = [
+    ("q1", "v1", "Orders by region", "ASIA", "annual", [1997], None, "sum", "millions"),
+    ("q2", "v1", "Orders by region", "EUROPE", "multi_year_annual", [1996, 1997, 1998], None, "average", "thousands"),
+    ("q3", "v1", "Orders by region", "AFRICA", "monthly_all", [1998], None, "max", None),
+    ("q4", "v1", "Orders by region", "AMERICA", "specific_month", [1997], 6, "direct", None),
+    ("q5", "v1", "Orders by region", "NOWHERE", "annual", [1997], None, "sum", None),
+]
+
+
+@query(
+    L
+    + """, r(uid, hint, y0, y1, m, op, div, by_year) AS (VALUES ('q1', 'asia', 1997, 1997, NULL, 'sum', 1e6, true), ('q2', 'europe', 1996, 1998, NULL, 'average', 1e3, true), ('q3', 'africa', 1998, 1998, NULL, 'max', 1.0, false), ('q4', 'america', 1997, 1997, 6, 'direct', 1.0, false), ('q5', 'nowhere', 1997, 1997, NULL, 'sum', 1.0, true)),
+    v AS (SELECT r.*, f.data_year, f.data_month, f.numeric_value AS x FROM r LEFT JOIN (SELECT * FROM ranked WHERE vintage = 1 AND title = 'Orders by region') f ON lower(f.row_path) = hint AND data_year BETWEEN y0 AND y1 AND (m IS NULL OR data_month = m)),
+    s AS (SELECT uid, op, div, y0, y1, m, by_year, CASE WHEN by_year THEN data_year ELSE data_month END AS at, sum(x) AS x, count(x) AS n FROM v GROUP BY ALL),
+    w AS (SELECT uid, op, div, CASE WHEN by_year THEN y1 - y0 + 1 WHEN m IS NULL THEN 12 ELSE 1 END AS want, count(*) FILTER (n = CASE WHEN by_year THEN 12 ELSE 1 END) AS got, sum(x) FILTER (n = CASE WHEN by_year THEN 12 ELSE 1 END) AS sx, avg(x) FILTER (n = CASE WHEN by_year THEN 12 ELSE 1 END) AS ax, max(x) FILTER (n = CASE WHEN by_year THEN 12 ELSE 1 END) AS mx FROM s GROUP BY ALL)
+    SELECT uid, CASE WHEN got < 0.8 * want THEN 'incomplete' ELSE 'ok' END AS status, CASE WHEN got >= 0.8 * want THEN round(CASE op WHEN 'sum' THEN sx WHEN 'average' THEN ax ELSE mx END / div, 6) END AS value FROM w"""
+)
+def request_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All requests of a table in one job: cells, series, operation, unit."""
+    from tabulon.operators import requests
+
+    r = spark.createDataFrame(_REQUESTS, requests.REQUEST)
+    out = requests.answers(requests.series(requests.resolved(r, _facts(spark, sf_dir))))
+    return out.select("uid", "status", F.round("value", 6).alias("value"))
+
+
+@query("SELECT n_name, round(sum(c_acctbal), 2) / 1000 AS total FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1 ORDER BY n_name LIMIT 10")
+def guarded_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabulon.operators import guard
+
+    for t in ("nation", "customer"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    found = guard.run_sql(spark, "SELECT n_name, round(sum(c_acctbal), 2) AS s FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1 ORDER BY n_name LIMIT 10")
+    return found.select("n_name", guard.expression("s / 1000", {"s"}).alias("total"))
