@@ -44,7 +44,7 @@ def demo_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
     s = _sums(spark, sf_dir).withColumn("table_id", (F.col("issue") * 10 + F.col("seq")).cast("long"))
     title = F.concat(F.lower("title"), F.lit("||"))
     tables = s.select("table_id", "issue", "title", "seq").distinct().select(
-        F.col("table_id").alias("id"), F.format_string("bulletin_%04d_12.json", "issue").alias("file"), F.col("seq").alias("element_seq"), F.col("issue").alias("file_year"), F.lit(12).alias("file_month"), "title",
+        F.col("table_id").alias("id"), F.format_string("issue_%04d_12.json", "issue").alias("file"), F.col("seq").alias("element_seq"), F.col("issue").alias("file_year"), F.lit(12).alias("file_month"), "title",
         F.lit("dollars").alias("unit"), F.lit("calendar").alias("period"), F.lit("data").alias("table_kind"), F.substring(F.sha1(title), 1, 16).alias("signature"), F.lit(1).alias("parse_ok"),
     )
     from pyspark.sql import Window
@@ -79,7 +79,7 @@ sums AS (
   SELECT issue, 'Orders by segment', 2, c_mktsegment || ' > ' || r_name, r_name, y, m, CAST(sum(price) AS DOUBLE)
   FROM issued GROUP BY issue, c_mktsegment, r_name, y, m),
 keyed AS (SELECT *, CAST(issue * 10 + seq AS BIGINT) AS table_id FROM sums),
-tables AS (SELECT DISTINCT table_id AS id, printf('bulletin_%04d_12.json', issue) AS file, seq AS element_seq, issue AS file_year,
+tables AS (SELECT DISTINCT table_id AS id, printf('issue_%04d_12.json', issue) AS file, seq AS element_seq, issue AS file_year,
   12 AS file_month, title, 'dollars' AS unit, 'calendar' AS period, 'data' AS table_kind,
   substr(sha1(lower(title) || '||'), 1, 16) AS signature, 1 AS parse_ok FROM keyed),
 rws AS (SELECT table_id * 1000 + row_number() OVER (PARTITION BY table_id ORDER BY row_path) AS id, table_id,
