@@ -121,3 +121,13 @@ def fiscal_year(year: Column, month: Column) -> Column:
     late = F.when(month >= 10, year + 1).otherwise(year)
     at = year * 12 + month
     return F.when(at < 1976 * 12 + 7, early).when(at >= 1976 * 12 + 10, late)
+
+
+def bare_year(label: Column) -> Column:
+    """A row of a year as a whole: '1940', 'Fiscal year 1940', 'FY 1940'."""
+    return F.trim(label).rlike(r"^(\d{4}|(Fiscal year|FY|Fiscal)\s+\d{4}.*)$")
+
+
+def aggregate(label: Column) -> Column:
+    """A label of a total or a remainder."""
+    return F.lower(F.trim(label)).rlike(r"^(total|all other|grand total|subtotal|sub-total)\b|^other ")

@@ -76,3 +76,20 @@ def dated_months(labels: DataFrame) -> DataFrame:
     year = F.last(F.when(full != "", full.cast("int")), ignorenulls=True).over(in_run)
     december = F.sum(F.col("label").rlike(r"(^|-)Dec").cast("int")).over(_upto(["key", "g"], "pos", -1))
     return g.select("key", "pos", F.when(bare & year.isNotNull(), F.concat((year + F.coalesce(december, F.lit(0))).cast("string"), F.lit("-"), F.col("label"))).otherwise(F.col("label")).alias("label"))
+
+
+def title_months(columns: DataFrame, titles: DataFrame) -> DataFrame:
+    """Columns (table_id, col_index, year, month) whose years a title tells, such as 'January 1940 to March 1941': columns
+    with a month only take the title's months in order, until the first that doesn't fit."""
+    from tabulon.functions import labels
+
+    pattern = labels.MONTH[2:-2] + r"\.?,?\s+(1[89]\d{2}|20[0-3]\d)"
+    found = F.regexp_extract_all("title", F.lit(f"(?i)\\b{pattern}\\b"), F.lit(0))
+    at = lambda x: labels.year_of(x) * 12 + labels.month_of(x) - 1
+    span = titles.select("table_id", found.alias("f")).where(F.size("f") >= 2).select("table_id", at(F.get("f", F.lit(0))).alias("lo"), at(F.get("f", F.size("f") - 1)).alias("hi")).where("hi - lo between 1 and 24")
+    only = F.col("year").isNull() & F.col("month").isNotNull()
+    rows = columns.join(F.broadcast(span), "table_id", "left").withColumn("n", F.sum(only.cast("int")).over(_upto(["table_id"], "col_index")))
+    due = F.col("lo") + F.col("n") - 1
+    fits = F.coalesce(~only | ((due <= F.col("hi")) & (F.pmod(due, F.lit(12)) + 1 == F.col("month"))), F.lit(False))
+    kept = F.min(fits.cast("int")).over(_upto(["table_id"], "col_index")) == 1
+    return rows.select("table_id", "col_index", F.when(only & kept, F.floor(due / 12).cast("int")).otherwise(F.col("year")).alias("year"), "month")

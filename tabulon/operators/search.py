@@ -135,3 +135,11 @@ def soft_filter(df: DataFrame, cond: Column, k: int) -> DataFrame:
     need = max(min(k, 50), 10)
     enough = F.sum(cond.cast("int")).over(Window.partitionBy()) >= need
     return df.withColumn("_keep", cond | ~enough).where("_keep").drop("_keep")
+
+
+def without_aggregates(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Drops totals and remainders of each key, unless nothing else would be left."""
+    from tabulon.functions.labels import aggregate
+
+    plain = ~aggregate(F.col(label))
+    return df.withColumn("_some", F.max(plain).over(Window.partitionBy(key))).where(plain | ~F.col("_some")).drop("_some")

@@ -111,3 +111,15 @@ def test_soft_filter(spark):
 def test_quantile_and_box_cox(spark):
     assert stats.normal_quantile(0.95) == pytest.approx(1.6448536, abs=1e-6)
     assert spark.createDataFrame([(4.0,)], "v double").select(stats.box_cox(F.col("v"), 0.5)).first()[0] == pytest.approx(2.0)
+
+
+def test_title_months(spark):
+    titles = spark.createDataFrame([(1, "Receipts, November 1940 to February 1941"), (2, "Receipts in 1940")], "table_id int, title string")
+    cols = spark.createDataFrame([(1, 0, None, None), (1, 1, None, 11), (1, 2, None, 12), (1, 3, None, 1), (1, 4, None, 3), (1, 5, None, 2), (2, 1, None, 5)], "table_id int, col_index int, year int, month int")
+    got = {(r["table_id"], r["col_index"]): r["year"] for r in context.title_months(cols, titles).collect()}
+    assert got == {(1, 0): None, (1, 1): 1940, (1, 2): 1940, (1, 3): 1941, (1, 4): None, (1, 5): None, (2, 1): None}
+
+
+def test_without_aggregates(spark):
+    df = spark.createDataFrame([("a", "Total receipts"), ("a", "Customs"), ("a", "Other taxes"), ("b", "Total")], "k string, label string")
+    assert {(r["k"], r["label"]) for r in search.without_aggregates(df, "k", "label").collect()} == {("a", "Customs"), ("b", "Total")}
