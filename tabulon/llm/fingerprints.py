@@ -20,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.util import Scratch, block_of, blocks_for, range_bounds, table, text_or_empty
+from tabulon.llm.util import Scratch, block_of, blocks_for, range_bounds, release, table, text_or_empty
 
 SEEDS = (1, 2, 3, 4)
+BROADCAST_ROWS = 500_000  # fingerprints of at most this many groups (64 MB) are sent to all executors
 
 
 def canonical(text: Column) -> Column:
@@ -46,16 +47,23 @@ def grouped(hashed: DataFrame, docs: DataFrame) -> DataFrame:
     Buckets of two rows or more are compared: a bucket whose least and greatest canonical text are the same holds one
     text only, and both come from map-side aggregation, so a bucket of any size costs a task one row. Any other bucket
     (a collision of 256 bits) is told apart by the text itself: its fingerprints get the text's sha256 appended."""
+    scratch = Scratch(docs.sparkSession, "groups")
     counts = hashed.groupBy("fingerprint").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("group_id"))
+    counts = scratch.write(counts.where("group_size > 1"), "counts")
     canon = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical(F.col("text")).alias("canon")).withColumn("fingerprint", wide_hash(F.col("canon")))
-    many = counts.where("group_size > 1").select("fingerprint")
-    compared = canon.join(many, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("canon").alias("a"), F.max("canon").alias("b"))
-    mixed = compared.where(F.col("a") != F.col("b")).select("fingerprint")
-    clean = hashed.join(mixed, "fingerprint", "left_anti").join(counts, "fingerprint")
-    told = canon.join(mixed, "fingerprint", "left_semi").withColumn("sha", F.sha2("canon", 256))
+    many = counts.select("fingerprint")
+    side = F.broadcast(many) if many.count() <= BROADCAST_ROWS else many
+    compared = canon.join(side, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("canon").alias("a"), F.max("canon").alias("b"))
+    mixed = scratch.write(compared.where(F.col("a") != F.col("b")).select("fingerprint"), "mixed")
+    size, least = F.coalesce("group_size", F.lit(1)).alias("group_size"), F.coalesce("group_id", "doc_id").alias("group_id")
+    clean = hashed.join(counts, "fingerprint", "left").select(*hashed.columns, size, least)
+    if not mixed.limit(1).count():
+        return clean
+    told = canon.join(mixed, "fingerprint", "left_semi").withColumn("sha", F.sha2("canon", 256)).select("doc_id", "fingerprint", "sha")
     apart = told.groupBy("fingerprint", "sha").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("group_id"))
-    split = hashed.join(told.select("doc_id", "fingerprint", "sha").distinct(), ["doc_id", "fingerprint"]).join(apart, ["fingerprint", "sha"])
-    return clean.unionByName(split.withColumn("fingerprint", F.concat("fingerprint", "sha")).drop("sha"))
+    split = hashed.join(mixed, "fingerprint", "left_semi").join(told.distinct(), ["doc_id", "fingerprint"]).join(apart, ["fingerprint", "sha"])
+    split = split.withColumn("fingerprint", F.concat("fingerprint", "sha")).select(*clean.columns)
+    return clean.join(mixed, "fingerprint", "left_anti").select(*clean.columns).unionByName(split)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -85,4 +93,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashed = digests.select("doc_id", "n_chars", "edited_sha256", wide_hash(F.col("canon")).alias("fingerprint"), wide_hash(F.col("edited_canon")).alias("edited_fingerprint"), (F.col("canon") == F.col("edited_canon")).alias("same_edited"), (F.col("canon") == F.col("next_canon")).alias("same_next"), wide_hash(F.col("next_canon")).alias("next_fingerprint"))
     like = lambda other, same: F.when((F.col("fingerprint") == F.col(other)) & F.col(same), F.lit(1.0)).otherwise(F.lit(0.0))
     rows = hashed.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint", "same_edited").alias("near_edited"), like("next_fingerprint", "same_next").alias("near_next"))
-    return grouped(Scratch(spark, "op10").write(rows, "rows"), table(spark, sf_dir, "documents"))
+    rows = Scratch(spark, "op10").write(rows, "rows")
+    release(spark)
+    return grouped(rows, table(spark, sf_dir, "documents"))
