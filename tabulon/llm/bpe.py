@@ -103,8 +103,9 @@ class Codec:
 
     def __init__(self, path: str, spec: str):
         ranks = load_ranks(path)
-        self.encode: Callable[[str], bytes] = TextEncoder(lambda w: np.array(fold_word(w.encode("utf-8", "surrogatepass"), ranks), "<u4").tobytes(), spec)
-        self.pieces = [b""] * (max(ranks.values()) + 1)
+        packed = [i.to_bytes(4, "little") for i in range(max(ranks.values()) + 1)]
+        self.encode = TextEncoder(lambda w: b"".join([packed[i] for i in fold_word(w.encode("utf-8", "surrogatepass"), ranks)]), spec)
+        self.pieces = [b""] * len(packed)
         for token, i in ranks.items():
             self.pieces[i] = token
 
@@ -126,14 +127,13 @@ def digests(docs: DataFrame, path: str, spec: str) -> DataFrame:
         c = codec(path, spec)
         for b in batches:
             n, ids, back = [], [], []
-            for t in b.column(1):
-                packed = c.encode(t.as_py() or "")
+            for packed in c.encode.batch([t or "" for t in b.column(1).to_pylist()]):
                 n.append(len(packed) // 4)
                 ids.append(hashlib.sha256(packed).hexdigest())
                 back.append(hashlib.sha256(c.decode(packed)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 4096)
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -144,13 +144,13 @@ def encode_rows(docs: DataFrame, path: str, spec: str) -> DataFrame:
         c = codec(path, spec)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            packed = [c.encode(t) for t in texts]
+            packed = c.encode.batch(texts)
             right = [c.decode(p) == t.encode("utf-8", "surrogatepass") for p, t in zip(packed, texts, strict=True)]
             offsets = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype("i4")
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), "<i4")))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(offsets).astype("i8")), ids, pa.array(right)], names=["doc_id", "source", "n_tokens", "ids", "round_trip"])
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 4096)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string")).mapInArrow(run, "doc_id long, source string, n_tokens long, ids array<int>, round_trip boolean")
 
 

@@ -50,7 +50,7 @@ def byte_characters() -> dict[int, str]:
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> packed ids, by the library's BPE model for each distinct pre-token. A text that holds an added
+    """texts -> their packed ids, by the library's BPE model for each distinct pre-token. A text that holds an added
     token's string goes through the library whole."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -59,15 +59,21 @@ def encoder(path: str):
     model, letters = tokenizer.model, byte_characters()
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
+    packed = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+    space = letters[32]
+
     def piece(word: str) -> bytes:
-        return np.array([t.id for t in model.tokenize(word.encode("utf-8").decode("latin-1").translate(letters))], "<u4").tobytes()
+        # of printable ASCII only the space is written otherwise
+        plain = word.isascii() and word.isprintable()
+        spelled = word.replace(" ", space) if plain else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters)
+        return b"".join([packed[t.id] for t in model.tokenize(spelled)])
 
     fast = TextEncoder(piece, GPT_PATTERN)
 
-    def encode(text: str) -> bytes:
-        if any(a in text for a in added):
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return fast(text)
+    def encode(texts: list[str]) -> list[bytes]:
+        whole = [any(a in t for a in added) for t in texts]
+        out = fast.batch(["" if w else t for t, w in zip(texts, whole, strict=True)])
+        return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else o for t, w, o in zip(texts, whole, out, strict=True)]
 
     return encode
 
@@ -109,8 +115,8 @@ def _objects(path: str, end_id: int):
         for b in batches:
             rows: list[tuple] = []
             seen: set[bytes] = set()
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                packed = encode(text or "") + end_id.to_bytes(4, "little")
+            for doc_id, packed in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+                packed += end_id.to_bytes(4, "little")
                 ids = np.frombuffer(packed, "<u4")
                 ends = cut_points(ids)
                 keys, at = [], 0
@@ -133,7 +139,7 @@ def _objects(path: str, end_id: int):
 def write_store(docs: DataFrame, path: str, end_id: int, scratch: Scratch) -> None:
     """Encodes all documents and writes the three tables of the format to the scratch folder."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 4096)  # words of many texts are numbered together
     made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_objects(path, end_id), ROWS)
     once = made.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in ("doc_id", "n", "width", "data", "lengths")))
     once.write.partitionBy("kind").option("compression", "zstd").parquet(scratch.path("objects"))
@@ -227,7 +233,7 @@ def _shift_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_store(spark: SparkSession, scratch: Scratch) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, n_chunks of every document, from the files; all hashes are verified."""
-    chunk_rows = spark.read.parquet(scratch.path("objects")).where("kind = 'chunk'").select("key", "n", "width", "data")
+    chunk_rows = spark.read.schema("key binary, n long, width int, data binary, kind string").parquet(scratch.path("objects")).where("kind = 'chunk'").select("key", "n", "width", "data")
     recipes = spark.read.parquet(scratch.path("recipes"))
     crcs = chunk_rows.mapInArrow(_read_chunks, "key binary, crc long")
     parts = recipes.select("uid", "n_tokens", "data", "lengths", "root").mapInArrow(_read_recipes, "uid string, key binary, after long")
