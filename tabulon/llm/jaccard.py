@@ -14,11 +14,13 @@ in full: overlaps are exact.
    represented by its smallest doc_id.
 2. ``_columns``: the rarest n-grams of each class go to blocks of columns; ``_lists`` gives each block's lists of
    classes that share a column, equal lists once.
-3. Rounds: a list links its members to pivots (round 1: its first member, later 8, 64, .. more), but only members that
-   aren't yet in the pivot's component, and only pairs that fit in size and haven't been tried. Each round's pairs are
-   verified by ``_verify`` on whole sets and components are brought up to date. Rounds end when every list lies in one
-   component or all its pairs have been tried. So a group of near copies costs about one pair a member, while no
-   link between components is missed.
+3. Rounds over ranges of places (0 to 8, to 72, ..): a list's members at these places meet its later members. A pair is a
+   candidate if its members aren't yet in one component, fit in size, and fit by their bitmaps: the bits in which two
+   sets' XOR bitmaps differ are at most the n-grams that they don't share, which the percentage bounds. Each range is
+   gone over twice: first only a spanning forest of a block's candidates is tried, the likeliest pairs first; then every
+   candidate that is left. Pairs are verified by ``_verify`` on whole sets and components are brought up to date. Rounds
+   end when each list lies in one component or all its places have had their turn. So a group of near copies costs
+   about one pair a member, while no link between components is missed.
 
 Texts aren't shuffled: sets of candidates are made anew where their texts are read, and go to the blocks of pairs that
 ask for them.
@@ -45,6 +47,7 @@ BLOCK = 1_000_000  # candidate entries of a block of columns
 PAIRS = 2_000  # pairs of a block that are verified together
 BROADCAST_ROWS = 1_000_000  # routes of at most this many rows (24 MB) are sent to all executors
 FLUSH = 2_000_000
+PLACES = 8  # places of a list in the first round; later ranges are eight times as long each
 
 
 class Hashed(dict):
@@ -103,8 +106,17 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(d[0]), int(d[1])
 
 
-ROWS = {"doc_id": pa.int64(), "n": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "part": pa.int32(), "counts": pa.binary()}
-ROWS_DDL = "doc_id long, n long, k1 long, k2 long, part int, counts binary"
+BITS = 1024
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit is set if an odd number of the set's hashes fall on it."""
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+ROWS = {"doc_id": pa.int64(), "n": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "bits": pa.binary(), "part": pa.int32(), "counts": pa.binary()}
+ROWS_DDL = "doc_id long, n long, k1 long, k2 long, bits binary, part int, counts binary"
 PARTS = 16
 
 
@@ -116,9 +128,9 @@ def _rows(n: int):
                 continue
             sets = ngram_sets(b.column(1).to_pylist(), n)
             counts += np.bincount((np.concatenate(sets) % SKETCH).astype(np.int64), minlength=SKETCH)
-            yield table_of([(i, len(s), *digest(s), None, None) for i, s in zip(b.column(0).to_pylist(), sets, strict=True)], ROWS)
+            yield table_of([(i, len(s), *digest(s), bitmap(s), None, None) for i, s in zip(b.column(0).to_pylist(), sets, strict=True)], ROWS)
         if counts.any():
-            yield table_of([(None, None, None, None, i, ints(c)) for i, c in enumerate(np.split(counts, PARTS))], ROWS)
+            yield table_of([(None, None, None, None, None, i, ints(c)) for i, c in enumerate(np.split(counts, PARTS))], ROWS)
 
     return run
 
@@ -220,57 +232,107 @@ PAIR = {"u": pa.int64(), "ku": pa.int64(), "v": pa.int64(), "kv": pa.int64(), "l
 PAIR_DDL = "u long, ku long, v long, kv long, left long"
 
 
-def _pairs(rows: list[dict], labels: dict[int, int] | None, low: int, high: int, percent: int) -> pa.RecordBatch:
-    """Pairs of the lists' members at places low to high with later members of other components. left: how many lists go
-    on after place high (in one row with null ids)."""
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for r in b.to_pylist():
+            own = np.unique(np.stack([np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["keys"], "<i8")], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), r["block"], np.int32)), pa.array(own[:, 0]), pa.array(own[:, 1])], names=["block", "node", "key"])
+
+
+MARKED = {"block": pa.int32(), "each": pa.binary(), "places": pa.binary(), "docs": pa.binary(), "keys": pa.binary(), "sizes": pa.binary(), "bits": pa.binary()}
+MARKED_DDL = "block int, each binary, places binary, docs binary, keys binary, sizes binary, bits binary"
+
+
+def _marked(key, lists, members):
+    """A block's lists as numbers of its classes, and the classes once with their bitmaps."""
+    rows = []
+    bits = {(d, k): x for d, k, x in zip(members["node"].to_pylist(), members["key"].to_pylist(), members["bits"].to_pylist(), strict=True)}
+    for r in lists.to_pylist():
+        both = np.stack([np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["keys"], "<i8")], 1)
+        own, first, place = np.unique(both, axis=0, return_index=True, return_inverse=True)
+        sizes = unints(r["sizes"])[first]
+        rows.append((r["block"], r["each"], ints(place.ravel()), own[:, 0].tobytes(), own[:, 1].tobytes(), ints(sizes), b"".join(bits[d, k] for d, k in own.tolist())))
+    return pa.Table.from_batches([table_of(rows, MARKED)])
+
+
+def _forest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs that join trees, near pairs first."""
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            parent[x] = parent.get(p, p)
+            x = p
+        return x
+
+    keep = []
+    order = np.argsort(far, kind="stable")
+    for i, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        x, y = top(x), top(y)
+        if x != y:
+            parent[y] = x
+            keep.append(i)
+    return np.array(keep, np.int64)
+
+
+def _pairs(rows: list[dict], labels: dict[int, int], low: int, high: int, percent: int, forest: bool) -> pa.RecordBatch:
+    """Candidates of the lists' members at places low to high with later members. left: how many lists of several
+    components go on after place high (in one row with null ids)."""
     found, left = [], 0
     for r in rows:
-        each, docs = unints(r["each"]).astype(np.int64), np.frombuffer(r["docs"], "<i8")
-        keys, sizes = np.frombuffer(r["keys"], "<i8"), unints(r["sizes"]).astype(np.int64)
+        each, place = unints(r["each"]).astype(np.int64), unints(r["places"]).astype(np.int64)
+        docs, keys, sizes = np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["keys"], "<i8"), unints(r["sizes"]).astype(np.int64)
+        bits = np.frombuffer(r["bits"], "<u8").reshape(len(docs), -1)
+        label = np.array([labels.get(d, d) for d in docs.tolist()], np.int64)
         start = np.cumsum(each) - each
-        label = docs if labels is None else np.array([labels.get(d, d) for d in docs.tolist()], np.int64)
-        apart = np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start)
+        apart = np.minimum.reduceat(label[place], start) != np.maximum.reduceat(label[place], start)
         left += int((apart & (each > high + 1)).sum())
-        for place in range(low, high):
-            some = apart & (each > place + 1)
+        parts = []
+        for at in range(low, high):
+            some = apart & (each > at + 1)
             if not some.any():
                 break
-            n = each[some] - place - 1
-            a = np.repeat(start[some] + place, n)
-            b = a + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            n = each[some] - at - 1
+            first = np.repeat(start[some] + at, n)
+            a, b = place[first], place[first + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
             fit = (label[a] != label[b]) & (np.minimum(sizes[a], sizes[b]) >= least_shared(np.maximum(sizes[a], sizes[b]), percent))
             a, b = a[fit], b[fit]
-            if len(a):
-                found.append(np.unique(np.stack([docs[a], keys[a], docs[b], keys[b]], 1), axis=0))
-    out = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 4), np.int64)
+            for i in range(0, len(a), 100_000):
+                # shared >= percent * (both sizes) / (100 + percent), and what isn't shared is the rest of both
+                x, y = a[i : i + 100_000], b[i : i + 100_000]
+                far = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+                near = far * (100 + percent) <= (sizes[x] + sizes[y]) * (100 - percent)
+                parts.append(np.stack([x[near] * len(docs) + y[near], far[near]]))
+            if len(parts) > 50:
+                parts = [np.unique(np.concatenate(parts, 1), axis=1)]
+        both = np.unique(np.concatenate(parts, 1), axis=1) if parts else np.empty((2, 0), np.int64)
+        a, b, far = both[0] // len(docs), both[0] % len(docs), both[1]
+        if forest and len(a):
+            keep = _forest(label[a], label[b], far)
+            a, b = a[keep], b[keep]
+        found.append(np.stack([docs[a], keys[a], docs[b], keys[b]], 1))
+    out = np.concatenate(found) if found else np.empty((0, 4), np.int64)
     cols = [pa.array(np.append(out[:, i], 0), pa.int64(), mask=np.append(np.zeros(len(out), bool), True)) for i in range(4)]
     last = pa.array(np.append(np.zeros(len(out), np.int64), left), pa.int64(), mask=np.append(np.ones(len(out), bool), False))
     return pa.RecordBatch.from_arrays([*cols, last], names=list(PAIR))
 
 
-def _first_pairs(percent: int):
+def _first_pairs(percent: int, high: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _pairs(b.to_pylist(), None, 0, 1, percent)
+            yield _pairs(b.to_pylist(), {}, 0, high, percent, True)
 
     return run
 
 
-def _later_pairs(percent: int, low: int, high: int):
+def _later_pairs(percent: int, low: int, high: int, forest: bool):
     def run(key, lists, known):
         labels = dict(zip(known["node"].to_pylist(), known["label"].to_pylist(), strict=True))
-        return pa.Table.from_batches([_pairs(lists.to_pylist(), labels, low, high, percent)])
+        return pa.Table.from_batches([_pairs(lists.to_pylist(), labels, low, high, percent, forest)])
 
     return run
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for r in b.to_pylist():
-            docs = np.unique(np.frombuffer(r["docs"], "<i8"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), r["block"], np.int32)), pa.array(docs)], names=["block", "node"])
-
-
 def _candidate_sets(n: int):
     """Of the routed documents the sets, once for each block that asks. A block asks by id and digest."""
 
@@ -307,7 +369,7 @@ def jaccard_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = scratch.write(texts.mapInArrow(_rows(n), ROWS_DDL), "rows")
-    rows = made.where("part is null").select("doc_id", "n", "k1", "k2")
+    rows = made.where("part is null").select("doc_id", "n", "k1", "k2", "bits")
     sketch = made.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_summed, "part int, counts binary").collect()  # SKETCH counters in all
     level = np.zeros(SKETCH, np.uint64)
     for r in sketch:
@@ -320,16 +382,23 @@ def jaccard_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     del posted
     release(spark)
 
+    members = lists.select("block", "docs", "keys").mapInArrow(_members, "block int, node long, key long")
+    bits = rows.select(F.col("doc_id").alias("node"), F.col("k1").alias("key"), "bits").dropDuplicates(["node", "key"])
+    of = members.join(bits, ["node", "key"])
+    marked = scratch.write(lists.groupBy("block").cogroup(of.groupBy("block")).applyInArrow(_marked, MARKED_DDL), "marked")
+    members = scratch.write(members.select("block", "node").distinct(), "members")
+    scratch.drop("lists")
+    release(spark)
+
     links = labels = tried = None
-    low, high, step = 0, 1, 0
+    low, high, step, forest = 0, PLACES, 0, True
     while True:
         step += 1
         if labels is None:
-            found = lists.mapInArrow(_first_pairs(percent), PAIR_DDL)
+            found = marked.mapInArrow(_first_pairs(percent, high), PAIR_DDL)
         else:
-            members = lists.select("block", "docs").mapInArrow(_members, "block int, node long")
             known = members.join(labels, "node").select("block", "node", "label")
-            found = lists.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_later_pairs(percent, low, high), PAIR_DDL)
+            found = marked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_later_pairs(percent, low, high, forest), PAIR_DDL)
         found = scratch.write(found, f"found-{step}")
         left = found.agg(F.sum("left")).first()[0] or 0
         pairs = found.where("u is not null").select("u", "ku", "v", "kv").distinct()
@@ -342,9 +411,13 @@ def jaccard_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
             links = new if links is None else links.unionByName(new)
             tried = pairs if tried is None else tried.unionByName(pairs)
             labels = components(links, scratch, f"labels-{step}")
-        if not left:
+            release(spark)
+        if forest and many:
+            forest = False  # once more over these places, every candidate
+        elif not left:
             break
-        low, high = high, high + 8**step
+        else:
+            low, high, forest = high, 8 * high + PLACES, True
     classes = scratch.write(rows.where("doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "classes")
     out = rows.join(classes, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("node"))
     if labels is not None:
