@@ -43,7 +43,7 @@ from tabulon.llm.katz import bucket_of, ints, table_of, unints, words_of
 from tabulon.llm.util import Scratch, release, small_batches, table
 
 SKETCH = 1 << 20
-BLOCK = 1_000_000  # candidate entries of a block of columns
+BLOCK = 50_000  # candidate entries of a block of columns: so few that a class meets most of its columns alone
 PAIRS = 2_000  # pairs of a block that are verified together
 BROADCAST_ROWS = 1_000_000  # routes of at most this many rows (24 MB) are sent to all executors
 FLUSH = 2_000_000
