@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from tabulon.llm.util import Scratch, release, small_batches, table
 
 K, PSEUDO = 5, 1e-3
-BATCH, BUCKET = 2_000_000, 4_000_000
+BATCH, BUCKET = 700_000, 2_000_000
 END, START = 1, 2  # keys that stand beside word hashes
 
 
