@@ -17,8 +17,8 @@ in full: overlaps are exact.
 3. Rounds over ranges of places (0 to 8, to 72, ..): a list's members at these places meet its later members. A pair is a
    candidate if its members aren't yet in one component, fit in size, and fit by their bitmaps: the bits in which two
    sets' XOR bitmaps differ are at most the n-grams that they don't share, which the percentage bounds. Each range is
-   gone over twice: first only a spanning forest of a block's candidates is tried, the likeliest pairs first; then every
-   candidate that is left. Pairs are verified by ``_verify`` on whole sets and components are brought up to date. Rounds
+   gone over twice: first only a spanning forest of a block's candidates is tried, the likeliest pairs first; then, if
+   the forest had any pair, tried before or not, every candidate that is left. Pairs are verified by ``_verify`` on whole sets and components are brought up to date. Rounds
    end when each list lies in one component or all its places have had their turn. So a group of near copies costs
    about one pair a member, while no link between components is missed.
 
@@ -400,7 +400,7 @@ def jaccard_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
             known = members.join(labels, "node").select("block", "node", "label")
             found = marked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_later_pairs(percent, low, high, forest), PAIR_DDL)
         found = scratch.write(found, f"found-{step}")
-        left = found.agg(F.sum("left")).first()[0] or 0
+        left, any_found = found.agg(F.sum("left"), F.count("u")).first()
         pairs = found.where("u is not null").select("u", "ku", "v", "kv").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["u", "ku", "v", "kv"], "left_anti")
@@ -412,8 +412,8 @@ def jaccard_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
             tried = pairs if tried is None else tried.unionByName(pairs)
             labels = components(links, scratch, f"labels-{step}")
             release(spark)
-        if forest and many:
-            forest = False  # once more over these places, every candidate
+        if forest and any_found:
+            forest = False  # once more over these places, every candidate: tried pairs of a forest may hide untried ones
         elif not left:
             break
         else:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import re
 
@@ -103,6 +104,34 @@ def test_jaccard_in_many_rounds(spark, monkeypatch):
     test_jaccard(spark.createDataFrame(rows, DOCS), rows, 4, 85)
 
 
+def test_jaccard_tries_pairs_that_a_forest_hides(spark, monkeypatch):
+    """Bitmaps that bound nothing: forests of later places consist of pairs that have failed before."""
+    made_rows = jaccard._rows
+
+    def blank(n):
+        run = made_rows(n)
+
+        def blanked(batches):
+            for b in run(batches):
+                at = b.schema.get_field_index("bits")
+                yield b.set_column(at, "bits", pa.array([x and bytes(len(x)) for x in b.column(at).to_pylist()], pa.binary()))
+
+        return blanked
+
+    monkeypatch.setattr(jaccard, "_rows", blank)
+    monkeypatch.setattr(jaccard, "PLACES", 1)
+    rng = random.Random(2)
+    base = [[rng.randrange(30) for _ in range(10)] for _ in range(3)]
+    texts = []
+    for _ in range(14):
+        t = list(dict.fromkeys(rng.choice(base)))
+        for _ in range(rng.randint(1, 4)):
+            t[rng.randrange(len(t))] = rng.randrange(30)
+        texts.append(" ".join(f"w{x}" for x in t))
+    rows = [(i, t, None, None, 0, "", 0) for i, t in enumerate(texts)]
+    test_jaccard(spark.createDataFrame(rows, DOCS), rows, 1, 40)
+
+
 def test_suffixes(docs, rows):
     first, out = set(), {}
     for i, t in sorted({(r[0], (r[1] or "").encode()) for r in rows}):
