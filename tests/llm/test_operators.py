@@ -361,6 +361,67 @@ def canon(text):
     return re.sub(r"[\s  -     　 ]+", " ", unicodedata.normalize("NFKC", text or "").lower()).strip(" ")
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+BSD_TEXT = """Copyright (c) 2020, A Person
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NAMES = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL_TEXT = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+"""
+APACHE_TEXT = """Copyright 2020 A Person
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+"""
+MPL_TEXT = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+
+
+def test_official_licence_texts(spark):
+    """Hard-wrapped as published, then with comment marks."""
+    known = [(MIT_TEXT, "MIT"), (BSD_TEXT, "BSD-2-Clause"), (BSD_TEXT + NAMES, "BSD-3-Clause"), (BSD_TEXT.replace("Person\n\n", "Person\n"), "BSD-2-Clause"), (GPL_TEXT, "GPL-2.0"), (APACHE_TEXT, "Apache-2.0"), (MPL_TEXT, "MPL-2.0")]
+    marked = lambda mark, t: "\n".join(f"{mark} {line}".rstrip() for line in t.splitlines())
+    cases = [(f(t), want) for t, want in known for f in (str, lambda t: t.replace("\n", "\r\n"), lambda t: marked("//", t), lambda t: marked("--", t), lambda t: marked("#", t), lambda t: f"/*\n{marked(' *', t)}\n */\nint x;")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
 def test_fingerprints(spark, tmp_path, rows):
     from pyspark.sql import functions as F
 
