@@ -9,13 +9,16 @@ File format, three Parquet tables in one folder:
   little-endian unsigned integers of ``width`` bytes). One row a distinct chunk.
 - ``recipes``: one row a document, ascending doc_id: doc_id, start (ids of all documents before it), n_tokens, the
   chunk keys in order, their lengths, and the Merkle root of the keys.
-- ``manifest``: for each run of documents its first and last doc_id, its counts and the Merkle root of its roots.
+- ``manifest``: for each run of documents its first and last doc_id, its counts and the Merkle root over its documents
+  (a leaf is the hash of doc_id, n_tokens and the recipe's root). It is made of the objects, before recipes are
+  written; its number of documents must be the input's, and reading first compares it with the recipes.
 
 Cuts come where a rolling hash of the last 16 ids has its low bits zero, so equal passages are cut alike wherever they
 stand; a chunk has ``MOST`` ids at most. The crc of a document isn't taken from a second copy of its ids: each chunk
 that is read gives its own crc, and crcs of concatenations are sums of shifted crcs, so only a few bytes a chunk
-travel. A chunk that doesn't hash to its key, or a recipe that doesn't hash to its root, ends the read with an
-error.
+travel. A chunk that doesn't hash to its key, a recipe that doesn't hash to its root, or recipes that differ from the
+manifest end the read with an error. A recipe's key is the hash of its id and chunk keys; equal rows are counted
+and dealt out again, so nothing depends on the order or the run of a task.
 
 Defined results: null text counts as empty and gives the end id alone; repeated rows each keep a recipe of their own
 and follow one another; an empty table gives empty tables; only doc_id and text are read."""
@@ -24,13 +27,13 @@ from __future__ import annotations
 
 import hashlib
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +112,11 @@ def merkle(keys: list[bytes]) -> bytes:
 ROWS = "kind string, key binary, doc_id long, n long, width int, data binary, lengths binary"
 
 
+def recipe_key(doc_id: int | None, listed: bytes) -> bytes:
+    """Of id and chunk keys, so that a task that is run again sends its rows where they went before."""
+    return hashlib.sha256(b"%s\0%s" % (repr(doc_id).encode(), listed)).digest()
+
+
 def _objects(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
@@ -128,7 +136,8 @@ def _objects(path: str, end_id: int):
                         width = 2 if part.max() < 1 << 16 else 4
                         rows.append(("chunk", key, None, e - at, width, part.astype(f"<u{width}").tobytes(), None))
                     at = e
-                rows.append(("recipe", uuid.uuid4().bytes, doc_id, len(ids), 0, b"".join(keys), np.diff(ends, prepend=0).astype("<u4").tobytes()))
+                listed = b"".join(keys)
+                rows.append(("recipe", recipe_key(doc_id, listed), doc_id, len(ids), 0, listed, np.diff(ends, prepend=0).astype("<u4").tobytes()))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 7
             kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "key", "doc_id", "n", "width", "data", "lengths"])
@@ -136,18 +145,54 @@ def _objects(path: str, end_id: int):
     return run
 
 
+MANIFEST = {"block": pa.int32(), "first_doc": pa.int64(), "last_doc": pa.int64(), "documents": pa.int64(), "n_tokens": pa.int64(), "root": pa.binary()}
+MANIFEST_DDL = "block int, first_doc long, last_doc long, documents long, n_tokens long, root binary"
+
+
+def _summary(key, got):
+    """The manifest's row of a run of documents. Where starts are given, each must follow from the one before."""
+    rows = list(zip(*(got[c].to_pylist() for c in ("doc_id", "uid", "n_tokens", "data")), got["start"].to_pylist() if "start" in got.column_names else [None] * got.num_rows, strict=True))
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    leaves = []
+    for i, (doc_id, uid, n, data, start) in enumerate(rows):
+        if start is not None and i and start != rows[i - 1][4] + rows[i - 1][2]:
+            raise ValueError("a recipe doesn't start where the one before ends")
+        root = merkle([data[j : j + 32] for j in range(0, len(data), 32)])
+        leaves.append(hashlib.sha256(b"\0%s\0%d\0%s" % (repr(doc_id).encode(), n, root)).digest())
+    ids = [r[0] for r in rows if r[0] is not None] or [None]
+    row = (key[0].as_py(), ids[0], ids[-1], len(rows), sum(r[2] for r in rows), merkle(leaves))
+    return pa.table({c: pa.array([v], t) for v, (c, t) in zip(row, MANIFEST.items(), strict=True)} | ({"start": pa.array([rows[0][4]], pa.int64())} if rows[0][4] is not None else {}))
+
+
+def check_manifest(recipes: DataFrame, manifest: DataFrame) -> None:
+    """Ends with an error unless the recipes are those of the manifest, none lost or doubled, with the right starts.
+    The driver gets one row a run of documents."""
+    made = recipes.select("block", "doc_id", "uid", "n_tokens", "data", "start").groupBy("block").applyInArrow(_summary, f"{MANIFEST_DDL}, start long")
+    got = sorted(tuple(r) for r in made.collect())
+    if [r[:-1] for r in got] != sorted(tuple(r) for r in manifest.select(*MANIFEST).collect()):
+        raise ValueError("the recipes don't match the manifest")
+    at = 0
+    for r in got:
+        if r[-1] != at:
+            raise ValueError("a run of recipes doesn't start where the one before ends")
+        at += r[4]
+
+
 def write_store(docs: DataFrame, path: str, end_id: int, scratch: Scratch) -> None:
     """Encodes all documents and writes the three tables of the format to the scratch folder."""
     spark = docs.sparkSession
     small_batches(spark, 4096)  # words of many texts are numbered together
     made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_objects(path, end_id), ROWS)
-    once = made.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in ("doc_id", "n", "width", "data", "lengths")))
+    once = made.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in ("doc_id", "n", "width", "data", "lengths")), F.count("*").alias("copies"))
     once.write.partitionBy("kind").option("compression", "zstd").parquet(scratch.path("objects"))
     del made, once
     release(spark)
-    raw = spark.read.schema("key binary, doc_id long, n long, data binary, lengths binary, kind string").parquet(scratch.path("objects")).where("kind = 'recipe'")
+    raw = spark.read.schema("key binary, doc_id long, n long, data binary, lengths binary, copies long, kind string").parquet(scratch.path("objects")).where("kind = 'recipe'")
+    raw = raw.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     cuts = range_bounds(raw, "doc_id", blocks_for(spark))
-    blocked = raw.select("doc_id", F.col("n").alias("n_tokens"), "data", "lengths", F.hex("key").alias("uid"), block_of(F.col("doc_id"), cuts).alias("block"))
+    blocked = raw.select("doc_id", F.col("n").alias("n_tokens"), "data", "lengths", F.concat_ws("-", F.hex("key"), F.lpad(F.col("copy").cast("string"), 12, "0")).alias("uid"), block_of(F.col("doc_id"), cuts).alias("block"))
+    # made of the objects, before recipes are placed and written
+    blocked.select("block", "doc_id", "uid", "n_tokens", "data").groupBy("block").applyInArrow(_summary, MANIFEST_DDL).write.parquet(scratch.path("manifest"))
     started = running_start(blocked, ["doc_id", "uid"], "n_tokens", "block", "start")
 
     def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +203,10 @@ def write_store(docs: DataFrame, path: str, end_id: int, scratch: Scratch) -> No
     recipes = started.select("doc_id", "uid", "start", "n_tokens", "data", "lengths", "block").mapInArrow(rooted, "doc_id long, uid string, start long, n_tokens long, data binary, lengths binary, block int, root binary")
     written = recipes.repartitionByRange(blocks_for(spark) // 2 or 1, "doc_id", "uid").sortWithinPartitions("doc_id", "uid")
     written.write.option("compression", "zstd").parquet(scratch.path("recipes"))
-    roots = spark.read.parquet(scratch.path("recipes"))
-    manifest = roots.groupBy("block").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("documents"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "uid", "root"))), lambda x: F.hex(x["root"]))), 256).alias("root"))
-    manifest.write.parquet(scratch.path("manifest"))
+    given, kept = docs.count(), spark.read.schema(MANIFEST_DDL).parquet(scratch.path("manifest")).agg(F.sum("documents")).first()[0] or 0
+    if given != kept:
+        raise ValueError(f"the manifest has {kept} documents, the input {given}")
+
 
 
 POLY = 0xEDB88320
@@ -236,6 +282,12 @@ def read_store(spark: SparkSession, scratch: Scratch) -> DataFrame:
     chunk_rows = spark.read.schema("key binary, n long, width int, data binary, kind string").parquet(scratch.path("objects")).where("kind = 'chunk'").select("key", "n", "width", "data")
     recipes = spark.read.parquet(scratch.path("recipes"))
     crcs = chunk_rows.mapInArrow(_read_chunks, "key binary, crc long")
+    try:
+        manifest = spark.read.schema(MANIFEST_DDL).parquet(scratch.path("manifest"))
+    except AnalysisException:
+        crcs.write.format("noop").mode("overwrite").save()  # damaged chunks are told first
+        raise ValueError("the store has no manifest") from None
+    check_manifest(recipes, manifest)
     parts = recipes.select("uid", "n_tokens", "data", "lengths", "root").mapInArrow(_read_recipes, "uid string, key binary, after long")
     shifted = parts.join(crcs, "key").select("uid", "after", "crc").mapInArrow(_shift_crcs, "uid string, part long, after long")
     whole = shifted.groupBy("uid").agg(F.bit_xor("part").alias("ids_crc32"), F.count("*").alias("found"))

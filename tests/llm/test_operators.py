@@ -207,6 +207,28 @@ def test_store_tells_damage(spark, tokenizers):
         store.read_store(spark, other).collect()
 
 
+def test_store_tells_lost_and_doubled_recipes(spark, tokenizers):
+    docs = spark.createDataFrame([(i, f"words of {i}", None, None, 0, "", 0) for i in (1, 2, 3, 3, None)], DOCS)
+    scratch = Scratch(spark, "test")
+    store.write_store(docs, tokenizers.path("byte_bpe_50k.json"), 2, scratch)
+    assert store.read_store(spark, scratch).count() == 5
+    whole = spark.read.parquet(scratch.path("recipes"))
+    for bad in (whole.where("doc_id = 1 or doc_id = 3 or doc_id is null"), whole.where("doc_id is null or doc_id < 3"), whole.unionByName(whole.where("doc_id = 3").limit(1)), whole.withColumn("start", whole["start"] + 1)):
+        other = Scratch(spark, "test")
+        for name in ("objects", "manifest"):
+            store_rows = spark.read.parquet(scratch.path(name))
+            (store_rows.write.partitionBy("kind") if name == "objects" else store_rows.write).parquet(other.path(name))
+        bad.write.parquet(other.path("recipes"))
+        with pytest.raises(Exception, match="manifest|start where"):
+            store.read_store(spark, other).collect()
+
+
+def test_store_rows_repeat_when_a_task_is_run_again(tokenizers):
+    batch = pa.RecordBatch.from_arrays([pa.array([1, None, 1]), pa.array(["a b", "a b", None])], names=["doc_id", "text"])
+    made = [list(store._objects(tokenizers.path("byte_bpe_50k.json"), 2)(iter([batch]))) for _ in range(2)]
+    assert made[0] == made[1]
+
+
 def test_cut_points_and_crc():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50_000, 60_000).astype("<u4")
