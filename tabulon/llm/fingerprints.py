@@ -1,6 +1,7 @@
 """Document fingerprints (operator 10), by DataFrame and SQL functions only.
 
-Method: a canonical exact digest. A text is put in Unicode's compatibility composition (NFKC), case is folded and
+Method: a canonical exact digest. A text is put in Unicode's compatibility composition (NFKC), letters are lower-cased
+(not case-folded: sharp s and SS, or final and medial sigma, stay different; the result isn't composed again) and
 white space runs become one space, none at the ends; the fingerprint is four 64-bit xxhashes of that, each with a seed
 of its own, in hex. Rows with equal fingerprints are compared byte by byte before they count as one group.
 
