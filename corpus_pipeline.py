@@ -76,3 +76,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = None
+
+
+def queries() -> dict:
+    return {"pipeline": run}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
