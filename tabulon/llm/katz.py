@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.llm.packing import bucket_of, ddl, ints, planes, table_of, unints, unplanes
 from tabulon.llm.util import Scratch, release, small_batches, table
 
 K, PSEUDO = 5, 1e-3
@@ -56,40 +57,10 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def ints(a: np.ndarray) -> bytes:
-    """Packed unsigned integers in the least width that holds them; the first byte is the width."""
-    top = int(a.max()) if len(a) else 0
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([width]) + a.astype(f"<u{width}").tobytes()
-
-
-def unints(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", offset=1)
-
-
-def planes(a: np.ndarray) -> bytes:
-    """Four byte planes of 32-bit integers, which compress better than the integers."""
-    return np.ascontiguousarray(a.astype("<u4").view("u1").reshape(-1, 4).T).tobytes()
-
-
-def unplanes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, "u1").reshape(4, -1).T).view("<u4").ravel()
-
-
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-def table_of(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], names=list(kinds))
-
-
-def ddl(kinds: dict[str, pa.DataType]) -> str:
-    names = {pa.string(): "string", pa.binary(): "binary", pa.int64(): "long", pa.int32(): "int", pa.list_(pa.int64()): "array<long>", pa.list_(pa.float64()): "array<double>"}
-    return ", ".join(f"{k} {names[v]}" for k, v in kinds.items())
-
-
 LONGS, DOUBLES = pa.list_(pa.int64()), pa.list_(pa.float64())
 PACKED = {"batch": pa.string(), "doc_ids": LONGS, "held": pa.binary(), "lens": pa.binary(), "stream": pa.binary(), "keys": pa.binary(), "train_tokens": pa.int64(), "train_docs": pa.int64()}
 
@@ -127,11 +98,6 @@ def _split(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return at, order, np.searchsorted(at[order], np.arange(buckets + 1))
 
 
-def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
-
-
 ASKED = {"bucket": pa.int32(), "batch": pa.string(), "keys": pa.binary(), "counts": pa.binary()}
 
 

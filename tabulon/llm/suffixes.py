@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm.jaccard import mixed
-from tabulon.llm.katz import bucket_of, ints, table_of, unints
+from tabulon.llm.packing import bucket_of, ints, table_of, unints
 from tabulon.llm.util import Scratch, release, small_batches, table
 
 SPAN, GRAM = 100, 32

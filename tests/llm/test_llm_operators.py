@@ -89,10 +89,8 @@ def test_jaccard(docs, rows, n, percent):
     assert Counter(tuple(r) for r in jaccard.jaccard_components(docs, n, percent).collect()) == expected
 
 
-def test_jaccard_in_many_rounds(spark, monkeypatch):
-    """Chains and groups whose members link to some others only, with one place a round."""
-    monkeypatch.setattr(jaccard, "PLACES", 1)
-    rng = random.Random(7)
+def jaccard_texts(rng: random.Random) -> list[str]:
+    """Groups whose members link to some others only, chains, and a passage that unlike texts share."""
     base = [f"w{i}" for i in range(80)]
     texts = []
     for _ in range(60):
@@ -100,36 +98,44 @@ def test_jaccard_in_many_rounds(spark, monkeypatch):
         for _ in range(rng.randint(0, 4)):
             t[rng.randrange(80)] = f"n{rng.randrange(10**6)}"
         texts.append(" ".join(t))
-    rows = [(i, t, None, None, 0, "", 0) for i, t in enumerate(texts)]
+    chain = [f"c{i}" for i in range(60)]
+    for k in range(12):  # each a little further from the first
+        chain[5 * k] = f"d{k}"
+        texts.append(" ".join(chain))
+    for k in range(40):
+        texts.append(" ".join([f"own{k}a{i}" for i in range(rng.randint(0, 3))] + base[:30]))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_jaccard_by_segments(spark, monkeypatch):
+    """Every column is hot: cut before it is dealt and met by tiles."""
+    monkeypatch.setattr(jaccard, "HOT", 0)
+    monkeypatch.setattr(jaccard, "SEGMENT", 2)
+    rows = [(i, t, None, None, 0, "", 0) for i, t in enumerate(jaccard_texts(random.Random(7)))]
     test_jaccard(spark.createDataFrame(rows, DOCS), rows, 4, 85)
+    lists = []
+    real = jaccard.entries_of
+    monkeypatch.setattr(jaccard, "entries_of", lambda given: (lists.extend(given.collect()), real(given))[1])
+    test_jaccard(spark.createDataFrame(rows[:60], DOCS), rows[:60], 4, 85)
+    assert lists and max(len(r["docs"]) for r in lists) <= 2
 
 
-def test_jaccard_tries_pairs_that_a_forest_hides(spark, monkeypatch):
-    """Bitmaps that bound nothing: forests of later places consist of pairs that have failed before."""
-    made_rows = jaccard._rows
-
-    def blank(n):
-        run = made_rows(n)
-
-        def blanked(batches):
-            for b in run(batches):
-                at = b.schema.get_field_index("bits")
-                yield b.set_column(at, "bits", pa.array([x and bytes(len(x)) for x in b.column(at).to_pylist()], pa.binary()))
-
-        return blanked
-
-    monkeypatch.setattr(jaccard, "_rows", blank)
-    monkeypatch.setattr(jaccard, "PLACES", 1)
-    rng = random.Random(2)
+@pytest.mark.parametrize(("seed", "n", "percent"), [(1, 4, 85), (2, 1, 40), (3, 2, 50), (4, 1, 60)])
+def test_jaccard_links_between_components(spark, monkeypatch, seed, n, percent):
+    """Low limits: links of which neither end's best partner knows; only the second product finds them."""
+    rng = random.Random(seed)
     base = [[rng.randrange(30) for _ in range(10)] for _ in range(3)]
-    texts = []
-    for _ in range(14):
+    texts = jaccard_texts(rng) if seed == 1 else []
+    for _ in range(40):
         t = list(dict.fromkeys(rng.choice(base)))
         for _ in range(rng.randint(1, 4)):
             t[rng.randrange(len(t))] = rng.randrange(30)
         texts.append(" ".join(f"w{x}" for x in t))
     rows = [(i, t, None, None, 0, "", 0) for i, t in enumerate(texts)]
-    test_jaccard(spark.createDataFrame(rows, DOCS), rows, 1, 40)
+    test_jaccard(spark.createDataFrame(rows, DOCS), rows, n, percent)
+    monkeypatch.setattr(jaccard, "leading_pairs", lambda entries, percent: entries.sparkSession.createDataFrame([], "u long, ku long, v long, kv long"))
+    test_jaccard(spark.createDataFrame(rows, DOCS), rows, n, percent)
 
 
 def test_suffixes(docs, rows):
