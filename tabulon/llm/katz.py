@@ -9,14 +9,16 @@ left-over mass.
              = alpha(h) p(w)                                    otherwise
     alpha(h) = (1 - sum of seen p(w | h)) / (1 - sum of seen p(w))
 
-d(c) is Katz's for c up to ``K`` from the counts of counts, and 1 above. Where these counts don't allow it (some are
-zero, or a discount isn't between 0 and 1) absolute discounts take its place. PSEUDO, a small part of a count, leaves mass
+d(c) is Katz's Good-Turing discount for c up to ``K``, and 1 above. Raw counts of counts are ragged, so they are first smoothed
+log-linearly over c = 1 .. K + 1, as in simple Good-Turing: n(c) ~ c**slope. The slope is kept below -1, which puts each discount
+between 0 and 1; with fewer than two kinds of counts it is ``SLOPE``. PSEUDO, a small part of a count, leaves mass
 for unseen words after histories that have no low counts. Each text is a start, its words and one end.
 
 Flow. Texts are read once and packed into batches of about ``BATCH`` tokens: word numbers and a dictionary of 64-bit word
-hashes. Dictionary counts go to buckets by word and come back as each word's total (unigrams). Then the distinct (history,
-word, document) entries of each batch go to buckets by history, where bigrams are counted, and each bucket scores its
-entries: discounts are global, so scores stay linear in their logarithms until counts of counts are known; entries of
+hashes (words are told apart by these). Dictionary counts go to buckets by word and come back as each word's total (unigrams)
+and its id, small for frequent words. Then the distinct (history, word, document) entries of each batch, sorted, as
+differences of ids and compressed, go to buckets by history, where bigrams are counted by their exact pairs of ids, and each bucket
+scores its entries: discounts are global, so scores stay linear in their logarithms until counts of counts are known; entries of
 unseen bigrams keep what their history's weight needs. A document's score is the sum over buckets.
 
 Skew: counts are summed in each batch before anything is shuffled, so a word or bigram costs one entry a
@@ -38,18 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.packing import bucket_of, ddl, ints, planes, table_of, unints, unplanes
+from tabulon.llm.packing import bucket_of, ddl, ints, squeezed, table_of, unints, unsqueezed
+from tabulon.llm.tokens import numbered, trimmed
 from tabulon.llm.util import Scratch, release, small_batches, table
 
-K, PSEUDO = 5, 1e-3
-BATCH, BUCKET = 700_000, 2_000_000
-END, START = 1, 2  # keys that stand beside word hashes
-
-
-class Numbered(dict):
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
+K, PSEUDO, SLOPE, FLATTEST = 5, 1e-3, -2.0, -1.1
+BATCH, BUCKET = 1_000_000, 2_000_000
+END = 1  # the key that stands beside word hashes
+START = 1 << 40  # the id that stands beside word ids
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -62,7 +60,7 @@ def held_out(doc_id: int | None) -> bool:
 
 
 LONGS, DOUBLES = pa.list_(pa.int64()), pa.list_(pa.float64())
-PACKED = {"batch": pa.string(), "doc_ids": LONGS, "held": pa.binary(), "lens": pa.binary(), "stream": pa.binary(), "keys": pa.binary(), "train_tokens": pa.int64(), "train_docs": pa.int64()}
+PACKED = {"batch": pa.string(), "doc_ids": LONGS, "held": pa.binary(), "lens": pa.binary(), "stream": pa.binary(), "keys": pa.binary(), "tokens": pa.int64(), "train_tokens": pa.int64(), "train_docs": pa.int64()}
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,23 +68,28 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def row() -> pa.RecordBatch:
         held = np.array([held_out(i) for i in ids], "u1")
-        size = np.array([len(p) for p in parts], np.int64)
-        keys = np.array([END, *(xxhash.xxh3_64_intdigest(w) | 4 for w in list(number)[1:])], "<u8")
+        size = np.concatenate(sizes)
         train = held == 0
-        return table_of([(uuid.uuid4().hex, ids, held.tobytes(), ints(size), planes(np.concatenate(parts)), keys.tobytes(), int(size[train].sum()), int(train.sum()))], PACKED)
-
-    number, ids, parts, n = Numbered({None: 0}), [], [], 0
+        keys = np.fromiter(number, np.uint64, len(number))
+        return table_of([(uuid.uuid4().hex, ids, held.tobytes(), ints(size), squeezed([np.concatenate(parts)]), keys.tobytes(), int(size.sum()), int(size[train].sum()), int(train.sum()))], PACKED)
+
+    number: dict[int, int] = {END: 0}
+    ids: list[int | None] = []
+    parts: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    n = 0
     for b in batches:
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            words = words_of(text)
-            stream = np.zeros(len(words) + 1, np.uint32)
-            stream[:-1] = np.fromiter(map(number.__getitem__, words), np.uint32, len(words))
-            ids.append(doc_id)
-            parts.append(stream)
-            n += len(stream)
-            if n >= BATCH or len(ids) == 1 << 16:
-                yield row()
-                number, ids, parts, n = Numbered({None: 0}), [], [], 0
+        words, coded, each = numbered(b.column(1))
+        own = np.fromiter((number.setdefault(xxhash.xxh3_64_intdigest(w) | 4, len(number)) for w in words), np.uint32, len(words))
+        ends = np.cumsum(each)
+        stream = np.insert(own[coded], ends, 0).astype(np.uint32)  # the end is number 0
+        ids += b.column(0).to_pylist()
+        parts.append(stream)
+        sizes.append(each + 1)
+        n += len(stream)
+        if n >= BATCH or len(ids) >= 1 << 15:
+            yield row()
+            number, ids, parts, sizes, n = {END: 0}, [], [], [], 0
     if ids:
         yield row()
 
@@ -105,7 +108,7 @@ def _ask(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                stream, keys = unplanes(r["stream"]), np.frombuffer(r["keys"], "<u8")
+                (stream,), keys = unsqueezed(r["stream"]), np.frombuffer(r["keys"], "<u8")
                 train = np.repeat(np.frombuffer(r["held"], "u1") == 0, unints(r["lens"]))
                 counts = np.bincount(stream[train], minlength=len(keys))
                 _, order, at = _split(keys, buckets)
@@ -115,39 +118,43 @@ def _ask(buckets: int):
     return run
 
 
-TOTALS = {"batch": pa.string(), "bucket": pa.int32(), "counts": pa.binary(), "types": pa.int64(), "counts_of_counts": LONGS, "hot": LONGS}
+TOTALS = {"batch": pa.string(), "bucket": pa.int32(), "known": pa.binary(), "types": pa.int64(), "counts_of_counts": LONGS, "hot": LONGS}
 
 
 def count_of_counts(total: np.ndarray) -> list[int]:
     return np.bincount(total[(total > 0) & (total <= K + 1)].astype(np.int64), minlength=K + 2)[1:].tolist()
 
 
-def _total(hot_from: int):
+def _total(hot_from: int, buckets: int):
+    """A word's id is its place by frequency in its bucket, times the number of buckets, plus the bucket's number, from 1."""
+
     def run(key, got):
         parts = [np.frombuffer(k, "<u8") for k in got["keys"].to_pylist()]
         distinct, where = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(where, np.concatenate([unints(c) for c in got["counts"].to_pylist()]), len(distinct)).astype(np.int64)
         bucket, at, rows = key[0].as_py(), 0, []
+        ids = np.empty(len(distinct), np.int64)
+        ids[np.lexsort((distinct, -total))] = np.arange(len(distinct)) * buckets + bucket + 1
         for batch, part in zip(got["batch"].to_pylist(), parts, strict=True):
-            rows.append((batch, bucket, ints(total[where[at : at + len(part)]]), 0, None, None))
+            own = where[at : at + len(part)]
+            rows.append((batch, bucket, squeezed([total[own], ids[own]]), 0, None, None))
             at += len(part)
-        rows.append((None, bucket, None, int((total > 0).sum()), count_of_counts(total), distinct[total >= hot_from].view(np.int64).tolist()))
+        rows.append((None, bucket, None, int((total > 0).sum()), count_of_counts(total), ids[total >= hot_from].tolist()))
         return pa.Table.from_batches([table_of(rows, TOTALS)])
 
     return run
 
 
 def discounts(n: list[int]) -> np.ndarray:
-    """d(0..K) from counts of counts n(1..K+1); d(0) isn't used."""
+    """d(0..K) from counts of counts n(1..K+1); d(0) isn't used. With n(c) = a * c**slope, (c + 1) n(c + 1) / (c n(c)) is
+    ((c + 1) / c) ** (slope + 1), and Katz's common share (K + 1) n(K + 1) / n(1) is (K + 1) ** (slope + 1)."""
+    c, r = np.array(n, np.float64), np.arange(1, K + 2)
+    some = c > 0
+    slope = np.polyfit(np.log(r[some]), np.log(c[some]), 1)[0] if some.sum() > 1 else SLOPE
+    power = min(slope, FLATTEST) + 1
+    common = (K + 1) ** power
     d = np.ones(K + 1)
-    r = np.arange(1, K + 1)
-    c = np.array(n, np.float64)
-    if (c > 0).all():
-        common = (K + 1) * c[K] / c[0]
-        d[1:] = ((r + 1) * c[1:] / (r * c[:-1]) - common) / (1 - common) if common != 1 else 2
-    if not (c > 0).all() or (d[1:] <= 0).any() or (d[1:] >= 1).any():
-        cut = c[0] / (c[0] + 2 * c[1]) if c[0] and c[1] else 0.5
-        d[1:] = (r - np.clip(cut, 0.05, 0.95)) / r
+    d[1:] = (((r[:K] + 1) / r[:K]) ** power - common) / (1 - common)
     return d
 
 
@@ -165,7 +172,7 @@ class Unigrams:
         return np.where(count > 0, seen, (self.low + self.more) / all_mass)
 
 
-KNOWN = PACKED | {"counts": pa.binary(), "n_known": LONGS, "base": DOUBLES}
+KNOWN = {k: v for k, v in PACKED.items() if k != "keys"} | {"known": pa.binary(), "n_known": LONGS, "base": DOUBLES}
 
 
 def _attach(buckets: int, tokens: int, types: int):
@@ -174,18 +181,21 @@ def _attach(buckets: int, tokens: int, types: int):
             for r in b.to_pylist():
                 keys = np.frombuffer(r["keys"], "<u8")
                 _, order, _ = _split(keys, buckets)
-                counts = np.empty(len(keys), np.int64)
-                counts[order] = np.concatenate([unints(p["counts"]) for p in r["parts"]])
-                c = counts[unplanes(r["stream"])]
+                counts, ids = (np.empty(len(keys), np.int64) for _ in range(2))
+                parts = [unsqueezed(p["known"]) for p in r["parts"]]
+                counts[order], ids[order] = (np.concatenate([p[k] for p in parts]) for k in range(2))
+                (stream,) = unsqueezed(r["stream"])
+                c = counts[stream]
                 first = np.concatenate([[0], np.cumsum(unints(r["lens"]), dtype=np.int64)[:-1]])
                 base = np.add.reduceat(np.log10((c + 1) / (tokens + types + 1)), first)
                 known = np.add.reduceat((c > 0).astype(np.int64), first)
-                yield table_of([tuple(r[k] for k in PACKED) + (ints(counts), known, base)], KNOWN)
+                yield table_of([tuple(r[k] for k in PACKED if k != "keys") + (squeezed([counts, ids]), known, base)], KNOWN)
 
     return run
 
 
-ENTRIES = {"bucket": pa.int32(), "batch": pa.string(), "held": pa.binary(), "histories": pa.binary(), "history_counts": pa.binary(), "pairs_each": pa.binary(), "words": pa.binary(), "word_counts": pa.binary(), "docs_each": pa.binary(), "docs": pa.binary(), "counts": pa.binary()}
+#: data: histories, their counts, pairs of each, words, their counts, documents of each pair, documents, counts in them
+ENTRIES = {"bucket": pa.int32(), "batch": pa.string(), "held": pa.binary(), "data": pa.binary()}
 
 
 def _spread(a: np.ndarray, each: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -200,13 +210,17 @@ def _entries(buckets: int, hot: np.ndarray, starts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                stream, lens = unplanes(r["stream"]).astype(np.uint64), unints(r["lens"]).astype(np.int64)
-                keys = np.append(np.frombuffer(r["keys"], "<u8"), np.uint64(START))
-                counts = np.append(unints(r["counts"]).astype(np.int64), starts)
+                lens, (counts, ids) = unints(r["lens"]).astype(np.int64), unsqueezed(r["known"])
+                keys, counts = np.append(ids.astype(np.uint64), np.uint64(START)), np.append(counts.astype(np.int64), starts)
+                by_id = np.argsort(keys)  # numbers in the order of ids, so that entries come sorted by them
+                place = np.empty_like(by_id)
+                place[by_id] = np.arange(len(by_id))
+                keys, counts = keys[by_id], counts[by_id]
+                stream = place[unsqueezed(r["stream"])[0]].astype(np.uint64)
                 n, docs = np.uint64(len(keys)), np.uint64(len(lens))
                 before = np.empty_like(stream)
                 before[1:] = stream[:-1]
-                before[np.cumsum(lens) - lens] = n - np.uint64(1)
+                before[np.cumsum(lens) - lens] = n - np.uint64(1)  # the start has the largest id
                 all_of = ((before * n + stream) * docs) + np.repeat(np.arange(len(lens), dtype=np.uint64), lens)
                 all_of.sort()
                 new = np.flatnonzero(np.append(True, all_of[1:] != all_of[:-1]))
@@ -229,7 +243,8 @@ def _entries(buckets: int, hot: np.ndarray, starts: int):
                     e = slice(entry_at[at[i]], entry_at[at[i + 1]])
                     runs = np.flatnonzero(np.append(True, h[p][1:] != h[p][:-1]))
                     own = h[p][runs]
-                    rows.append((i, r["batch"], r["held"], keys[own].tobytes(), ints(counts[own]), ints(np.diff(np.append(runs, at[i + 1] - at[i]))), keys[w[p]].tobytes(), ints(counts[w[p]]), ints(each[p]), ints(doc[e]), ints(count[e])))
+                    data = squeezed([keys[own], counts[own], np.diff(np.append(runs, at[i + 1] - at[i])), keys[w[p]], counts[w[p]], each[p], doc[e], count[e]], deltas=(0, 3))
+                    rows.append((i, r["batch"], r["held"], data))
                 yield table_of(rows, ENTRIES)
 
     return run
@@ -244,23 +259,21 @@ def _score(unigrams: Unigrams, hot: np.ndarray):
 
     def run(key, got):
         rows, at_pair = [], 0
-        blobs = got.to_pylist()
-        hs = [np.repeat(np.frombuffer(r["histories"], "<u8"), unints(r["pairs_each"])) for r in blobs]
-        cs = [np.repeat(unints(r["history_counts"]), unints(r["pairs_each"])).astype(np.int64) for r in blobs]
-        h, w = np.concatenate(hs), np.concatenate([np.frombuffer(r["words"], "<u8") for r in blobs])
-        with np.errstate(over="ignore"):
-            code = (h * np.uint64(0xD6E8FEB86659FD93)) ^ (w + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
-            code ^= code >> np.uint64(29)
-        _, first, which = np.unique(code, return_index=True, return_inverse=True)
-        del code
-        wc = np.concatenate([unints(r["word_counts"]).astype(np.int64) for r in blobs])
-        each = [unints(r["docs_each"]).astype(np.int64) for r in blobs]
-        doc = [unints(r["docs"]).astype(np.int64) for r in blobs]
-        count = [unints(r["counts"]).astype(np.int64) for r in blobs]
+        blobs = got.select(["batch", "held"]).to_pylist()
+        data = [unsqueezed(x) for x in got["data"].to_pylist()]
+        h = np.concatenate([np.repeat(x[0].astype(np.uint64), x[2]) for x in data])
+        cs = [np.repeat(x[1].astype(np.int64), x[2]) for x in data]
+        w, w_local = np.unique(np.concatenate([x[3] for x in data]), return_inverse=True)
+        names, hist = np.unique(h, return_inverse=True)
+        _, first, which = np.unique(hist * len(w) + w_local, return_index=True, return_inverse=True)
+        hist = hist[first]
+        del w, w_local, h
+        wc = np.concatenate([x[4].astype(np.int64) for x in data])
+        each, doc, count = ([x[k].astype(np.int64) for x in data] for k in (5, 6, 7))
+        del data
         held = [np.frombuffer(r["held"], "u1") for r in blobs]
         own = [np.add.reduceat(np.where(o[d] == 0, c, 0), np.cumsum(e) - e) for e, d, c, o in zip(each, doc, count, held, strict=True)]
         total = np.bincount(which, np.concatenate(own), len(first)).astype(np.int64)
-        names, hist = np.unique(h[first], return_inverse=True)
         weights = np.zeros((len(names), K + 3))
         for r in range(1, K + 1):
             weights[:, r - 1] = np.bincount(hist[total == r], minlength=len(names))
@@ -340,27 +353,27 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "katz")
-    mapped = lambda df, f, kinds: df.mapInArrow(f, ddl(kinds))
+    mapped = lambda df, f, kinds: df.mapInArrow(lambda batches: trimmed(f(batches)), ddl(kinds))
     packed = scratch.write(mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _pack, PACKED), "packed")
-    known = packed.agg(F.sum("train_tokens"), F.sum("train_docs"), F.sum(F.length("stream") / 4)).first()
+    known = packed.agg(F.sum("train_tokens"), F.sum("train_docs"), F.sum("tokens")).first()
     tokens, starts, all_tokens = (int(x or 0) for x in known)
     buckets = max(4, -(-all_tokens // BUCKET))
     hot_from = max(2, tokens // (4 * buckets))
 
     asked = mapped(packed.select("batch", "held", "lens", "stream", "keys"), _ask(buckets), ASKED)
-    totals = scratch.write(asked.groupBy("bucket").applyInArrow(_total(hot_from), ddl(TOTALS)), "totals")
+    totals = scratch.write(asked.groupBy("bucket").applyInArrow(_total(hot_from, buckets), ddl(TOTALS)), "totals")
     stats = totals.where("batch is null").select("types", "counts_of_counts", "hot").collect()  # one row a bucket
     types = sum(r["types"] for r in stats)
     unigrams = Unigrams(tokens, [sum(r["counts_of_counts"][i] for r in stats) for i in range(K + 1)])
     hot = np.array([START, *(h for r in stats for h in r["hot"])], np.int64).view(np.uint64)
-    parts = totals.where("batch is not null").groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "counts"))).alias("parts"))
+    parts = totals.where("batch is not null").groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "known"))).alias("parts"))
     batches = scratch.write(mapped(packed.join(parts, "batch"), _attach(buckets, tokens, types), KNOWN), "known")
     del asked, parts
     scratch.drop("packed")
     scratch.drop("totals")
     release(spark)
 
-    entries = mapped(batches.select("batch", "held", "lens", "stream", "keys", "counts"), _entries(buckets, hot, starts), ENTRIES)
+    entries = mapped(batches.select("batch", "held", "lens", "stream", "known"), _entries(buckets, hot, starts), ENTRIES)
     scored = scratch.write(entries.groupBy("bucket").applyInArrow(_score(unigrams, hot), ddl(SCORED)), "scored")
     del entries
     release(spark)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 
@@ -39,3 +41,31 @@ def ddl(kinds: dict[str, pa.DataType]) -> str:
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def squeezed(arrays: Iterable[np.ndarray], deltas: Iterable[int] = ()) -> bytes:
+    """Arrays of non-negative integers as one compressed blob: byte planes in the least width, those numbered in deltas as
+    differences (modulo the width), which are small where values ascend."""
+    import zstandard
+
+    out, deltas = [], set(deltas)
+    for k, a in enumerate(arrays):
+        width = ints(a[:0] if not len(a) else np.array([a.max()]))[0]
+        a = a.astype(f"<u{width}")
+        if k in deltas:
+            a = np.diff(a, prepend=np.zeros(1, a.dtype))
+        out.append(len(a).to_bytes(8, "little") + bytes([width, k in deltas]) + np.ascontiguousarray(a.view("u1").reshape(-1, width).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+
+
+def unsqueezed(blob: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    data, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
+    while at < len(data):
+        n, width, delta = int.from_bytes(data[at : at + 8], "little"), data[at + 8], data[at + 9]
+        at += 10
+        a = np.ascontiguousarray(np.frombuffer(data, "u1", n * width, at).reshape(width, n).T).view(f"<u{width}").ravel()
+        out.append(np.cumsum(a, dtype=a.dtype) if delta else a)
+        at += n * width
+    return out

@@ -247,37 +247,60 @@ def test_cut_points_and_crc():
     assert int(np.bitwise_xor.reduce(shifted)) == zlib.crc32(ids.tobytes())
 
 
-def test_katz(docs, rows):
+def test_katz(docs, rows, monkeypatch):
     def check(frame, given):
-        texts = [(i, [*words(t), None], katz.held_out(i)) for i, t, *_ in given]
+        texts = [(i, [*words(t), None], zlib.crc32(str(i).encode()) % 7 == 2 if i is not None else False) for i, t, *_ in given]
         u, pairs, heads = Counter(), Counter(), Counter()
         for _, t, held in texts:
             if not held:
                 u.update(t)
                 pairs.update(zip(["<s>", *t], t, strict=False))
                 heads.update(["<s>", *t[:-1]])
-        n, k = sum(u.values()), katz.K
-        coc = lambda c: [Counter(c.values())[r] for r in range(1, k + 2)]
-        p1 = katz.Unigrams(n, coc(u))
-        d = katz.discounts(coc(pairs))
-        p = lambda w: float(p1(np.array([u[w]]))[0])
+        n, k = sum(u.values()), 5
+
+        def good_turing(counts):
+            """Katz's discounts from counts of counts that a straight line in logarithms smooths."""
+            kinds = Counter(counts.values())
+            at = [(math.log(r), math.log(kinds[r])) for r in range(1, k + 2) if kinds[r]]
+            mx, my = (sum(x[j] for x in at) / max(len(at), 1) for j in (0, 1))
+            slope = sum((x - mx) * (y - my) for x, y in at) / sum((x - mx) ** 2 for x, _ in at) if len(at) > 1 else -2.0
+            smooth = lambda r: r ** min(slope, -1.1)
+            common = (k + 1) * smooth(k + 1) / smooth(1)
+            d = {r: ((r + 1) * smooth(r + 1) / smooth(r) / r - common) / (1 - common) for r in range(1, k + 1)}
+            assert all(0 < x < 1 for x in d.values())
+            return d
+
+        d1, d = good_turing(u), good_turing(pairs)
+        unseen = sum((1 - d1[c]) * c for c in u.values() if c <= k)
+        more = 0 if unseen else 1
+        p = lambda w: (u[w] * (d1[u[w]] if u[w] <= k else 1) if u[w] else unseen + more) / (n + more)
         low = lambda c: c * (d[c] if c <= k else 1)
         seen = defaultdict(list)
         for (h, w), c in pairs.items():
             seen[h].append((w, c))
-        alpha = {h: (1 - sum(low(c) for _, c in x) / (heads[h] + katz.PSEUDO)) / (1 - sum(p(w) for w, _ in x)) for h, x in seen.items()}
+        alpha = {h: (1 - sum(low(c) for _, c in x) / (heads[h] + 1e-3)) / (1 - sum(p(w) for w, _ in x)) for h, x in seen.items()}
         for h in list(seen)[:25]:  # sums to one over the types and the unknown word
-            all_of = sum(low(pairs[h, w]) / (heads[h] + katz.PSEUDO) if pairs[h, w] else alpha[h] * p(w) for w in u) + alpha[h] * p("not a word")
+            all_of = sum(low(pairs[h, w]) / (heads[h] + 1e-3) if pairs[h, w] else alpha[h] * p(w) for w in u) + alpha[h] * p("not a word")
             assert all_of == pytest.approx(1)
         expected = []
         for i, t, held in texts:
             base = sum(math.log10((u[w] + 1) / (n + len(u) + 1)) for w in t)
-            score = sum(math.log10(low(pairs[h, w]) / (heads[h] + katz.PSEUDO) if pairs[h, w] else alpha.get(h, 1) * p(w)) for h, w in zip(["<s>", *t], t, strict=False))
+            score = sum(math.log10(low(pairs[h, w]) / (heads[h] + 1e-3) if pairs[h, w] else alpha.get(h, 1) * p(w)) for h, w in zip(["<s>", *t], t, strict=False))
             expected.append((i, held, len(t), sum(u[w] > 0 for w in t), n, pytest.approx(base, rel=1e-9, abs=1e-9), pytest.approx(score, rel=1e-9, abs=1e-9)))
         key = lambda r: (r[0], r[2])
         assert sorted((tuple(r) for r in katz.katz_scores(frame).collect()), key=key) == sorted(expected, key=key)
 
     check(docs, rows)
+    monkeypatch.setattr(katz, "BATCH", 700)  # many batches and buckets, hot histories
+    monkeypatch.setattr(katz, "BUCKET", 900)
+    check(docs, rows)
+
+
+def test_good_turing_discounts():
+    """Counts of counts of real training bigrams, of which raw estimates leave (0, 1); and too few to fit."""
+    for n in ([1579638, 246704, 51653, 21705, 18939, 7580], [45315, 4880, 1537, 331, 336, 86], [10, 0, 0, 0, 0, 0], [0] * 6, [1, 1, 1, 1, 1, 1]):
+        d = katz.discounts(n)[1:]
+        assert (d > 0).all() and (d < 1).all() and (np.diff(d) > 0).all()
 
 
 def test_mixing(docs, rows):
