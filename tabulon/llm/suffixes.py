@@ -16,8 +16,11 @@ anchors at equal places, so a window meets all its equals in the group of its an
    are put aside, and the others' suffixes are sorted; all but the first of equal suffixes are repeats.
 4. Repeats are merged into spans by document, and texts are cut where they are read.
 
-Skew: a passage in a third of all documents costs its block one context for each batch, not one for each
-document. Texts aren't shuffled while the tables that belong to them are small enough to be broadcast, which is checked;
+Skew: a passage in a third of all documents costs its block one context for each batch where its anchors lie deep in it.
+Near its edges contexts hold each document's own bytes and differ, so the contexts of an anchor that occurs ``HOT``
+times are sent as single windows, dealt by anchor and by the window's own hash: equal windows still meet, of those of a
+batch only the first is sent, and the others spread over all blocks. So no group grows with the number of documents by
+more than a window a batch. Texts aren't shuffled while the tables that belong to them are small enough to be broadcast, which is checked;
 beyond that they are joined by shuffle.
 
 Order: documents by id; rows with equal ids by their digest; rows with equal ids and texts are one document with equal
@@ -36,6 +39,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.jaccard import mixed
 from tabulon.llm.packing import bucket_of, ints, table_of, unints
+from tabulon.llm.tokens import trimmed
 from tabulon.llm.util import Scratch, release, small_batches, table
 
 SPAN, GRAM = 100, 32
@@ -47,6 +51,7 @@ FLUSH = 16 << 20  # bytes of text of a row of anchors or a batch of contexts
 BLOCK = 24 << 20  # bytes of text for each block of anchor groups
 TOGETHER = 20_000  # contexts that are compared together
 BROADCAST_BYTES = 32 << 20
+HOT = 1000  # occurrences from which an anchor's windows are dealt one by one
 LOW = np.uint64((1 << 27) - 1)
 
 
@@ -77,14 +82,18 @@ def anchors_of(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at[new], start[new], start[np.append(new[1:], len(at)) - 1], h[at[new]]
 
 
-def _chunks(texts: list[bytes]) -> Iterator[list[int]]:
+def _chunks(texts: list[bytes]) -> Iterator[list[tuple[int, int, int]]]:
+    """(text number, start, end) of pieces that are hashed together. A long text is cut; pieces overlap by SPAN - 1 bytes, so
+    each window lies in one."""
     own, n = [], 0
     for i, t in enumerate(texts):
-        if own and n + len(t) > CHUNK:
-            yield own
-            own, n = [], 0
-        own.append(i)
-        n += len(t)
+        for start in range(0, max(len(t) - SPAN + 1, 1), CHUNK):
+            end = min(start + CHUNK + SPAN - 1, len(t))
+            if own and n + end - start > CHUNK:
+                yield own
+                own, n = [], 0
+            own.append((i, start, end))
+            n += end - start
     if own:
         yield own
 
@@ -93,12 +102,14 @@ def found_in(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """(text number, anchor, first window, last window, hash) of all texts; places are inside the text."""
     parts = []
     for own in _chunks(texts):
-        size = np.array([len(texts[i]) for i in own])
+        number, begin, end = (np.array(x, np.int64) for x in zip(*own, strict=True))
+        size = end - begin
         first = np.cumsum(size) - size
-        at, lo, hi, h = anchors_of(np.frombuffer(b"".join(texts[i] for i in own), "u1"), size)
+        at, lo, hi, h = anchors_of(np.frombuffer(b"".join(texts[i][s:e] for i, s, e in own), "u1"), size)
         doc = np.searchsorted(first, at, "right") - 1
         # empty texts share their start with the next one; the last of equals is the one that has bytes
-        parts.append((np.array(own)[doc] if len(doc) else np.empty(0, np.int64), at - first[doc], lo - first[doc], hi - first[doc], h))
+        move = begin[doc] - first[doc]
+        parts.append((number[doc], at + move, lo + move, hi + move, h))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 4 + (np.empty(0, np.uint64),)
 
 
@@ -147,7 +158,8 @@ def _asked(blocks: int):
                 for i in range(blocks):
                     own = at == i
                     if own.any():
-                        rows.append((i, r["batch"], h[own].view("u1").reshape(-1, 8)[:, 2:].tobytes(), np.packbits(count[own] > 1).tobytes()))
+                        c = count[own]
+                        rows.append((i, r["batch"], h[own].view("u1").reshape(-1, 8)[:, 2:].tobytes(), np.packbits(c > 1).tobytes() + ints(c[c > 1])))
                 yield table_of(rows, {"block": pa.int32(), "batch": pa.string(), "hashes": pa.binary(), "twice": pa.binary()})
 
     return run
@@ -159,23 +171,35 @@ def _six(b: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _repeated(key, got):
-    parts = [_six(h) for h in got["hashes"].to_pylist()]
-    twice = np.concatenate([np.unpackbits(np.frombuffer(t, "u1"), count=len(p)) for t, p in zip(got["twice"].to_pylist(), parts, strict=True)])
-    _, where, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    flag = (np.bincount(where, twice) > 0) | (count > 1)
-    out, at, rows = flag[where], 0, []
-    for batch, p in zip(got["batch"].to_pylist(), parts, strict=True):
-        rows.append((batch, key[0].as_py(), np.packbits(out[at : at + len(p)]).tobytes()))
-        at += len(p)
-    return pa.Table.from_batches([table_of(rows, {"batch": pa.string(), "block": pa.int32(), "flags": pa.binary()})])
+def _repeated(hot: int):
+    """flags: of a batch's hashes those that occur twice, and then, if there are any, those that occur ``hot`` times."""
 
+    def run(key, got):
+        parts = [_six(h) for h in got["hashes"].to_pylist()]
+        times = []
+        for t, p in zip(got["twice"].to_pylist(), parts, strict=True):
+            bits = -(-len(p) // 8)
+            c = np.ones(len(p), np.int64)
+            c[np.unpackbits(np.frombuffer(t, "u1", bits), count=len(p)) > 0] = unints(t[bits:])
+            times.append(c)
+        _, where = np.unique(np.concatenate(parts), return_inverse=True)
+        count = np.bincount(where, np.concatenate(times))[where]
+        at, rows = 0, []
+        for batch, p in zip(got["batch"].to_pylist(), parts, strict=True):
+            own = count[at : at + len(p)]
+            often = np.packbits(own >= hot).tobytes() if (own >= hot).any() else b""
+            rows.append((batch, key[0].as_py(), np.packbits(own > 1).tobytes() + often))
+            at += len(p)
+        return pa.Table.from_batches([table_of(rows, {"batch": pa.string(), "block": pa.int32(), "flags": pa.binary()})])
+
+    return run
 
-DOCS_DDL = "doc_id long, tag long, sha binary, n_bytes long, flags binary"
+
+DOCS_DDL = "doc_id long, tag long, sha binary, n_bytes long, flags binary, hot binary"
 
 
 def _documents(blocks: int):
-    """A row a document: id, digest, size, and which of its anchors occur twice (null: none)."""
+    """A row a document: id, digest, size, and which of its anchors occur twice and which are hot (null: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,16 +207,19 @@ def _documents(blocks: int):
                 h = np.frombuffer(r["hashes"], "<u8")
                 distinct, where = np.unique(h, return_inverse=True)
                 at = bucket_of(distinct, blocks)
-                flag = np.zeros(len(distinct), bool)
+                flag, often = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
                 for p in r["parts"] or []:
                     own = np.flatnonzero(at == p["block"])
-                    flag[own] = np.unpackbits(np.frombuffer(p["flags"], "u1"), count=len(own)) > 0
-                flag = flag[where]
+                    bits = -(-len(own) // 8)
+                    flag[own] = np.unpackbits(np.frombuffer(p["flags"], "u1", bits), count=len(own)) > 0
+                    if len(p["flags"]) > bits:
+                        often[own] = np.unpackbits(np.frombuffer(p["flags"], "u1", bits, bits), count=len(own)) > 0
+                flag, often = flag[where], often[where]
                 each, sizes = unints(r["each"]).astype(np.int64), unints(r["sizes"]).astype(np.int64)
                 ends = np.cumsum(each)
                 shas = [r["shas"][i : i + 32] for i in range(0, len(r["shas"]), 32)]
-                flags = [np.packbits(flag[e - n : e]).tobytes() if flag[e - n : e].any() else None for e, n in zip(ends.tolist(), each.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array([tag_of(s) for s in shas], pa.int64()), pa.array(shas, pa.binary()), pa.array(sizes), pa.array(flags, pa.binary())], names=["doc_id", "tag", "sha", "n_bytes", "flags"])
+                flags, hot = ([np.packbits(f[e - n : e]).tobytes() if f[e - n : e].any() else None for e, n in zip(ends.tolist(), each.tolist(), strict=True)] for f in (flag, often))
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array([tag_of(s) for s in shas], pa.int64()), pa.array(shas, pa.binary()), pa.array(sizes), pa.array(flags, pa.binary()), pa.array(hot, pa.binary())], names=["doc_id", "tag", "sha", "n_bytes", "flags", "hot"])
 
     return run
 
@@ -209,24 +236,38 @@ def _contexts(blocks: int):
     def flush(rows: list[tuple]) -> pa.RecordBatch:
         import zstandard
 
-        rows = list({(i, tag): (i, tag, t, f) for i, tag, t, f in rows}.values())
-        texts = [t for _, _, t, _ in rows]
+        rows = list({(i, tag): (i, tag, t, f, o) for i, tag, t, f, o in rows}.values())
+        texts = [t for _, _, t, _, _ in rows]
         doc, at, lo, hi, h = found_in(texts)
         each = np.bincount(doc, minlength=len(texts))
-        flags = np.concatenate([np.unpackbits(np.frombuffer(f, "u1"), count=n) for (_, _, _, f), n in zip(rows, each.tolist(), strict=True)]) > 0
-        doc, at, lo, hi, h = doc[flags], at[flags], lo[flags], hi[flags], h[flags]
-        ids = np.array([_order(i) for i, _, _, _ in rows], np.int64)[doc]
-        tags = np.array([t for _, t, _, _ in rows], np.int64)[doc]
-        order = np.lexsort((lo, tags, ids))
+        bits = lambda f, n: np.unpackbits(np.frombuffer(f or bytes(-(-n // 8)), "u1"), count=n)
+        flags, often = (np.concatenate([bits(r[k], n) for r, n in zip(rows, each.tolist(), strict=True)]) > 0 for k in (3, 4))
+        doc, at, lo, hi, h, often = (x[flags] for x in (doc, at, lo, hi, h, often))
+        ids = np.array([_order(r[0]) for r in rows], np.int64)
+        tags = np.array([r[1] for r in rows], np.int64)
+        order = np.lexsort((lo, tags[doc], ids[doc]))
         seen: set = set()
-        first = np.zeros(len(doc), bool)
-        data: list[bytes] = [b""] * len(doc)
-        for i, d, a, s, e in zip(order.tolist(), doc[order].tolist(), at[order].tolist(), lo[order].tolist(), hi[order].tolist(), strict=True):
+        kept: list[tuple] = []  # document, anchor, first and last window, hash, bytes; no bytes: an earlier one is equal
+        for d, a, s, e, x, split in zip(*(c[order].tolist() for c in (doc, at, lo, hi, h, often)), strict=True):
             context = (a - s, texts[d][s : e + SPAN])
-            if context not in seen:
-                seen.add(context)
-                first[i] = True
-                data[i] = context[1]
+            if context in seen:
+                kept.append((d, a, s, e, x, b""))
+                continue
+            seen.add(context)
+            if not split:
+                kept.append((d, a, s, e, x, context[1]))
+                continue
+            for w in range(s, e + 1):
+                window = (a - w, texts[d][w : w + SPAN])
+                new = e == s or window not in seen
+                seen.add(window)
+                own = int.from_bytes(hashlib.blake2b(window[1], digest_size=8).digest(), "little") ^ x ^ (a - w) if new else x
+                kept.append((d, a, w, w, own, window[1] if new else b""))
+        doc, at, lo, hi = (np.array([k[j] for k in kept], np.int64) for j in range(4))
+        h = np.array([k[4] for k in kept], np.uint64)
+        data = [k[5] for k in kept]
+        first = np.array([len(x) > 0 for x in data], bool)
+        ids, tags = ids[doc], tags[doc]
         out = []
         where = bucket_of(h, blocks)
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -244,11 +285,11 @@ def _contexts(blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, n = [], 0
         for b in batches:
-            for i, text, tag, flags in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for i, text, tag, flags, hot in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 t = encoded(text)
                 if tag_of(hashlib.sha256(t).digest()) != tag:
                     continue  # another row with this id
-                rows.append((i, tag, t, flags))
+                rows.append((i, tag, t, flags, hot))
                 n += len(t)
                 if n > FLUSH:
                     yield flush(rows)
@@ -459,17 +500,21 @@ def _side(df: DataFrame, weight) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def _trimmed(f):
+    return lambda batches: trimmed(f(batches))
+
+
 def repeated_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(documents, spans): documents has doc_id, tag, sha, n_bytes, first (whether no earlier row has this text); spans has
     doc_id, tag, starts, ends for the first ones that hold repeats. Spans are disjoint byte ranges."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    anchored = scratch.write(texts.mapInArrow(_anchors, ANCHORED_DDL), "anchored")
+    anchored = scratch.write(texts.mapInArrow(_trimmed(_anchors), ANCHORED_DDL), "anchored")
     total = int(anchored.agg(F.sum(F.length("hashes"))).first()[0] or 0) * 4
     blocks = max(4, total // BLOCK)
     asked = anchored.select("batch", "hashes").mapInArrow(_asked(blocks), "block int, batch string, hashes binary, twice binary")
-    flags = scratch.write(asked.groupBy("block").applyInArrow(_repeated, "batch string, block int, flags binary"), "flags")
+    flags = scratch.write(asked.groupBy("block").applyInArrow(_repeated(HOT), "batch string, block int, flags binary"), "flags")
     parts = flags.groupBy("batch").agg(F.collect_list(F.struct("block", "flags")).alias("parts"))
     rows = scratch.write(anchored.join(parts, "batch", "left").mapInArrow(_documents(blocks), DOCS_DDL), "flagged")
     del asked, parts
@@ -479,11 +524,11 @@ def repeated_spans(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     least = rows.groupBy("sha").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("least"))
     least = scratch.write(least, "least")
     same = rows["sha"] == least["sha"]
-    known = rows.join(least, same).select("doc_id", "tag", rows["sha"], "n_bytes", "flags", (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("least")).alias("first"))
+    known = rows.join(least, same).select("doc_id", "tag", rows["sha"], "n_bytes", "flags", "hot", (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("least")).alias("first"))
     known = scratch.write(known, "documents")
-    active = known.where("first and flags is not null").select("doc_id", "tag", "flags").dropDuplicates(["doc_id", "tag"])
-    side = _side(active, F.length("flags") + 40).select(F.col("doc_id").alias("id"), "tag", "flags")
-    cut = texts.join(side, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "tag", "flags").mapInArrow(_contexts(blocks), CONTEXTS_DDL)
+    active = known.where("first and flags is not null").select("doc_id", "tag", "flags", "hot").dropDuplicates(["doc_id", "tag"])
+    side = _side(active, F.length("flags") + F.coalesce(F.length("hot"), F.lit(0)) + 40).select(F.col("doc_id").alias("id"), "tag", "flags", "hot")
+    cut = texts.join(side, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "text", "tag", "flags", "hot").mapInArrow(_trimmed(_contexts(blocks)), CONTEXTS_DDL)
     found = cut.groupBy("block").applyInArrow(_sorted_group(blocks), "part int, spans binary")
     spans = scratch.write(found.groupBy("part").applyInArrow(_by_document, "doc_id long, tag long, starts array<long>, ends array<long>"), "spans")
     del cut, found
@@ -563,7 +608,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
     joined = rows.join(side, rows["doc_id"].eqNullSafe(F.col("id")), "left").select("doc_id", "text", "lang", "source", "n_chars", "cuts")
-    return joined.mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")
+    return joined.mapInArrow(_trimmed(run), "doc_id long, text string, lang string, source string, n_chars long")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
