@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.llm.tokens import trimmed
 from tabulon.llm.util import Scratch, small_batches, table
 
 LABELLED, POOL, ROUNDS, SURE = 8000, 8000, 5, 0.04
@@ -194,7 +195,7 @@ def scored(docs: DataFrame, model: Model | None, keep: list[str] | None = None)
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars")]
     kinds = dict(docs.dtypes)
     ddl = "doc_id long, text_score double, meta_score double, score double, kept boolean" + "".join(f", keep_{c} {kinds[c]}" for c in names)
-    return docs.select(*cols, *(F.col(c).alias(f"keep_{c}") for c in names)).mapInArrow(run, ddl)
+    return docs.select(*cols, *(F.col(c).alias(f"keep_{c}") for c in names)).mapInArrow(lambda batches: trimmed(run(batches)), ddl)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.llm.tokens import trimmed
 from tabulon.llm.util import Scratch, block_of, blocks_for, range_bounds, release, running_start, small_batches, table
 from tabulon.llm.words import TextEncoder
 
@@ -181,8 +182,9 @@ def check_manifest(recipes: DataFrame, manifest: DataFrame) -> None:
 def write_store(docs: DataFrame, path: str, end_id: int, scratch: Scratch) -> None:
     """Encodes all documents and writes the three tables of the format to the scratch folder."""
     spark = docs.sparkSession
-    small_batches(spark, 4096)  # words of many texts are numbered together
-    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_objects(path, end_id), ROWS)
+    objects = _objects(path, end_id)
+    small_batches(spark, 4096, 8)  # words of many texts are numbered together
+    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda batches: trimmed(objects(batches)), ROWS)
     once = made.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in ("doc_id", "n", "width", "data", "lengths")), F.count("*").alias("copies"))
     once.write.partitionBy("kind").option("compression", "zstd").parquet(scratch.path("objects"))
     del made, once

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-TOGETHER = 12 << 20  # characters of text whose words are numbered together
+TOGETHER = 4 << 20  # characters of text whose words are numbered together
 
 #: Unicode's White_Space, fixed values.
 SPACES = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -77,7 +77,7 @@ class TextEncoder:
 
     def __init__(self, piece: Callable[[str], bytes], spec: str):
         self.split = pattern(spec).findall
-        self.pieces = Encoded(piece, 450_000)
+        self.pieces = Encoded(piece, 250_000)
         self.first = Encoded(self._chunk, 20_000)
         self.later = Encoded(self._spaced, 50_000)
 

@@ -156,6 +156,54 @@ def test_suffixes(docs, rows):
     assert sum(x[1] for x in out.values()) > 1000
 
 
+def boilerplate(n: int) -> list[bytes]:
+    """Documents of random words with one passage at changing places."""
+    rng = random.Random(5)
+    passage = " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(70))
+    own = lambda: " ".join("".join(rng.choice("ghijkl") for _ in range(6)) for _ in range(rng.randint(18, 40)))
+    return [f"{own()} {passage} {own()}".encode() for _ in range(n)]
+
+
+def test_suffixes_with_hot_anchors(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 2)
+    test_suffixes(docs, rows)
+    texts = [(i, t.decode(), None, None, 0, "", 0) for i, t in enumerate(boilerplate(60))]
+    test_suffixes(spark.createDataFrame(texts, DOCS).repartition(5), texts)
+
+
+def test_hot_anchors_spread():
+    """A passage in 2,000 documents with other surroundings: no group of windows holds more than a few."""
+    import zstandard
+
+    texts = boilerplate(2000)
+
+    def largest(hot: bool) -> int:
+        each = np.bincount(suffixes.found_in(texts)[0], minlength=len(texts))
+        ones = [np.packbits(np.ones(n, bool)).tobytes() for n in each.tolist()]
+        tags = [suffixes.tag_of(hashlib.sha256(t).digest()) for t in texts]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t.decode() for t in texts]), pa.array(tags), pa.array(ones, pa.binary()), pa.array(ones if hot else [None] * len(texts), pa.binary())], names=["doc_id", "text", "tag", "flags", "hot"])
+        groups = Counter()
+        for out in suffixes._contexts(4)(iter([batch])):
+            for meta in out.column(1).to_pylist():
+                groups.update(np.frombuffer(zstandard.ZstdDecompressor().decompress(meta), "<i8").reshape(6, -1)[0].tolist())
+        return max(groups.values())
+
+    assert largest(False) > 1000
+    assert largest(True) <= 3
+
+
+def test_long_texts_are_cut(monkeypatch):
+    rng = random.Random(3)
+    texts = [bytes(rng.choice(b"abc ") for _ in range(n)) for n in (0, 99, 100, 4000, 20, 7000)]
+
+    def windows() -> dict:
+        return {(d, w): (a, h) for d, a, lo, hi, h in zip(*(x.tolist() for x in suffixes.found_in(texts)), strict=True) for w in range(lo, hi + 1)}
+
+    whole = windows()
+    monkeypatch.setattr(suffixes, "CHUNK", 300)
+    assert windows() == whole and len(whole) == 1 + 3901 + 6901
+
+
 def test_suffix_sort():
     """The merge sort against Python's, with ties in order."""
     rng = np.random.default_rng(2)
