@@ -72,7 +72,7 @@ def encoder(path: str):
         spelled = word.replace(" ", space) if plain else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters)
         return b"".join([packed[t.id] for t in model.tokenize(spelled)])
 
-    fast = TextEncoder(piece, GPT_PATTERN)
+    fast = TextEncoder(piece, GPT_PATTERN, 400_000, 12 << 20)
 
     def encode(texts: list[str]) -> list[bytes]:
         whole = [any(a in t for a in added) for t in texts]
@@ -110,7 +110,7 @@ def merkle(keys: list[bytes]) -> bytes:
     return keys[0]
 
 
-ROWS = "kind string, key binary, doc_id long, n long, width int, data binary, lengths binary"
+ROWS = "kind string, key binary, doc_id long, n long, width int, data binary, lengths binary, root binary"
 
 
 def recipe_key(doc_id: int | None, listed: bytes) -> bytes:
@@ -135,13 +135,13 @@ def _objects(path: str, end_id: int):
                         seen.add(key)
                         part = ids[at:e]
                         width = 2 if part.max() < 1 << 16 else 4
-                        rows.append(("chunk", key, None, e - at, width, part.astype(f"<u{width}").tobytes(), None))
+                        rows.append(("chunk", key, None, e - at, width, part.astype(f"<u{width}").tobytes(), None, None))
                     at = e
                 listed = b"".join(keys)
-                rows.append(("recipe", recipe_key(doc_id, listed), doc_id, len(ids), 0, listed, np.diff(ends, prepend=0).astype("<u4").tobytes()))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-            kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "key", "doc_id", "n", "width", "data", "lengths"])
+                rows.append(("recipe", recipe_key(doc_id, listed), doc_id, len(ids), 0, listed, np.diff(ends, prepend=0).astype("<u4").tobytes(), merkle(keys)))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 8
+            kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "key", "doc_id", "n", "width", "data", "lengths", "root"])
 
     return run
 
@@ -152,13 +152,12 @@ MANIFEST_DDL = "block int, first_doc long, last_doc long, documents long, n_toke
 
 def _summary(key, got):
     """The manifest's row of a run of documents. Where starts are given, each must follow from the one before."""
-    rows = list(zip(*(got[c].to_pylist() for c in ("doc_id", "uid", "n_tokens", "data")), got["start"].to_pylist() if "start" in got.column_names else [None] * got.num_rows, strict=True))
+    rows = list(zip(*(got[c].to_pylist() for c in ("doc_id", "uid", "n_tokens", "root")), got["start"].to_pylist() if "start" in got.column_names else [None] * got.num_rows, strict=True))
     rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     leaves = []
-    for i, (doc_id, uid, n, data, start) in enumerate(rows):
+    for i, (doc_id, _, n, root, start) in enumerate(rows):
         if start is not None and i and start != rows[i - 1][4] + rows[i - 1][2]:
             raise ValueError("a recipe doesn't start where the one before ends")
-        root = merkle([data[j : j + 32] for j in range(0, len(data), 32)])
         leaves.append(hashlib.sha256(b"\0%s\0%d\0%s" % (repr(doc_id).encode(), n, root)).digest())
     ids = [r[0] for r in rows if r[0] is not None] or [None]
     row = (key[0].as_py(), ids[0], ids[-1], len(rows), sum(r[2] for r in rows), merkle(leaves))
@@ -168,7 +167,7 @@ def _summary(key, got):
 def check_manifest(recipes: DataFrame, manifest: DataFrame) -> None:
     """Ends with an error unless the recipes are those of the manifest, none lost or doubled, with the right starts.
     The driver gets one row a run of documents."""
-    made = recipes.select("block", "doc_id", "uid", "n_tokens", "data", "start").groupBy("block").applyInArrow(_summary, f"{MANIFEST_DDL}, start long")
+    made = recipes.select("block", "doc_id", "uid", "n_tokens", "root", "start").groupBy("block").applyInArrow(_summary, f"{MANIFEST_DDL}, start long")
     got = sorted(tuple(r) for r in made.collect())
     if [r[:-1] for r in got] != sorted(tuple(r) for r in manifest.select(*MANIFEST).collect()):
         raise ValueError("the recipes don't match the manifest")
@@ -185,24 +184,19 @@ def write_store(docs: DataFrame, path: str, end_id: int, scratch: Scratch) -> No
     objects = _objects(path, end_id)
     small_batches(spark, 4096, 8)  # words of many texts are numbered together
     made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda batches: trimmed(objects(batches)), ROWS)
-    once = made.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in ("doc_id", "n", "width", "data", "lengths")), F.count("*").alias("copies"))
+    once = made.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in ("doc_id", "n", "width", "data", "lengths", "root")), F.count("*").alias("copies"))
     once.write.partitionBy("kind").option("compression", "zstd").parquet(scratch.path("objects"))
     del made, once
     release(spark)
-    raw = spark.read.schema("key binary, doc_id long, n long, data binary, lengths binary, copies long, kind string").parquet(scratch.path("objects")).where("kind = 'recipe'")
+    raw = spark.read.schema("key binary, doc_id long, n long, data binary, lengths binary, root binary, copies long, kind string").parquet(scratch.path("objects")).where("kind = 'recipe'")
     raw = raw.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     cuts = range_bounds(raw, "doc_id", blocks_for(spark))
-    blocked = raw.select("doc_id", F.col("n").alias("n_tokens"), "data", "lengths", F.concat_ws("-", F.hex("key"), F.lpad(F.col("copy").cast("string"), 12, "0")).alias("uid"), block_of(F.col("doc_id"), cuts).alias("block"))
+    blocked = raw.select("doc_id", F.col("n").alias("n_tokens"), "data", "lengths", "root", F.concat_ws("-", F.hex("key"), F.lpad(F.col("copy").cast("string"), 12, "0")).alias("uid"), block_of(F.col("doc_id"), cuts).alias("block"))
     # made of the objects, before recipes are placed and written
-    blocked.select("block", "doc_id", "uid", "n_tokens", "data").groupBy("block").applyInArrow(_summary, MANIFEST_DDL).write.parquet(scratch.path("manifest"))
+    blocked.select("block", "doc_id", "uid", "n_tokens", "root").groupBy("block").applyInArrow(_summary, MANIFEST_DDL).write.parquet(scratch.path("manifest"))
     started = running_start(blocked, ["doc_id", "uid"], "n_tokens", "block", "start")
 
-    def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            roots = [merkle([d[i : i + 32] for i in range(0, len(d), 32)]) for d in b.column("data").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(roots, pa.binary())], names=[*b.schema.names, "root"])
-
-    recipes = started.select("doc_id", "uid", "start", "n_tokens", "data", "lengths", "block").mapInArrow(rooted, "doc_id long, uid string, start long, n_tokens long, data binary, lengths binary, block int, root binary")
+    recipes = started.select("doc_id", "uid", "start", "n_tokens", "data", "lengths", "block", "root")
     written = recipes.repartitionByRange(blocks_for(spark) // 2 or 1, "doc_id", "uid").sortWithinPartitions("doc_id", "uid")
     written.write.option("compression", "zstd").parquet(scratch.path("recipes"))
     given, kept = docs.count(), spark.read.schema(MANIFEST_DDL).parquet(scratch.path("manifest")).agg(F.sum("documents")).first()[0] or 0

@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-TOGETHER = 4 << 20  # characters of text whose words are numbered together
 
 #: Unicode's White_Space, fixed values.
 SPACES = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -75,9 +74,11 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 class TextEncoder:
     """Packed ids of whole texts, from a function that encodes one pre-token."""
 
-    def __init__(self, piece: Callable[[str], bytes], spec: str):
+    def __init__(self, piece: Callable[[str], bytes], spec: str, keep: int = 150_000, together: int = 4 << 20):
+        """keep: pre-tokens that are remembered, twice; together: characters of text whose words are numbered together."""
+        self.together = together
         self.split = pattern(spec).findall
-        self.pieces = Encoded(piece, 250_000)
+        self.pieces = Encoded(piece, keep)
         self.first = Encoded(self._chunk, 20_000)
         self.later = Encoded(self._spaced, 50_000)
 
@@ -108,7 +109,7 @@ class TextEncoder:
             if t and plain(t):
                 own.append(i)
                 size += len(t)
-                if size > TOGETHER:
+                if size > self.together:
                     self._together(texts, own, out)
                     own, size = [], 0
             elif t:
