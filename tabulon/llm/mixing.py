@@ -14,8 +14,9 @@ A source's stream is its documents in the order of a hash of their id, repeated;
 words. So each document is taken floor(target / size) or one more times, at most ``most`` times, a source's taken
 words equal its target rounded down, and reruns agree.
 
-Scale: hot sources aren't gathered: the stream order is a hash, so ranges of the hash cut every source into even
-blocks; places are sums over blocks plus sums inside a block.
+Scale: hot sources aren't gathered: the stream order is a hash, so ranges of the hash, a fixed number, cut every source into
+even blocks; places are sums over blocks plus sums inside a block. The table of sources goes through one task: a row a
+source, so millions of sources would be its bound.
 
 Defined results: null or blank texts have size 0 and take none; the null source is one source, last; sources by code
 point; repeated rows are documents each (ties in the stream order are between equal ids and go by size); no words at
@@ -33,6 +34,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 #: Slopes of the schedules, repeating by source: early, even, late.
 SLOPES = (0.8, 0.0, -0.8)
+RANGE_BITS = 12  # a source is cut into 2**12 ranges of its hash; the order of a stream doesn't depend on it
 BROADCAST_ROWS = 1_000_000  # plans of at most this many rows (32 MB) are sent to all executors
 
 
@@ -70,12 +72,11 @@ def demand_time(place: Column, target: Column, slope: Column) -> Column:
 
 def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, keep: list[str] | None = None) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken, copies, position (0 to 1, null where none is
-    taken) and the columns in keep, which should be small: they are shuffled with the sizes."""
+    taken), positions (of each copy) and the columns in keep, which should be small: they are shuffled with the sizes."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")]
     rows = docs.select(*cols, *(F.col(c).alias(f"keep_{c}") for c in keep or []))
-    rows = rows.withColumn("h", F.xxhash64(F.lit("mix"), "doc_id")).withColumn("block", F.pmod(F.shiftrightunsigned("h", 20), F.lit(2 * parts)).cast("int"))
+    rows = rows.withColumn("h", F.xxhash64(F.lit("mix"), "doc_id")).withColumn("block", F.shiftright("h", 64 - RANGE_BITS).cast("int"))
     rows = Scratch(spark, "mix").write(rows, "sized")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights, slopes)
     placed = running_start(rows, ["h", "doc_id", "size"], "size", "block", "place", ["source"])
@@ -87,10 +88,12 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tupl
     for p in passes[1:]:
         taken = taken + p
     copies = sum((F.when(p > 0, 1).otherwise(0) for p in passes[1:]), F.when(passes[0] > 0, 1).otherwise(0))
-    position = F.when(passes[0] > 0, demand_time(F.col("place").cast("double"), F.col("target"), F.col("slope")))
-    return joined.select("doc_id", "size", "source_size", "target", taken.alias("taken"), copies.cast("int").alias("copies"), position.alias("position"), *(F.col(f"keep_{c}").alias(c) for c in keep or []))
+    # each pass over a source asks for places of its own, further on in the source's demand
+    at = [F.when(p > 0, demand_time((F.col("place") + k * F.col("source_size")).cast("double"), F.col("target"), F.col("slope"))) for k, p in enumerate(passes)]
+    positions = F.filter(F.array(*at), lambda x: x.isNotNull())
+    return joined.select("doc_id", "size", "source_size", "target", taken.alias("taken"), copies.cast("int").alias("copies"), at[0].alias("position"), positions.alias("positions"), *(F.col(f"keep_{c}").alias(c) for c in keep or []))
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with what the mix takes of each, range-sorted by their first training position."""
-    return mix(table(spark, sf_dir, "documents")).repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+    return mix(table(spark, sf_dir, "documents")).drop("positions").repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
