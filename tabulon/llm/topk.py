@@ -12,13 +12,15 @@ of a candidate is the inner product over its own components, and a candidate's s
 
 Queries are rows whose id is divisible by ``every``; they are packed into blocks of ``QUERY_ROWS`` and meet blocks of
 ``BLOCK_ROWS`` candidates, so a task holds one pair of blocks at a time, whatever the sizes. Each pair of blocks
-gives at most k rows a query.
+gives at most k rows a query. Query blocks are copied to as many lanes as a shuffle has partitions: the work is each query
+against each row by contract, and a lane holds one pair of blocks at a time.
 
 Components become floor(256 * x). Sums are exact: in doubles where they can't pass 2**53, in 64-bit integers
 otherwise; components beyond 2**31 in size are refused with an error, for a score may not fit a long.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part; vectors of fewer
-components count as ending in zeros; repeated rows are candidates each, but rows with the query's own id aren't;
+components count as ending in zeros; repeated rows are candidates each, but rows with the query's own id aren't; a query
+id that is there more than once asks once, with the least of its vectors;
 ties go to the smaller id; no candidates: no rows; extra columns aren't read."""
 
 from __future__ import annotations
@@ -111,7 +113,6 @@ def _pairs(phase: int, k: int):
                 qids, q = _matrix(row["q_n"], row["q_dim"], row["q_ids"], row["q_data"])
                 cutoff = np.frombuffer(row["cutoffs"], "<i8") if phase == 2 else None
                 local = local_scores(q, c)
-                whole = local.sum(0)
                 parts = []
                 for x, query in enumerate(qids.tolist()):
                     other = np.flatnonzero(ids != query)
@@ -119,9 +120,11 @@ def _pairs(phase: int, k: int):
                         at = np.unique(np.concatenate([other[_best(local[g, x, other], ids[other], k)] for g in range(GROUPS)]))
                     else:  # entries that reach their share of the cutoff in some list, and then the cutoff
                         at = other[(local[:, x, other] * GROUPS >= cutoff[x]).any(0)]
-                        at = at[whole[x, at] >= cutoff[x]]
-                    at = at[_best(whole[x, at], ids[at], k)]
-                    parts.append((query, ids[at], whole[x, at]))
+                    whole = local[:, x, at].sum(0)  # resolved for what the lists have sent only
+                    if phase == 2:
+                        at, whole = at[whole >= cutoff[x]], whole[whole >= cutoff[x]]
+                    best = _best(whole, ids[at], k)
+                    parts.append((query, ids[at[best]], whole[best]))
                 yield _rows(parts)
 
     return run
@@ -135,7 +138,7 @@ def top_k(vectors: DataFrame, k: int, every: int, id_col: str = "vec_id", vector
     scratch = Scratch(spark, "topk")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = scratch.write(rows.mapInArrow(_packed(BLOCK_ROWS), BLOCK), "blocks")
-    asked = rows.where(F.col("id") % every == 0).repartition(max(1, parts // 4), "id")
+    asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")).repartition(max(1, parts // 4), "id")
     queries = scratch.write(asked.mapInArrow(_packed(QUERY_ROWS), BLOCK).withColumn("q_block", F.xxhash64("ids")), "queries")
     lanes = parts
     laid = blocks.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
