@@ -1,13 +1,12 @@
 """Document fingerprints (operator 10), by DataFrame and SQL functions only.
 
-Method: a canonical exact digest. A text is put in Unicode's compatibility composition (NFKC), letters are lower-cased
-(not case-folded: sharp s and SS, or final and medial sigma, stay different; the result isn't composed again) and
-white space runs become one space, none at the ends; the fingerprint is four 64-bit xxhashes of that, each with a seed
+Method: a canonical exact digest. A text is put in Unicode's compatibility composition (NFKC), its case is folded in full
+(sharp s and SS, final and medial sigma become one), the result is composed again and white space runs become one space, none at the ends; the fingerprint is four 64-bit xxhashes of that, each with a seed
 of its own, in hex. Rows with equal fingerprints are compared byte by byte before they count as one group.
 
 Likeness of two such fingerprints is 1.0 where they are equal and 0.0 otherwise: the digest is exact.
 
-``reflect`` calls the composition of the ICU library that Spark itself ships and uses for collations; it is a SQL
+``reflect`` calls the composition and case folding of the ICU library that Spark itself ships and uses for collations; it is a SQL
 function and runs in the JVM.
 
 Scale: the next document comes by one range-like shuffle: cut into blocks of neighbouring ids, each block gets the first
@@ -29,8 +28,9 @@ BROADCAST_ROWS = 500_000  # fingerprints of at most this many groups (64 MB) are
 
 def canonical(text: Column) -> Column:
     text = text_or_empty(text)
-    composed = F.when(text.rlike(r"[^\x00-\x7F]"), F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))).otherwise(text)
-    return F.trim(F.regexp_replace(F.lower(composed), r"[\s\p{Z}]+", " "))
+    composed = lambda t: F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(True))
+    folded = F.call_function("reflect", F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed(text), F.lit(True))
+    return F.trim(F.regexp_replace(F.when(text.rlike(r"[^\x00-\x7F]"), composed(folded)).otherwise(F.lower(text)), r"[\s\p{Z}]+", " "))
 
 
 def wide_hash(canon: Column) -> Column:
@@ -68,7 +68,8 @@ def grouped(hashed: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text: the text of the next row by ascending doc_id; the first row's after the last."""
+    """doc_id, text, fingerprint, next_text, next_fingerprint: those of the next row by ascending doc_id; the first row's
+    after the last."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(F.col("text")).alias("text"))
     cuts = range_bounds(rows.where("doc_id is not null"), "doc_id", blocks_for(spark))
@@ -81,7 +82,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     guests = rows.join(F.broadcast(hosts), is_first).dropDuplicates(["host"]).select("doc_id", "text", F.col("host").alias("block"), F.lit(True).alias("guest"), "wraps")
     both = rows.select("*", F.lit(False).alias("guest"), F.lit(False).alias("wraps")).unionByName(guests)
     order = Window.partitionBy("block").orderBy("guest", "doc_id", F.sha2("text", 256))
-    return both.withColumn("next_text", F.lead("text").over(order)).where(~F.col("guest")).select("doc_id", "text", "next_text")
+    both = both.repartition("block").withColumn("fingerprint", fingerprint(F.col("text")))
+    after = both.select("*", F.lead("text").over(order).alias("next_text"), F.lead("fingerprint").over(order).alias("next_fingerprint"))
+    return after.where(~F.col("guest")).select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +92,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text").cast("int")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("text", n - half), F.left("next_text", half))
-    marked = pairs.select("doc_id", n.cast("long").alias("n_chars"), canonical(F.col("text")).alias("canon"), canonical(F.col("next_text")).alias("next_canon"), edited.alias("edited"))
-    digests = marked.select("*", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("edited")).alias("edited_canon"))
-    hashed = digests.select("doc_id", "n_chars", "edited_sha256", wide_hash(F.col("canon")).alias("fingerprint"), wide_hash(F.col("edited_canon")).alias("edited_fingerprint"), (F.col("canon") == F.col("edited_canon")).alias("same_edited"), (F.col("canon") == F.col("next_canon")).alias("same_next"), wide_hash(F.col("next_canon")).alias("next_fingerprint"))
-    like = lambda other, same: F.when((F.col("fingerprint") == F.col(other)) & F.col(same), F.lit(1.0)).otherwise(F.lit(0.0))
-    rows = hashed.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint", "same_edited").alias("near_edited"), like("next_fingerprint", "same_next").alias("near_next"))
+    digests = pairs.select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", edited.alias("edited"))
+    hashed = digests.select("*", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fingerprint"))
+    like = lambda other: F.when(F.col("fingerprint") == F.col(other), F.lit(1.0)).otherwise(F.lit(0.0))
+    rows = hashed.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next"))
     rows = Scratch(spark, "op10").write(rows, "rows")
     release(spark)
     return grouped(rows, table(spark, sf_dir, "documents"))
