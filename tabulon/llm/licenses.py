@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.util import LOWER, UPPER, table, text_or_empty
 
-#: identifier: normalised sentence. Fixed values, from the licences' public texts.
+#: identifier: normalised sentence. Fixed values, from the licences' public texts and notices; the "named" ones are usual
+#: one-line notices.
 SENTENCES = {
     "apache-named": "licensed under the apache license version 2.0",
     "apache-notice": "licensed under the apache license version 2.0 the license",
@@ -47,6 +48,20 @@ SENTENCES = {
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "reserved": "all rights reserved",
+    "lgpl-library": "this library is free software",
+    "lgpl-terms-3": "you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-terms-3": "you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "isc-grant": "permission to use copy modify and/or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-named": "licensed under the isc license",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non-commercial and by any means",
+    "boost-named": "distributed under the boost software license version 1.0",
+    "boost-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third-parties to whom the software is furnished to do so all subject to the following",
+    "epl-accompanies": "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which accompanies this distribution and is available at https //www.eclipse.org/legal/epl-2.0/",
+    "epl-available": "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https //www.eclipse.org/legal/epl-2.0/",
+    "zlib-as-is": "this software is provided as-is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "cc0-law": "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
 }
 #: licence and its sequence of identifiers, in the order of matching.
 RULES = (
@@ -70,16 +85,45 @@ RULES = (
     ("CC-BY-4.0", ("cc-by-named",)),
     ("MPL-2.0", ("mpl-form",)),
     ("All-Rights-Reserved", ("reserved",)),
+    ("LGPL-3.0", ("lgpl-terms-3",)),
+    ("AGPL-3.0", ("gpl-free", "agpl-terms-3")),
+    ("AGPL-3.0", ("agpl-terms-3",)),
+    ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-named",)),
+    ("Unlicense", ("unlicense",)),
+    ("Unlicense", ("unlicense-anyone",)),
+    ("BSL-1.0", ("boost-named",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("EPL-2.0", ("epl-accompanies",)),
+    ("EPL-2.0", ("epl-available",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("Zlib", ("zlib-grant",)),
+    ("CC0-1.0", ("cc0-law",)),
 )
+#: Identifiers of the SPDX list that a tag line may name. Fixed values.
+SPDX = "Apache-2.0 MIT BSD-2-Clause BSD-3-Clause GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 EPL-2.0 ISC Unlicense BSL-1.0 Zlib CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0".split()
 #: What the reading by paragraphs knows besides: the GPL notices that have a semicolon before the version.
 MORE_SENTENCES = SENTENCES | {
     "gpl-terms": "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation",
     "gpl-either-3": "either version 3 of the license or at your option any later version",
     "gpl-either-2": "either version 2 of the license or at your option any later version",
+    "lgpl-terms": "you can redistribute it and/or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "lgpl-either-2.1": "either version 2.1 of the license or at your option any later version",
+    "agpl-terms": "you can redistribute it and/or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    "spdx": "spdx-license-identifier",
+    **{f"spdx-{x}": x.lower() for x in SPDX},
 }
-MORE_RULES = (*RULES, ("GPL-3.0", ("gpl-terms", "gpl-either-3")), ("GPL-2.0", ("gpl-terms", "gpl-either-2")))
+MORE_RULES = (
+    ("AGPL-3.0", ("agpl-terms", "gpl-either-3")),
+    ("LGPL-2.1", ("lgpl-terms", "lgpl-either-2.1")),
+    ("LGPL-3.0", ("lgpl-terms", "gpl-either-3")),
+    *((x.removesuffix("-only").removesuffix("-or-later"), ("spdx", f"spdx-{x}")) for x in SPDX),
+    *RULES,
+    ("GPL-3.0", ("gpl-terms", "gpl-either-3")),
+    ("GPL-2.0", ("gpl-terms", "gpl-either-2")),
+)
 #: Each known sentence holds one of these.
-KEYWORDS = "licen[sc]e|permission|redistribut|copyright|rights reserved|warrant|free software"
+KEYWORDS = "licen[sc]e|unencumbered|anyone is free|public domain|permission|redistribut|copyright|rights reserved|warrant|free software"
 END = r"([.!?;:])[ \t\r\x0b\x0c]+"
 
 
@@ -91,10 +135,11 @@ def normalised(sentence: Column) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    """A text with one paragraph a line, without comment marks; a copyright line is a paragraph of its own."""
+    """A text with one paragraph a line, without comment marks; a copyright line and an SPDX tag are paragraphs of their own."""
     s = F.regexp_replace(text, r"\r\n?", "\n")
     s = F.regexp_replace(s, r"(?m)^[ \t]*(?:/\*+|//+!?|--+|\*+/?|#+|;+)?[ \t]*|[ \t]*\*+/[ \t]*$", "")
     s = F.regexp_replace(s, r"(?im)^(copyright[ \t]+(?:\(c\)|\u00a9|[0-9]{4})[^\n]*)\n", "$1\n\n")
+    s = F.regexp_replace(s, r"(?im)^(spdx-license-identifier:[^\n]*)(\n|$)", "\n$1\n\n")
     s = F.regexp_replace(F.regexp_replace(s, r"\n\s*\n\s*", "\x1e"), r"\s+", " ")
     return F.regexp_replace(F.translate(s, "\x1e", "\n"), r"(?i)\bv\. (?=[0-9])", "v ")
 
