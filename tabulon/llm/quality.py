@@ -161,13 +161,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(f, pa.list_(pa.float64())), b.column(5)], names=["doc_id", "f", "y"])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The model, or None where labels don't hold both kinds."""
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
+    """The model, or None where labels don't hold both kinds. labelled, pool: rows of either kind that it is fitted on; their
+    features come to the driver."""
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     pick = lambda df, n, salt: df.orderBy(F.xxhash64(F.lit(salt), "doc_id"), "doc_id").limit(n)
-    some = pick(known.join(cols.select("doc_id").distinct(), "doc_id", "left_semi"), LABELLED, "labelled")
-    rest = pick(cols.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").distinct(), POOL, "pool").select("doc_id", F.lit(-1.0).alias("y"))
+    some = pick(known.join(cols.select("doc_id").distinct(), "doc_id", "left_semi"), labelled, "labelled")
+    rest = pick(cols.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").distinct(), pool, "pool").select("doc_id", F.lit(-1.0).alias("y"))
     small_batches(docs.sparkSession)
     sample = F.broadcast(some.unionByName(rest))  # at most LABELLED + POOL rows
     rows = cols.join(sample, "doc_id").mapInArrow(_features, "doc_id long, f array<double>, y double").dropDuplicates(["doc_id"]).collect()
