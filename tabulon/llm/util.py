@@ -23,8 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512, megabytes: int = 16) -> None:
-    """Arrow batches of few rows and bytes: rows hold whole texts, some of them long. Also ships the
-    package, which every Arrow function here needs."""
+    """Arrow batches of few rows and bytes: rows hold whole texts, some of them long. The session keeps these
+    settings, since results are computed later. Also ships the package, which every Arrow function here needs."""
     ship(spark)
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", megabytes << 20)):
         key = f"spark.sql.execution.arrow.{key}"
@@ -36,6 +36,8 @@ def shared_folder(spark: SparkSession) -> str:
     machine) a temporary folder is made and set."""
     at = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("TABULON_LOCAL_SHARED")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tabulon-")
         os.environ["TABULON_LOCAL_SHARED"] = at
     return at.rstrip("/")
