@@ -15,7 +15,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier doesn't reject."""
+    """Documents that the co-trained classifier doesn't reject. Null texts and metadata count as empty and as values of
+    their own; rows without an id and repeated rows are judged each; where labels don't hold both kinds all stay; an
+    empty table gives no rows; other columns go."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     rows = quality.scored(docs, model, COLUMNS).where("kept")
     return rows.select(*(F.col(f"keep_{c}").alias(c) for c in COLUMNS))
@@ -23,7 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of links at five words and 0.8: the one with the smallest id. Rows with equal ids are
-    one document. Rows without an id stay."""
+    one document, so repeated rows of one that stays all stay. Null, empty and blank texts are near to nothing and stay, as
+    do rows without an id; an empty table gives no rows; other columns go."""
     classes = jaccard.jaccard_components(docs, 5, 80)
     gone = Scratch(spark, "near").write(classes.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     few = gone.count() <= jaccard.BROADCAST_ROWS
@@ -31,26 +34,29 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings that also start earlier; documents of which nothing is left go."""
+    """Texts without strings that also start earlier; documents of which nothing is left go, so of equal texts of 100
+    bytes or more one stays. Null and short texts stay as they are; an empty table gives no rows; other columns go."""
     return suffixes.without_repeats(docs.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, as often as it takes them, range-sorted by training position; the second pass over
-    a source follows its first. The plan is made of keys and sizes; texts move once, for the sort. Equal rows count as
-    one in the plan and are taken alike."""
+    """The documents that the mix takes, as often as it takes them, range-sorted by training position: each pass over a
+    source has positions of its own. The plan is made of keys and sizes; texts move once, for the sort. Equal rows count as
+    one in the plan and are taken alike. Texts without words are never taken; the null source is a source; an empty table
+    gives no rows; other columns go."""
     keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text", "source").alias("key"))
     plan = mixing.mix(keyed.select("doc_id", "source", "text", "key").dropDuplicates(["doc_id", "key"]), keep=["key"]).where("taken > 0")
-    plan = Scratch(spark, "mixing").write(plan.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "copies", "position"), "plan")
+    plan = Scratch(spark, "mixing").write(plan.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "positions"), "plan")
     few = plan.count() <= mixing.BROADCAST_ROWS
     side = F.broadcast(plan) if few else plan
     taken = keyed.join(side, keyed["doc_id"].eqNullSafe(side["id"]) & (keyed["key"] == side["k"]))
-    placed = taken.select(*COLUMNS, "position", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("pass")).withColumn("place", F.col("position") + F.col("pass"))
+    placed = taken.select(*COLUMNS, F.explode("positions").alias("place"))
     return placed.repartitionByRange("place", "doc_id").sortWithinPartitions("place", "doc_id").select(*COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, the ids of the text, and whether decoding gave the text back."""
+    """doc_id, source, the ids of the text, and whether decoding gave the text back. A null or empty text has no ids;
+    repeated rows each give a row; an empty table gives no rows; other columns go."""
     import public_tokenizers
 
     path, spec = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
