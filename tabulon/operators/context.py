@@ -24,9 +24,13 @@ def captions(df: DataFrame) -> DataFrame:
     within = _upto(["file", "seg"], "seq", -1)
     mark = F.when(F.col("kind") == "caption", F.struct("seq", "page", "content"))
     rows = rows.withColumn("cap", F.last(mark, ignorenulls=True).over(within))
-    other = F.when(~F.col("kind").isin("caption", "title", "section_header", "table"), F.struct("seq", "page"))
-    rows = rows.withColumn("seen", F.collect_list(other).over(within))
-    broken = F.exists("seen", lambda s: (s["seq"] > F.col("cap.seq")) & ~s["page"].eqNullSafe(F.col("cap.page")))
+    # what came since that caption: the least and greatest page of other elements tell whether one stands elsewhere
+    since = _upto(["file", "seg", "run"], "seq", -1)
+    rows = rows.withColumn("run", F.count(mark).over(_upto(["file", "seg"], "seq")))
+    other = ~F.col("kind").isin("caption", "title", "section_header", "table")
+    rows = rows.withColumn("low", F.min(F.when(other, F.col("page"))).over(since)).withColumn("high", F.max(F.when(other, F.col("page"))).over(since)).withColumn("pageless", F.coalesce(F.max((other & F.col("page").isNull()).cast("int")).over(since), F.lit(0)) == 1)
+    away = F.col("low").isNotNull() & ~(F.col("low").eqNullSafe(F.col("cap.page")) & F.col("high").eqNullSafe(F.col("cap.page")))
+    broken = away | (F.col("pageless") & F.col("cap.page").isNotNull())
     fits = F.col("cap").isNotNull() & (F.col("cap.content") != "") & F.col("cap.page").eqNullSafe(F.col("page")) & ~broken
     return rows.where("kind = 'table'").select("file", "seq", "page", F.when(fits, F.col("cap.content")).alias("caption"))
 
@@ -93,3 +97,11 @@ def title_months(columns: DataFrame, titles: DataFrame) -> DataFrame:
     fits = F.coalesce(~only | ((due <= F.col("hi")) & (F.pmod(due, F.lit(12)) + 1 == F.col("month"))), F.lit(False))
     kept = F.min(fits.cast("int")).over(_upto(["table_id"], "col_index")) == 1
     return rows.select("table_id", "col_index", F.when(only & kept, F.floor(due / 12).cast("int")).otherwise(F.col("year")).alias("year"), "month")
+
+
+def adjacent(tables: DataFrame, content: DataFrame) -> DataFrame:
+    """Tables (file, seq, page) with what stands on their page: near, joined in order, and how many. content: file, page and a
+    struct c that is ordered and ends with a field content."""
+    found = tables.join(content, ["file", "page"], "left").groupBy("file", "seq").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    joined = F.array_join(F.transform("c", lambda x: x["content"]), " | ")
+    return found.select("file", "seq", F.when(F.size("c") > 0, joined).alias("near"), F.size("c").cast("long").alias("n"))

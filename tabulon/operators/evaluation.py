@@ -71,3 +71,14 @@ def budgeted(entries: DataFrame, key: str, chars: int, least: int = 500) -> Data
     room = F.lit(chars) - before
     out = entries.withColumn("room", room).where((F.col("room") >= F.length("text")) | (F.col("room") > least))
     return out.withColumn("text", F.left("text", F.least("room", F.length("text")).cast("int"))).drop("room")
+
+
+def by_match(entries: DataFrame, key: str, section: str, years: list[int], tie: str) -> DataFrame:
+    """Adds place: entries whose title or section holds a text first, then those that share years with the question, most first,
+    then the others by their distance from these years."""
+    asked = F.array(*(F.lit(y) for y in years)) if years else F.array().cast("array<int>")
+    holds = F.lower(F.coalesce("title", F.lit(""))).contains(section) | F.lower(F.coalesce("section", F.lit(""))).contains(section) if section else F.lit(False)
+    shared = F.size(F.array_intersect(asked, F.coalesce("years", F.array().cast("array<int>"))))
+    far = F.coalesce(F.array_min(F.transform(asked, lambda y: F.abs(F.coalesce("file_year", F.lit(0)) - y))), F.lit(9999))
+    order = Window.partitionBy(key).orderBy(F.when(holds, 0).otherwise(1), F.when(shared > 0, 0).otherwise(1), F.when(shared > 0, -shared).otherwise(far), tie)
+    return entries.withColumn("place", F.row_number().over(order))

@@ -143,3 +143,26 @@ def without_aggregates(df: DataFrame, key: str, label: str) -> DataFrame:
 
     plain = ~aggregate(F.col(label))
     return df.withColumn("_some", F.max(plain).over(Window.partitionBy(key))).where(plain | ~F.col("_some")).drop("_some")
+
+
+def latest(tables: DataFrame, most: int, overfetch: int | None = None) -> DataFrame:
+    """The latest table of each signature, latest first. With overfetch only the latest most * overfetch tables are looked at, so
+    fewer than most may be left; without it the cut comes last."""
+    order = [F.desc("file_year"), F.desc("file_month"), F.desc("id")]
+    pool = tables.orderBy(*order).limit(most * overfetch) if overfetch else tables
+    first = pool.withColumn("_n", F.row_number().over(Window.partitionBy("signature").orderBy(*order))).where(F.col("_n") == 1).drop("_n")
+    return first if overfetch else first.orderBy(*order).limit(most)
+
+
+def best_per(hits: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Adds place. Of the best max(10 * most, 200) hits by score the best of each key, then the best most of these; ties to the
+    earlier issue."""
+    order = ["score", "file_year", "file_month", "id"]
+    pool = hits.orderBy("score", "id").limit(max(10 * most, 200))
+    first = pool.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") == 1).drop("_n")
+    return first.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # at most most rows
+
+
+def prepended(first: DataFrame, rest: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows of the first list, then those of the other that aren't in it; list_no tells which."""
+    return first.withColumn("list_no", F.lit(0)).unionByName(rest.join(first, keys, "left_anti").withColumn("list_no", F.lit(1)))
