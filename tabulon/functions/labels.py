@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Month words and their numbers.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: Words that are months, and what a year looks like.
 MONTH_WORDS = {**{m: i + 1 for i, m in enumerate(MONTHS)}, **{m[:3]: i + 1 for i, m in enumerate(MONTHS)}, "sept": 9}
 YEAR = r"\b(1[89]\d{2}|20[0-3]\d)\b"
 MONTH = r"\b(january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sept?|oct|nov|dec)\b"

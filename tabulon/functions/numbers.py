@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,21 +29,29 @@ def with_cells(df: DataFrame, raw: str) -> DataFrame:
     expressions stay small."""
     c, own = F.col, df.columns
     early = c("_s").isNull() | is_missing(c("_s"))
+
+    def has(name: str, *marks: str) -> Column:
+        """A look for plain characters, which most cells don't have, saves a pattern's run."""
+        return reduce(lambda x, y: x | y, (F.contains(c(name), F.lit(m)) for m in marks))
+
+    test = lambda name, pattern, *marks: has(name, *marks) & c(name).rlike(pattern)
+    without = lambda name, pattern, to, *marks: F.when(has(name, *marks), F.trim(F.regexp_replace(name, pattern, to))).otherwise(c(name))
     steps = [
         {"_s": F.trim(raw)},
-        {"_tail": c("_s").rlike(r"(\d/|\s\d{1,2}/|\*+|†)\s*$"), "_a": F.trim(F.regexp_replace("_s", r"(\s+\d{1,2}/|\d/|\s*\*+|\s*†)\s*$", ""))},
-        {"_head": c("_a").rlike(r"^\s*\d+/") & ~c("_a").rlike(r"^\s*\d+/\d+\s*$")},
+        {"_tail": test("_s", r"(\d/|\s\d{1,2}/|\*+|†)\s*$", "/", "*", "†"), "_a": without("_s", r"(\s+\d{1,2}/|\d/|\s*\*+|\s*†)\s*$", "", "/", "*", "†")},
+        {"_head": test("_a", r"^\s*\d+/", "/") & ~c("_a").rlike(r"^\s*\d+/\d+\s*$")},
         {"_b": F.when(c("_head"), F.trim(F.regexp_replace("_a", r"^\s*\d+/\s*", ""))).otherwise(c("_a"))},
-        {"_revised": c("_b").rlike(r"(\br/|\sr)\s*$"), "_c": F.trim(F.regexp_replace("_b", r"(\s*\br/|\s+r)\s*$", ""))},
-        {"_preliminary": c("_c").rlike(r"(\bp/|\sp)\s*$"), "_d": F.trim(F.regexp_replace("_c", r"(\s*\bp/|\s+p)\s*$", ""))},
-        {"_estimated": c("_d").rlike(r"\be/\s*$"), "_e": F.trim(F.regexp_replace("_d", r"\s*\be/\s*$", ""))},
-        {f"_said_{w}": c("_e").rlike(rf"(?i)\(\s*{w}d?\s*\)") for w in ("revised", "preliminary", "estimate")} | {"_f": F.trim(F.regexp_replace("_e", r"(?i)\s*\(\s*(revised|preliminary|estimated|estimate)\s*\)\s*", " "))},
-        {"_g": F.trim(F.regexp_replace("_f", r"(?i)\b(million|billion|thousand)s?\b", ""))},
-        {"_percent": c("_g").endswith("%"), "_h": F.trim(F.regexp_replace("_g", "%$", ""))},
+        {"_revised": test("_b", r"(\br/|\sr)\s*$", "r"), "_c": without("_b", r"(\s*\br/|\s+r)\s*$", "", "r")},
+        {"_preliminary": test("_c", r"(\bp/|\sp)\s*$", "p"), "_d": without("_c", r"(\s*\bp/|\s+p)\s*$", "", "p")},
+        {"_estimated": test("_d", r"\be/\s*$", "e/"), "_e": without("_d", r"\s*\be/\s*$", "", "e/")},
+        {f"_said_{w}": test("_e", rf"(?i)\(\s*{w}d?\s*\)", "(") for w in ("revised", "preliminary", "estimate")} | {"_f": without("_e", r"(?i)\s*\(\s*(revised|preliminary|estimated|estimate)\s*\)\s*", " ", "(")},
+        {"_low": F.lower("_f")},
+        {"_g": F.when(has("_low", "illion", "thousand"), F.trim(F.regexp_replace("_f", r"(?i)\b(million|billion|thousand)s?\b", ""))).otherwise(c("_f"))},
+        {"_percent": c("_g").endswith("%"), "_h": without("_g", "%$", "", "%")},
         {"_negative": c("_h").startswith("(") & c("_h").endswith(")") & (F.length("_h") > 1)},
         {"_body": F.when(c("_negative"), F.trim(F.regexp_replace("_h", r"^\(|\)$", ""))).otherwise(c("_h"))},
         {"_cleaned": F.translate("_body", ",$ ", "")},
-        {"_size": F.coalesce(_mixed(c("_body")), _fraction(c("_body")), as_double(c("_cleaned"))), "_nothing": F.coalesce(early | is_missing(c("_h")) | is_missing(c("_cleaned")), F.lit(True))},
+        {"_size": F.coalesce(F.when(has("_body", "/"), F.coalesce(_mixed(c("_body")), _fraction(c("_body")))), as_double(c("_cleaned"))), "_nothing": F.coalesce(early | is_missing(c("_h")) | is_missing(c("_cleaned")), F.lit(True))},
         {"numeric_value": F.when(~c("_nothing"), F.when(c("_negative"), -c("_size")).otherwise(c("_size")))},
     ]
     for s in steps:

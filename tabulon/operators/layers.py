@@ -104,3 +104,12 @@ def sanity(ledger: Ledger, f: DataFrame) -> DataFrame:
     for df in (r, c, x, v, y):
         out = out.unionByName(long(df))
     return out
+
+
+def entries_at(ledger: Ledger, gold: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Data tables that stand at given places, with their first row labels in order and the distinct years of their columns."""
+    tables = ledger.tables.where("table_kind = 'data'").join(gold.select(*keys).distinct(), keys, "left_semi")
+    ids = tables.select(F.col("id").alias("table_id"))
+    rows = ledger.rows.where(F.col("row_index") <= most).join(ids, "table_id", "left_semi").groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "row_path"))), lambda r: r["row_path"]).alias("row_labels"))
+    years = ledger.columns.join(ids, "table_id", "left_semi").groupBy("table_id").agg(F.array_sort(F.collect_set("year_extracted")).alias("years"))
+    return tables.join(rows, tables["id"] == rows["table_id"], "left").drop("table_id").join(years, F.col("id") == years["table_id"], "left").drop("table_id")

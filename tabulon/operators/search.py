@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -84,14 +85,19 @@ def slug_hits(rows: DataFrame, terms: list[str], match_all: bool) -> DataFrame:
     return rows.where(cond).groupBy("table_id").agg((-(F.count("*") + 5 * F.max(exact))).cast("double").alias("score"))
 
 
-def progressive(stages: DataFrame, threshold: int, most: int) -> DataFrame:
-    """Rows (id, stage, score) of stages 0, 1, ..: a stage counts only while no earlier one had threshold hits and fewer than
-    most ids are in; an id keeps its first stage."""
-    first = stages.groupBy("id").agg(F.min(F.struct("stage", "score")).alias("s")).select("id", "s.stage", "s.score")
-    counts = stages.groupBy("stage").agg(F.countDistinct("id").alias("hits")).join(first.groupBy("stage").agg(F.count("*").alias("new")), "stage", "left")
-    before = Window.orderBy("stage").rowsBetween(Window.unboundedPreceding, -1)  # a row a stage
-    open_ = counts.select("stage", (F.coalesce(F.max("hits").over(before), F.lit(0)) < threshold).alias("few"), (F.coalesce(F.sum("new").over(before), F.lit(0)) < most).alias("room"))
-    return first.join(F.broadcast(open_.where("few and room").select("stage")), "stage").orderBy("stage", "score", "id").limit(most).select("id", "stage", "score")
+def progressive(spark: SparkSession, stages: list[Callable[[], DataFrame]], threshold: int, most: int) -> DataFrame:
+    """Stages of (id, score), each tried only while no earlier one had threshold hits and fewer than most ids are in; an id keeps
+    its first stage. A later stage isn't run at all once the pool is full: of each at most threshold + most rows, both
+    fixed, come to the driver."""
+    pool: dict[int, tuple[int, float]] = {}
+    for n, stage in enumerate(stages):
+        best = stage().orderBy("score", "id").limit(threshold + most).collect()
+        for r in best:
+            if r["id"] not in pool and len(pool) < most:
+                pool[r["id"]] = (n, float(r["score"]))
+        if len(best) >= threshold or len(pool) >= most:
+            break
+    return spark.createDataFrame([(i, *x) for i, x in pool.items()], "id long, stage int, score double")
 
 
 def merge_lists(lists: DataFrame, most: int) -> DataFrame:

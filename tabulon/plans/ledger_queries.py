@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulon.operators import layers, search
 from tabulon.plans.registry import query
-from tabulon.sources.ledger import LEDGER_SQL, Ledger, demo_ledger
+from tabulon.sources.ledger import LEDGER_SQL, demo_ledger
 
 L = LEDGER_SQL
 
@@ -295,10 +295,7 @@ def retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabulon.operators import retrieve
 
     asked = retrieve.Request(years=[1997, 1998], row_terms=["asia"], column_terms=["1998"], must=["region"], avoid=["segment"], mode="calendar", period="calendar", monthly=True)
-    made = demo_ledger(spark, sf_dir)
-    # the demonstration is derived anew for each use; a stored ledger would just be read
-    kept = Ledger(made.tables.persist(), made.rows.persist(), made.columns.persist(), made.cells.persist())
-    return retrieve.retrieve(kept, asked)
+    return retrieve.retrieve(demo_ledger(spark, sf_dir), asked)
 
 
 _REQUESTS = [
@@ -335,3 +332,36 @@ def guarded_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     found = guard.run_sql(spark, "SELECT n_name, round(sum(c_acctbal), 2) AS s FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1 ORDER BY n_name LIMIT 10")
     return found.select("n_name", guard.expression("s / 1000", {"s"}).alias("total"))
+
+
+@query(L + "SELECT l.table_id, l.metric_slug, y.family_id, CAST(y.year AS INTEGER) AS year FROM (SELECT DISTINCT table_id, metric_slug FROM rws) l LEFT JOIN (SELECT lower(trim(title)) AS family_id, data_year AS year, arg_max(table_id, file_year * 100 + file_month) AS best FROM facts GROUP BY 1, 2) y ON y.best = l.table_id")
+def labels_with_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with the family years of which their table is the best one; a label of no best table stays."""
+    made, f = demo_ledger(spark, sf_dir), _facts(spark, sf_dir)
+    l = layers.row_labels(made).select("table_id", "metric_slug").distinct()
+    return l.join(layers.family_years(f).withColumnRenamed("best_table_id", "table_id"), "table_id", "left").select("table_id", "metric_slug", "family_id", "year")
+
+
+@query(
+    L
+    + """, f AS (SELECT lower(trim(title)) AS family_id, count(*) AS member_count FROM tables GROUP BY 1), y AS (SELECT lower(trim(title)) AS family_id, data_year AS year, arg_max(table_id, file_year * 100 + file_month) AS best FROM facts GROUP BY 1, 2)
+    SELECT f.family_id, f.member_count, CAST(y.year AS INTEGER) AS year, t.file FROM f LEFT JOIN y ON y.family_id = f.family_id AND y.year > 1996 LEFT JOIN tables t ON t.id = y.best"""
+)
+def family_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families, their years after 1996 and the file of each year's best table."""
+    made, f = demo_ledger(spark, sf_dir), _facts(spark, sf_dir)
+    y = layers.family_years(f).where("year > 1996")
+    t = made.tables.select(F.col("id").alias("best_table_id"), "file")
+    return layers.families(made.tables).join(y, "family_id", "left").join(t, "best_table_id", "left").select("family_id", "member_count", "year", "file")
+
+
+@query(
+    L
+    + """SELECT t.file, t.element_seq, t.title, (SELECT string_agg(row_path, ' | ' ORDER BY row_index) FROM rws WHERE table_id = t.id AND row_index <= 4) AS row_labels, (SELECT string_agg(DISTINCT CAST(year_extracted AS VARCHAR), ',' ORDER BY CAST(year_extracted AS VARCHAR)) FROM cols WHERE table_id = t.id) AS years
+    FROM tables t WHERE t.file = 'issue_1996_12.json'"""
+)
+def gold_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of a gold file with their first row labels and years."""
+    made = demo_ledger(spark, sf_dir)
+    gold = spark.createDataFrame([("issue_1996_12.json",)], "file string")
+    return layers.entries_at(made, gold, ["file"], 4).select("file", "element_seq", "title", F.array_join("row_labels", " | ").alias("row_labels"), F.array_join(F.col("years").cast("array<string>"), ",").alias("years"))

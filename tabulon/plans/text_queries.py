@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions import labels, numbers
-from tabulon.operators import context, fuzzy, grid, search
+from tabulon.operators import context, fuzzy, grid, hints, index, search
 from tabulon.plans.registry import query
 
 _TOK = "list_filter(regexp_split_to_array(translate(lower({0}), 'áàâäãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
@@ -64,15 +64,14 @@ _STAGES = """WITH e AS (SELECT l_orderkey AS id, 0 AS stage, -max(l_quantity) AS
     f AS (SELECT id, min(stage) AS stage FROM e GROUP BY 1), g AS (SELECT e.id, e.stage, min(e.score) AS score FROM e JOIN f ON e.id = f.id AND e.stage = f.stage GROUP BY 1, 2),
     c AS (SELECT stage, count(DISTINCT id) AS hits FROM e GROUP BY 1), n AS (SELECT stage, count(*) AS new FROM g GROUP BY 1),
     o AS (SELECT c.stage, coalesce(max(hits) OVER w, 0) AS h, coalesce(sum(new) OVER w, 0) AS m FROM c LEFT JOIN n USING (stage) WINDOW w AS (ORDER BY c.stage ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT g.id, CAST(g.stage AS INTEGER) AS stage, g.score FROM g JOIN o USING (stage) WHERE h < 100 AND m < 60 ORDER BY g.stage, g.score, g.id LIMIT 60"""
+    SELECT g.id, CAST(g.stage AS INTEGER) AS stage, CAST(g.score AS DOUBLE) AS score FROM g JOIN o USING (stage) WHERE h < 100 AND m < 60 ORDER BY g.stage, g.score, g.id LIMIT 60"""
 
 
 @query(_STAGES)
 def progressive_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("id"), "l_quantity", "l_returnflag")
-    stage = lambda n, cond: l.where(cond).groupBy("id").agg((-F.max("l_quantity")).alias("score")).select("id", F.lit(n).alias("stage"), "score")
-    stages = stage(0, "l_returnflag = 'R' and l_quantity = 50").unionByName(stage(1, "l_quantity >= 49")).unionByName(stage(2, "l_quantity >= 45"))
-    return search.progressive(stages, 100, 60)
+    stage = lambda cond: lambda: l.where(cond).groupBy("id").agg((-F.max("l_quantity")).cast("double").alias("score"))
+    return search.progressive(spark, [stage("l_returnflag = 'R' and l_quantity = 50"), stage("l_quantity >= 49"), stage("l_quantity >= 45")], 100, 60)
 
 
 @query("SELECT id, list_no, pos FROM (SELECT id, list_no, pos, row_number() OVER (PARTITION BY id ORDER BY list_no, pos) AS k FROM (SELECT o_custkey AS id, 0 AS list_no, min(o_orderkey) AS pos FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1 UNION ALL SELECT o_custkey, 1, min(o_orderkey) FROM orders GROUP BY 1)) WHERE k = 1 ORDER BY list_no, pos, id LIMIT 40")
@@ -282,3 +281,23 @@ def ext_streamed_supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabulon.streaming import supersede
 
     return supersede.latest_orders(spark, sf_dir)
+
+
+def _index(spark: SparkSession, sf_dir: str, stem: bool) -> index.Index:
+    docs = _documents(spark, sf_dir).select("doc_id", F.col("text").alias("content"), "source")
+    return index.index(spark, (sf_dir, "documents"), docs, "doc_id", ["content", "source"], stem)
+
+
+@query(_bm25_sql(_DOCS, ["license", "version"], True))
+def stored_index_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as bm25_all from a stored index, of which the question's buckets are read."""
+    return index.match(_index(spark, sf_dir, False), {"content": 2.0, "source": 1.5}, ["license", "version"], True).withColumn("score", F.round("score", 5))
+
+
+@query()
+def fts_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages over the stemmed index, run while the pool isn't full: all words, all words or what means the same, any word."""
+    ix = _index(spark, sf_dir, True)
+    find = lambda words, every: lambda: index.match(ix, {"content": 2.0, "source": 1.5}, words, every)
+    same = [x for w in ("licensing", "versions") for x in [w, *hints.synonyms(w)] if " " not in x]
+    return search.progressive(spark, [find(["licensing", "versions"], True), find(same, True), find(same, False)], 100, 60)

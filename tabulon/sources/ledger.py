@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.sources.shared import stored
+
 
 @dataclass(frozen=True)
 class Ledger:
@@ -41,6 +43,18 @@ def _sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def demo_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
+    """The demonstration from files, partitioned by the year of issue; written once an application."""
+    by_issue = lambda df, table_id: (df.withColumn("issue", F.floor(F.col(table_id) / 10).cast("int")), ["issue"])
+
+    def make() -> dict:
+        d = derived_ledger(spark, sf_dir)
+        return {"tables": by_issue(d.tables, "id"), "rows": by_issue(d.rows, "table_id"), "columns": by_issue(d.columns, "table_id"), "cells": by_issue(d.cells, "table_id")}
+
+    t = stored(spark, ("demo ledger", sf_dir), make)
+    return Ledger(*(t[n].drop("issue") for n in ("tables", "rows", "columns", "cells")))
+
+
+def derived_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
     s = _sums(spark, sf_dir).withColumn("table_id", (F.col("issue") * 10 + F.col("seq")).cast("long"))
     title = F.concat(F.lower("title"), F.lit("||"))
     tables = s.select("table_id", "issue", "title", "seq").distinct().select(

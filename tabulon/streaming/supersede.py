@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.sources.shared import folder
+
 
 def keep_latest(state: DataFrame | None, batch: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """The row with the greatest order of each key, of the state and a batch: a map-side aggregate."""
@@ -34,7 +35,7 @@ def run(stream: DataFrame, keys: list[str], order: list[str], value: str, folder
 
 
 def latest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    shared = folder(spark)
     schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "orders*.parquet").parquet(sf_dir)
     rows = stream.select(F.col("o_orderpriority").alias("row_label"), F.year("o_orderdate").alias("year"), F.col("o_orderdate"), F.col("o_orderkey"), F.col("o_totalprice").alias("value"))

@@ -56,19 +56,26 @@ def test_captions(spark):
     assert {r["seq"]: r["caption"] for r in context.captions(df).collect()} == {2: "C1", 3: None, 6: None, 9: None}
 
 
-@pytest.mark.parametrize(
-    ("rows", "years"),
-    [
-        ([(1940, 1, 0), (None, 2, 0), (None, 12, 0)], [1940, 1940, 1940]),
-        ([(1940, 1, 0), (None, 2, 0), (None, None, 1), (None, 3, 0), (1950, 1, 0), (None, 2, 0)], [1940, 1940, None, None, 1950, 1950]),
-        ([(None, 3, 0)], [None]),
-        ([(1940, 1, 0), (1939, 12, 0)], [1940, 1939]),
-        ([(2000, None, 1), (None, 5, 0)], [2000, None]),
-    ],
-)
-def test_year_propagation(spark, rows, years):
-    df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "table_id int, row_index int, year int, month int, is_section int")
-    assert [r["year"] for r in context.year_propagated(df).orderBy("row_index").collect()] == years
+def test_year_propagation(spark):
+    """Against a loop, over random tables."""
+    import random
+
+    rng = random.Random(8)
+    rows, expected = [], {}
+    for t in range(40):
+        last = None
+        for i in range(rng.randint(1, 12)):
+            section = int(rng.random() < 0.2)
+            year = rng.choice([None, None, rng.randint(1900, 1999)])
+            month = rng.choice([None, rng.randint(1, 12)])
+            rows.append((t, i, year, month, section))
+            if section:
+                last = None
+            elif year is not None:
+                last = year
+            expected[t, i] = last if year is None and month is not None and not section else year
+    df = spark.createDataFrame(rows, "table_id int, row_index int, year int, month int, is_section int")
+    assert {(r["table_id"], r["row_index"]): r["year"] for r in context.year_propagated(df).collect()} == expected
 
 
 def test_dated_months(spark):

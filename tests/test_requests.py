@@ -35,9 +35,8 @@ def test_hints():
     assert "receipts" in hints.synonyms("revenue")
     assert hints.phrases("national defense outlays") == ["national defense", "outlays"]
     assert {"defense spending", "military spending", "defensespending"} <= set(hints.variants("Defense spending"))
-    assert hints.nudge("exact_year_window", "alt:primary_exact") == 0.8
     assert hints.descriptive("all of the rows such as these", True) and not hints.descriptive("receipts", True)
-    assert hints.year_mode("in fiscal year 1940") == "fiscal"
+    assert [hints.year_mode(q) for q in ("in fiscal year 1940", "fiscal year and calendar year", "FY 88", "the fy of", "CY")] == ["fiscal", "calendar", "fiscal", "unknown", "unknown"]
     assert hints.operation("What was the percent change from 1940?") == "percent_change"
 
 
