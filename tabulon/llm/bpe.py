@@ -134,7 +134,7 @@ def digests(docs: DataFrame, path: str, spec: str) -> DataFrame:
                 back.append(hashlib.sha256(c.decode(packed)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    small_batches(docs.sparkSession, 4096, 8)
+    small_batches(docs.sparkSession, 4096, 6)
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(lambda batches: trimmed(run(batches)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -151,7 +151,7 @@ def encode_rows(docs: DataFrame, path: str, spec: str) -> DataFrame:
             ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), "<i4")))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(offsets).astype("i8")), ids, pa.array(right)], names=["doc_id", "source", "n_tokens", "ids", "round_trip"])
 
-    small_batches(docs.sparkSession, 4096, 8)
+    small_batches(docs.sparkSession, 4096, 6)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string")).mapInArrow(lambda batches: trimmed(run(batches)), "doc_id long, source string, n_tokens long, ids array<int>, round_trip boolean")
 
 

@@ -48,14 +48,14 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.components import components
 from tabulon.llm.packing import bucket_of, ints, table_of, unints
-from tabulon.llm.tokens import trimmed, word_hashes
+from tabulon.llm.tokens import trim, trimmed, word_hashes
 from tabulon.llm.util import Scratch, release, small_batches, table
 
 SKETCH = 1 << 20
-BLOCK = 400_000  # entries of a block of columns
+BLOCK = 300_000  # entries of a block of columns
 PAIRS = 2_000  # pairs of a block that are verified together
 BROADCAST_ROWS = 1_000_000  # routes of at most this many rows (24 MB) are sent to all executors
-FLUSH = 1_000_000
+FLUSH = 600_000
 SEGMENT = 2_048  # members of a list that stay together
 HOT = 16  # a column is cut before it is dealt if its counter is so many times the mean and over a segment
 
@@ -225,7 +225,9 @@ def _lists(cuts: np.ndarray):
             for j, at in enumerate(range(start[i], start[i] + each[i], SEGMENT)):
                 own = who[at : min(at + SEGMENT, start[i] + each[i])]
                 rows.append((names[i].tobytes(), int(part[start[i]]) << 32 | j, w, docs[own], keys[own], sizes[own]))
-        return pa.Table.from_batches([table_of(rows, LISTS)])
+        out = pa.Table.from_batches([table_of(rows, LISTS)])
+        trim()
+        return out
 
     return run
 

@@ -39,17 +39,17 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.jaccard import mixed
 from tabulon.llm.packing import bucket_of, ints, table_of, unints
-from tabulon.llm.tokens import trimmed
+from tabulon.llm.tokens import trim, trimmed
 from tabulon.llm.util import Scratch, release, small_batches, table
 
 SPAN, GRAM = 100, 32
 WINDOW = SPAN - GRAM + 1
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LETTER = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64)
-CHUNK = 4 << 20  # bytes whose grams are hashed together
-FLUSH = 16 << 20  # bytes of text of a row of anchors or a batch of contexts
+CHUNK = 1 << 20  # bytes whose grams are hashed together
+FLUSH = 10 << 20  # bytes of text of a row of anchors or a batch of contexts
 BLOCK = 24 << 20  # bytes of text for each block of anchor groups
-TOGETHER = 20_000  # contexts that are compared together
+TOGETHER = 10_000  # contexts that are compared together
 BROADCAST_BYTES = 32 << 20
 HOT = 1000  # occurrences from which an anchor's windows are dealt one by one
 LOW = np.uint64((1 << 27) - 1)
@@ -190,6 +190,7 @@ def _repeated(hot: int):
             often = np.packbits(own >= hot).tobytes() if (own >= hot).any() else b""
             rows.append((batch, key[0].as_py(), np.packbits(own > 1).tobytes() + often))
             at += len(p)
+        trim()
         return pa.Table.from_batches([table_of(rows, {"batch": pa.string(), "block": pa.int32(), "flags": pa.binary()})])
 
     return run
@@ -294,6 +295,7 @@ def _contexts(blocks: int):
                 if n > FLUSH:
                     yield flush(rows)
                     rows, n = [], 0
+                    trim()
         if rows:
             yield flush(rows)
 
@@ -466,7 +468,9 @@ def _sorted_group(blocks: int):
         part = bucket_of((found[0] ^ found[1]).view(np.uint64), blocks)
         pack = zstandard.ZstdCompressor(level=1).compress
         rows = [(p, pack(np.ascontiguousarray(found[:, part == p]).tobytes())) for p in np.unique(part).tolist()]
-        return pa.Table.from_batches([table_of(rows, SPANS)])
+        out = pa.Table.from_batches([table_of(rows, SPANS)])
+        trim()
+        return out
 
     return run
 

@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 512, megabytes: int = 16) -> None:
+def small_batches(spark: SparkSession, rows: int = 512, megabytes: int = 6) -> None:
     """Arrow batches of few rows and bytes: rows hold whole texts, some of them long. The session keeps these
     settings, since results are computed later. Also ships the package, which every Arrow function here needs."""
     ship(spark)
