@@ -92,7 +92,7 @@ def title_months(columns: DataFrame, titles: DataFrame) -> DataFrame:
     at = lambda x: labels.year_of(x) * 12 + labels.month_of(x) - 1
     span = titles.select("table_id", found.alias("f")).where(F.size("f") >= 2).select("table_id", at(F.get("f", F.lit(0))).alias("lo"), at(F.get("f", F.size("f") - 1)).alias("hi")).where("hi - lo between 1 and 24")
     only = F.col("year").isNull() & F.col("month").isNotNull()
-    rows = columns.join(F.broadcast(span), "table_id", "left").withColumn("n", F.sum(only.cast("int")).over(_upto(["table_id"], "col_index")))
+    rows = columns.join(span, "table_id", "left").withColumn("n", F.sum(only.cast("int")).over(_upto(["table_id"], "col_index")))
     due = F.col("lo") + F.col("n") - 1
     fits = F.coalesce(~only | ((due <= F.col("hi")) & (F.pmod(due, F.lit(12)) + 1 == F.col("month"))), F.lit(False))
     kept = F.min(fits.cast("int")).over(_upto(["table_id"], "col_index")) == 1

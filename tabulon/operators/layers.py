@@ -81,12 +81,12 @@ def row_labels(ledger: Ledger) -> DataFrame:
 
 def family_slugs(ledger: Ledger) -> DataFrame:
     t = ledger.tables.select(F.col("id").alias("table_id"), F.lower(F.trim("title")).alias("family_id"))
-    return ledger.rows.where("is_section_header = 0").join(F.broadcast(t), "table_id").select("family_id", "metric_slug").distinct()
+    return ledger.rows.where("is_section_header = 0").join(t, "table_id").select("family_id", "metric_slug").distinct()
 
 
 def family_columns(ledger: Ledger) -> DataFrame:
     t = ledger.tables.select(F.col("id").alias("table_id"), F.lower(F.trim("title")).alias("family_id"))
-    return ledger.columns.join(F.broadcast(t), "table_id").select("family_id", F.lower("col_leaf").alias("col_leaf_lower")).distinct()
+    return ledger.columns.join(t, "table_id").select("family_id", F.lower("col_leaf").alias("col_leaf_lower")).distinct()
 
 
 def sanity(ledger: Ledger, f: DataFrame) -> DataFrame:

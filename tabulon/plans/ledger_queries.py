@@ -112,30 +112,6 @@ def slug_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.slug_hits(demo_ledger(spark, sf_dir).rows, ["middle", "east"], True)
 
 
-@query(L + "SELECT row_path AS label, count(DISTINCT table_id) AS n_tables, CAST(min(file_year) AS INTEGER) AS first_year, CAST(max(file_year) AS INTEGER) AS last_year, min(title) AS title FROM rws JOIN tables ON table_id = tables.id WHERE ' ' || lower(metric_slug) || ' ' LIKE '% america %' AND file_year BETWEEN 1996 AND 2001 GROUP BY 1 ORDER BY n_tables DESC, label LIMIT 50")
-def browse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = demo_ledger(spark, sf_dir)
-    rows = ledger.rows.where(search.whole_word(F.col("metric_slug"), "america")).select("table_id", F.col("row_path").alias("label"))
-    t = ledger.tables.where("file_year between 1996 and 2001").select(F.col("id").alias("table_id"), "title", "file_year")
-    found = rows.join(F.broadcast(t), "table_id").groupBy("label").agg(F.countDistinct("table_id").alias("n_tables"), F.min("file_year").alias("first_year"), F.max("file_year").alias("last_year"), F.min("title").alias("title"))
-    return found.orderBy(F.desc("n_tables"), "label").limit(50)
-
-
-@query(
-    L
-    + """SELECT table_id, label, round(value, 2) AS value, n_months, CASE WHEN n_months = 12 AND file_year > 1998 THEN 'CY_complete' WHEN n_months = 12 THEN 'FY_likely' ELSE 'partial' END AS note
-    FROM (SELECT table_id, file_year, row_path AS label, sum(numeric_value) AS value, count(*) AS n_months FROM facts WHERE data_year = 1998 AND data_month IS NOT NULL AND metric_slug LIKE '%europe%' GROUP BY ALL)
-    QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY n_months DESC, value DESC, label) = 1"""
-)
-def lookup_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly sums of a slug in a year; of each table the label with most months."""
-    f = _facts(spark, sf_dir).where("data_year = 1998 and data_month is not null and metric_slug like '%europe%'")
-    sums = f.groupBy("table_id", "file_year", F.col("row_path").alias("label")).agg(F.sum("numeric_value").alias("value"), F.count("*").alias("n_months"))
-    best = sums.withColumn("nth", F.row_number().over(Window.partitionBy("table_id").orderBy(F.desc("n_months"), F.desc("value"), "label"))).where("nth = 1")
-    note = F.when((F.col("n_months") == 12) & (F.col("file_year") > 1998), "CY_complete").when(F.col("n_months") == 12, "FY_likely").otherwise("partial")
-    return best.select("table_id", "label", F.round("value", 2).alias("value"), "n_months", note.alias("note"))
-
-
 @query(L + "SELECT lower(title) AS family_id, metric_slug, CAST(min(data_year) AS INTEGER) AS first_year, CAST(max(data_year) AS INTEGER) AS last_year, CAST(min(file_year) AS INTEGER) AS first_issue FROM facts WHERE metric_slug LIKE '%africa%' GROUP BY 1, 2")
 def search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(spark, sf_dir).where(search.contains_all(F.col("metric_slug"), ["africa"])).groupBy(F.lower("title").alias("family_id"), "metric_slug").agg(F.min("data_year").alias("first_year"), F.max("data_year").alias("last_year"), F.min("file_year").alias("first_issue"))
