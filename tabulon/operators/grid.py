@@ -9,7 +9,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -120,13 +120,21 @@ def row_entries(grid: DataFrame) -> DataFrame:
     key = ["id", "table_no"]
     rows = grid.where("not is_header_row").groupBy(*key, "row_index").agg(F.max(F.when(F.col("col_index") == 0, F.col("text"))).alias("label"), F.max("indent").alias("indent"), F.max(F.when((F.col("col_index") > 0) & (F.col("text") != ""), 1).otherwise(0)).alias("has_data"))
     rows = rows.where("label <> ''").withColumn("is_section", ((F.col("has_data") == 0) & F.col("label").rlike(r"\p{L}")).cast("int"))
-    before = Window.partitionBy(*key).orderBy("row_index").rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.when(F.col("is_section") == 1, F.struct("row_index", "indent", "label"))
-    above = F.coalesce(F.collect_list(mark).over(before), F.array())
-    # of the sections above, those that no later section at their level or further out has closed
-    alive = F.filter(above, lambda s: ~F.exists(above, lambda o: (o["row_index"] > s["row_index"]) & (o["indent"] <= s["indent"])))
-    out = F.filter(alive, lambda s: (s["indent"] < F.col("indent")) | ((F.col("indent") == 0) & (s["indent"] == 0) & (F.col("is_section") == 0)))
-    return rows.withColumn("row_path", F.array_join(F.concat(F.transform(out, lambda s: s["label"]), F.array("label")), " > ")).select(*key, "row_index", F.col("label").alias("row_leaf"), "indent", "is_section", "row_path")
+    # one fold over a table's rows: a section closes those at its level or further in
+    stack = "array<struct<indent:int,label:string>>"
+    one = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("row_index", "label", "indent", "is_section"))).alias("r"))
+
+    def step(acc: Column, r: Column) -> Column:
+        section = r["is_section"] == 1
+        outer = F.filter(acc["open"], lambda s: s["indent"] < r["indent"])
+        above = F.filter(acc["open"], lambda s: (s["indent"] < r["indent"]) | ((r["indent"] == 0) & (s["indent"] == 0) & ~section))
+        path = F.array_join(F.concat(F.transform(above, lambda s: s["label"]), F.array(r["label"])), " > ")
+        now = F.when(section, F.concat(outer, F.array(F.struct(r["indent"].alias("indent"), r["label"].alias("label"))))).otherwise(acc["open"])
+        return F.struct(now.cast(stack).alias("open"), F.concat(acc["paths"], F.array(path)).alias("paths"))
+
+    start = F.struct(F.array().cast(stack).alias("open"), F.array().cast("array<string>").alias("paths"))
+    told = one.withColumn("p", F.aggregate("r", start, step)["paths"]).select(*key, F.explode(F.arrays_zip("r", "p")).alias("x"))
+    return told.select(*key, "x.r.row_index", F.col("x.r.label").alias("row_leaf"), "x.r.indent", "x.r.is_section", F.col("x.p").alias("row_path"))
 
 
 def invariants(grid: DataFrame) -> DataFrame:

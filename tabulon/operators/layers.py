@@ -15,9 +15,10 @@ def data_year(column: str = "c", row: str = "r", table: str = "t") -> Column:
 
 
 def facts(ledger: Ledger) -> DataFrame:
-    """A row a cell with its table, row and column. Tables are few; rows and columns join on ids that begin with the table."""
+    """A row a cell with its table, row and column. Tables are few; rows and columns join on the table and an id
+    that is unique in it."""
     t, r, c, x = ledger.tables.alias("t"), ledger.rows.alias("r"), ledger.columns.alias("c"), ledger.cells.alias("x")
-    joined = x.join(r, F.col("x.row_id") == F.col("r.id")).join(c, F.col("x.col_id") == F.col("c.id")).join(t, F.col("x.table_id") == F.col("t.id")).where("t.parse_ok = 1")
+    joined = x.join(r, (F.col("x.table_id") == F.col("r.table_id")) & (F.col("x.row_id") == F.col("r.id"))).join(c, (F.col("x.table_id") == F.col("c.table_id")) & (F.col("x.col_id") == F.col("c.id"))).join(t, F.col("x.table_id") == F.col("t.id")).where("t.parse_ok = 1")
     return joined.select(
         F.col("t.id").alias("table_id"), "t.signature", "t.title", "t.file", "t.file_year", "t.file_month", "t.table_kind", "t.unit", "t.period", "r.row_path", "r.metric_slug", "r.row_index", "r.is_section_header", "c.col_path", "c.col_index",
         data_year().alias("data_year"), F.coalesce("c.month_extracted", "r.month_extracted").alias("data_month"), "x.numeric_value", "x.is_preliminary", "x.parse_status", F.col("r.id").alias("row_id"), F.col("c.id").alias("col_id"),

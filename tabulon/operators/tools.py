@@ -104,8 +104,8 @@ def bottom_up(ledger: Ledger, hint: str, years: list[int], topic: list[str], mos
         told = mentions(ledger, topic)
         narrow = hits.join(told, "table_id", "left_semi")
         hits = narrow if narrow.limit(1).count() else hits
-    at = ledger.columns.where(dated | named).select(F.col("id").alias("col_id"))
-    cells = ledger.cells.where("numeric_value is not null").join(hits.select("row_id"), "row_id", "left_semi").join(at, "col_id", "left_semi").groupBy("table_id").agg(F.count("*").alias("n_cells"))
+    at = ledger.columns.where(dated | named).select("table_id", F.col("id").alias("col_id"))
+    cells = ledger.cells.where("numeric_value is not null").join(hits.select("table_id", "row_id"), ["table_id", "row_id"], "left_semi").join(at, ["table_id", "col_id"], "left_semi").groupBy("table_id").agg(F.count("*").alias("n_cells"))
     score = hits.groupBy("table_id").agg(F.max("likeness").alias("likeness"))
     t = ledger.tables.join(score.join(cells, "table_id").withColumnRenamed("table_id", "id"), "id")
     return search.latest(t, most)
