@@ -78,11 +78,11 @@ def token_near(label: Column, hint: Column) -> Column:
     return F.size(F.array_intersect(tokens(hint), tokens(label))) >= F.size(F.array_distinct(tokens(hint))) - 1
 
 
-def slug_hits(rows: DataFrame, terms: list[str], match_all: bool) -> DataFrame:
-    """Tables by hits: -(rows that match + 5 where one equals the terms)."""
+def slug_hits(rows: DataFrame, terms: list[str], match_all: bool, exact: str | None = None) -> DataFrame:
+    """Tables by hits: -(rows that match + 5 where one equals the exact text, else the terms)."""
     cond = contains_all(F.col("metric_slug"), terms) if match_all else contains_any(F.col("metric_slug"), terms)
-    exact = (F.col("metric_slug") == " ".join(terms)).cast("int")
-    return rows.where(cond).groupBy("table_id").agg((-(F.count("*") + 5 * F.max(exact))).cast("double").alias("score"))
+    same = (F.col("metric_slug") == (exact or " ".join(terms))).cast("int")
+    return rows.where(cond).groupBy("table_id").agg((-(F.count("*") + 5 * F.max(same))).cast("double").alias("score"))
 
 
 def progressive(spark: SparkSession, stages: list[Callable[[], DataFrame]], threshold: int, most: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.operators import grid, layers, render
+from tabulon.operators import channels, grid, layers, render
 from tabulon.plans.registry import query
 from tabulon.sources import corpus
 from tabulon.sources.ledger import read
@@ -106,3 +106,26 @@ def wide_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = p.select("p_partkey", F.concat(F.lit("<table>"), row("th", F.lit("Item"), months), row("td", F.col("p_name"), values), F.lit("</table>")).alias("html"))
     g = grid.html_grid(spark, pages, "p_partkey", "html")
     return render.readable(g).select(F.col("id").alias("p_partkey"), "vertical", "text")
+
+
+_PROSE = """, y AS (SELECT DISTINCT y FROM t), p AS (SELECT y AS file_year, 2 AS element_seq, 'prose' AS source, -(1e-6 * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 8 / 7.5))) * 1e6 AS score, 'Orders by quarter.' AS content FROM y
+    UNION ALL SELECT y, 4, 'footnote', -(1e-6 * 2 * 2.2 / (2 + 1.2)) * 1e6, '1/ Pending ones counted.' FROM y)"""
+
+
+@query(_Q + _PROSE + " SELECT file_year, element_seq, source, round(score, 4) AS score FROM p WHERE file_year BETWEEN 1996 AND 2000")
+def prose_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prose for one word, footnotes for another, of the issues of 1996 to 2000."""
+    i = _ingested(spark, sf_dir)
+    find = lambda word: channels.prose_channel(spark, i, ("ingested", sf_dir), [word], [1996])
+    return find("quarter").unionByName(find("pending")).select("file_year", "element_seq", "source", F.round(F.col("score") * 1e6, 4).alias("score"))
+
+
+@query(_Q + _PROSE + """, e AS (SELECT y AS file_year, CASE WHEN second THEN 5 ELSE 3 END AS element_seq, 'fts' AS strategy FROM t WHERE y = 1997 UNION ALL SELECT 1997, 2, 'fts' FROM y WHERE y = 1997)
+    SELECT * FROM e UNION ALL SELECT * FROM (SELECT file_year, element_seq, 'prose_footnote:prose' FROM p WHERE source = 'prose' AND file_year BETWEEN 1997 AND 2001 AND NOT EXISTS (SELECT 1 FROM e WHERE e.file_year = p.file_year AND e.element_seq = p.element_seq) ORDER BY file_year LIMIT 3)""")
+def appended_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables and the prose of 1997, and the three best pieces of prose besides."""
+    i = _ingested(spark, sf_dir)
+    own = lambda df: df.where("file_year = 1997").select("file", "element_seq", "file_year", F.lit("fts").alias("strategy"))
+    entries = own(i.tables).unionByName(own(i.prose.where("element_seq = 2")))
+    found = channels.prose_channel(spark, i, ("ingested", sf_dir), ["quarter"], [1997])
+    return channels.appended(entries, found, [1997], "calendar").select("file_year", "element_seq", "strategy")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.operators import layers, tools
+from tabulon.operators import channels, layers, tools
 from tabulon.plans.registry import query
 from tabulon.sources.ledger import LEDGER_SQL, demo_ledger
 
@@ -77,3 +77,19 @@ def bottom_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two requests: a hint whose words stand in another order with a topic, and a keyword with a topic that no table has."""
     asked = [{"hint": "East Middle", "years": [1997], "topic": ["segment"]}, {"hint": " ", "keyword": "europe", "years": [1996], "topic": ["payroll"]}]
     return tools.bottom_up_requests(demo_ledger(spark, sf_dir), asked, 20).select("id", "title", "n_cells", "likeness", "request_no")
+
+
+@query(
+    L
+    + """, h AS (SELECT table_id AS id, CAST(-(count(*) + 5) AS DOUBLE) AS score FROM (SELECT DISTINCT table_id, metric_slug, row_path FROM rws WHERE metric_slug = 'middle east') GROUP BY 1)
+    SELECT h.id, CASE WHEN EXISTS (SELECT 1 FROM cols c WHERE c.table_id = h.id AND c.year_extracted = 1997) THEN 'primary_year' ELSE 'primary' END AS stage, score FROM h WHERE EXISTS (SELECT 1 FROM cols c WHERE c.table_id = h.id AND c.col_leaf LIKE '%12%')"""
+)
+def metric_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables with the row and the year first, then those with the row; only such as have a column of December."""
+    return channels.metric_channel(spark, demo_ledger(spark, sf_dir), "Middle East", column="12", years=[1997], enough=6)
+
+
+@query(L + "SELECT DISTINCT table_id AS id, 'partial' AS stage, -2.0::DOUBLE AS score FROM rws JOIN tables t ON t.id = table_id WHERE t.title = 'Orders by region' UNION ALL SELECT DISTINCT table_id, 'partial', -10.0::DOUBLE FROM rws JOIN tables t ON t.id = table_id WHERE t.title = 'Orders by segment'")
+def metric_channel_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No row has both words, so the last stage finds rows with either."""
+    return channels.metric_channel(spark, demo_ledger(spark, sf_dir), "asia europe")
