@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.operators import channels, layers, tools
+from tabulon.operators import channels, grid, layers, sections, tools
 from tabulon.plans.registry import query
-from tabulon.sources.ledger import LEDGER_SQL, demo_ledger
+from tabulon.sources.ledger import LEDGER_SQL, demo_ledger, read
 
 L = LEDGER_SQL
 #: The tables that hold a word in their title, rows or columns.
@@ -93,3 +93,32 @@ def metric_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metric_channel_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No row has both words, so the last stage finds rows with either."""
     return channels.metric_channel(spark, demo_ledger(spark, sf_dir), "asia europe")
+
+
+def _piped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three parts one with two sections, one with none, and one whose lines are too few."""
+    size = F.col("p_size")
+    rows = lambda n, base: [F.concat(F.lit(f"| Row {i} | "), (size + base + i).cast("string"), F.lit(" | "), (size % 7 + i if base == 0 else size + base).cast("string"), F.lit(" |")) for i in range(n)]
+    small = [F.concat(F.lit(f"| Row {i} | "), (size % 7).cast("string"), F.lit(" | n.a. |")) for i in range(2)]
+    head = ["Orders", "| Item | Unnamed: 1_level_0 > 1940 | 1941 |", "| --- | --- | --- |"]
+    lit = lambda xs: [F.lit(x) if isinstance(x, str) else x for x in xs]
+    two = F.concat_ws("\n", *lit([*head, "| Warships | nan | nan |", *rows(3, 10), "| Tankers | - |  |", *small, "End"]))
+    none = F.concat_ws("\n", *lit([head[1], *rows(2, 10), "", "| a | b |"]))
+    few = F.concat_ws("\n", *lit(["| a | b |", "| c | d |", "|"]))
+    k = F.col("p_partkey") % 3
+    return read(spark, sf_dir, "part")[0].select("p_partkey", F.when(k == 0, two).when(k == 1, none).otherwise(few).alias("text"))
+
+
+@query(
+    """SELECT p_partkey AS id, label, n AS n_lines, start, score FROM part, (VALUES (0, 'Warships', 3, 3, 55.0::DOUBLE), (0, 'Tankers', 2, 7, -20.0::DOUBLE), (1, '', 2, 1, 0.0::DOUBLE)) v(k, label, n, start, score) WHERE p_partkey % 3 = k"""
+)
+def text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sections.sections(_piped(spark, sf_dir), "p_partkey", "text")
+    return sections.scored(found, ["warships"], [1960]).select("id", "label", F.size("lines").alias("n_lines"), "start", "score")
+
+
+@query("SELECT p_partkey AS id, p_name AS row_label, '1940 > ' || c AS \"column\", CAST(p_size * m AS VARCHAR) AS value, CAST(p_size * m AS DOUBLE) AS numeric_value FROM part, (VALUES ('Net', 1), ('Gross', 3)) v(c, m)")
+def flat_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.concat(F.lit("<table><tr><th>Item</th><th colspan=2>1940</th><th></th></tr><tr><th></th><th>Net</th><th>Gross</th><th></th></tr><tr><td>"), "p_name", F.lit(" . . ....</td><td>"), F.col("p_size").cast("string"), F.lit("</td><td>"), (F.col("p_size") * 3).cast("string"), F.lit("</td><td></td></tr></table>"))
+    g = grid.html_grid(spark, read(spark, sf_dir, "part")[0].select("p_partkey", html.alias("html")), "p_partkey", "html")
+    return sections.flat_entries(g).select("id", "row_label", "column", "value", "numeric_value")
