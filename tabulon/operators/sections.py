@@ -116,3 +116,25 @@ def flat_entries(g: DataFrame) -> DataFrame:
     names = g.where("not is_header_row and col_index = 0").select(*key, "row_index", bare("text").alias("row_label"))
     cells = g.where("not is_header_row and col_index > 0 and text <> ''").join(names, [*key, "row_index"]).join(grid.column_paths(g), [*key, "col_index"])
     return numbers.with_cells(cells.select(*key, "row_label", F.col("col_path").alias("column"), F.col("text").alias("value")), "value").select(*key, "row_label", "column", "value", "numeric_value")
+
+
+def year_groups(g: DataFrame, issues: DataFrame) -> DataFrame:
+    """Tables whose columns repeat in groups over blocks of twelve month rows, each group of a block being a year: (id, block,
+    part, first_col, last_col, year), for issues (id, file_year). A table's last year is its issue's; of the last block only as
+    many groups count as have ten months with a value. Footnote numbers don't make columns differ."""
+    text = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s*\d+/\s*$", ""))
+    head = g.where("table_no = 0 and row_index = 0 and col_index > 0").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_index", "text"))), lambda x: text(x["text"])).alias("names"))
+    again = F.transform("names", lambda x, i: F.when(F.array_contains(F.slice("names", F.lit(1), i), x), i))
+    head = head.where(F.size("names") >= 3).withColumn("size", F.array_min(F.filter(again, lambda x: x.isNotNull()))).where("size is not null and size(names) % size = 0")
+    head = head.where(F.forall(F.transform("names", lambda x, i: x == F.get("names", i % F.col("size"))), lambda x: x)).select("id", "size", (F.size("names") / F.col("size")).cast("int").alias("groups"))
+    months = g.where("table_no = 0 and not is_header_row and col_index = 0").where(F.rtrim(F.regexp_replace(F.lower(F.trim("text")), r"\.$", "")).isin(*labels.MONTH_WORDS)).select("id", "row_index")
+    order = Window.partitionBy("id")
+    months = months.withColumn("back", F.row_number().over(order.orderBy(F.desc("row_index")))).withColumn("blocks", F.floor(F.count("*").over(order) / 12).cast("int")).where("back <= 12 and blocks > 0")
+    full = g.where("table_no = 0 and col_index > 0").where(~F.lower(F.trim("text")).isin(*EMPTY, "...")).join(months, ["id", "row_index"]).join(head, "id")
+    each = full.groupBy("id", "size", "groups", "blocks", F.floor((F.col("col_index") - 1) / F.col("size")).alias("part")).agg(F.countDistinct("row_index").alias("n"))
+    t = each.groupBy("id", "size", "groups", "blocks").agg(F.count_if(F.col("n") >= 10).cast("int").alias("active")).where("active > 0").join(issues, "id").where("file_year is not null")
+    places = t.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    here = F.when(F.col("block") == F.col("blocks") - 1, F.col("active")).otherwise(F.col("groups"))
+    places = places.withColumn("part", F.explode(F.sequence(F.lit(0), here - 1)))
+    start = F.col("file_year") - ((F.col("blocks") - 1) * F.col("groups") + F.col("active")) + 1
+    return places.select("id", (F.col("block") + 1).alias("block"), (F.col("part") + 1).alias("part"), (F.col("part") * F.col("size") + 1).alias("first_col"), ((F.col("part") + 1) * F.col("size")).alias("last_col"), (start + F.col("block") * F.col("groups") + F.col("part")).alias("year"))

@@ -122,3 +122,19 @@ def flat_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(F.lit("<table><tr><th>Item</th><th colspan=2>1940</th><th></th></tr><tr><th></th><th>Net</th><th>Gross</th><th></th></tr><tr><td>"), "p_name", F.lit(" . . ....</td><td>"), F.col("p_size").cast("string"), F.lit("</td><td>"), (F.col("p_size") * 3).cast("string"), F.lit("</td><td></td></tr></table>"))
     g = grid.html_grid(spark, read(spark, sf_dir, "part")[0].select("p_partkey", html.alias("html")), "p_partkey", "html")
     return sections.flat_entries(g).select("id", "row_label", "column", "value", "numeric_value")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS id, p_size, 1 + p_partkey % 2 AS blocks, CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS active FROM part WHERE p_partkey % 5 > 0)
+    SELECT id, CAST(b AS INTEGER) AS block, CAST(g AS INTEGER) AS part, CAST(g * 2 - 1 AS INTEGER) AS first_col, CAST(g * 2 AS INTEGER) AS last_col, CAST(1950 + p_size - ((blocks - 1) * 2 + active) + 1 + (b - 1) * 2 + g - 1 AS INTEGER) AS year FROM p, range(1, 3) b(b), range(1, 3) g(g) WHERE b <= blocks AND (b < blocks OR g <= active)"""
+)
+def year_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two groups of two columns over one or two blocks of months; some last blocks hold one group, some tables don't repeat."""
+    k = F.col("p_partkey")
+    months = ["Jan.", "Feb.", "Mar.", "Apr.", "May", "June", "July", "Aug.", "Sept.", "Oct.", "Nov.", "Dec."]
+    rows = lambda second: F.lit("".join(f"<tr><td>{m}</td><td>1</td><td>2</td><td>{second}</td><td>-</td></tr>" for m in months))
+    last = F.when(k % 3 == 0, rows("3")).otherwise(rows("nan"))
+    names = F.when(k % 5 > 0, "<th>Bonds 2/</th><th>Bills</th>").otherwise("<th>Notes</th><th>Bills</th>")
+    html = F.concat(F.lit("<table><tr><th>Period</th><th>Bonds 1/</th><th>Bills</th>"), names, F.lit("</tr>"), F.when(k % 2 == 1, rows("3")).otherwise(""), last, F.lit("</table>"))
+    pages = read(spark, sf_dir, "part")[0].select("p_partkey", (F.lit(1950) + F.col("p_size")).cast("int").alias("file_year"), html.alias("html"))
+    return sections.year_groups(grid.html_grid(spark, pages, "p_partkey", "html"), pages.select(F.col("p_partkey").alias("id"), "file_year"))

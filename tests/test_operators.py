@@ -130,3 +130,21 @@ def test_title_months(spark):
 def test_without_aggregates(spark):
     df = spark.createDataFrame([("a", "Total receipts"), ("a", "Customs"), ("a", "Other taxes"), ("b", "Total")], "k string, label string")
     assert {(r["k"], r["label"]) for r in search.without_aggregates(df, "k", "label").collect()} == {("a", "Customs"), ("b", "Total")}
+
+
+def test_sections(spark):
+    from tabulon.operators import sections
+
+    texts = ["a | b\n| --- | --- |\n| X | nan |\n| Y |  |", "| a | b |\n| X | |\n|1|2|\n|\n| only | two |", None, "no table\n|", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {(r["id"], r["section"]): (r["label"], r["header"], r["start"], r["lines"]) for r in sections.sections(df, "id", "text").collect()}
+    assert got == {(0, 0): ("", "a | b", 2, ["| X | nan |", "| Y |  |"]), (1, 1): ("X", "| a | b |", 1, ["|1|2|"])}
+
+
+def test_section_score():
+    from tabulon.operators import sections
+
+    months = ["| 1940-January | 10 |", *(f"| {m} | 20 |" for m in ("February", "Mar.", "April", "May", "June", "July", "Aug.", "September", "October", "Market")), "| 1941-January | 30 |"]
+    # the label is the term (40), a header holds it (0.85 * 15), the year stands there (20) with ten months (40), numbers (15)
+    assert sections.score("Ships", ["Old ships"], months, ["ships"], [1940]) == pytest.approx(40 + 12.75 + 20 + 40 + 15)
+    assert sections.score("", [], ["| a | b |"], ["zzz"], []) == -20
