@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabulon.operators import channels, grid, layers, sections, tools
 from tabulon.plans.registry import query
 from tabulon.sources.ledger import LEDGER_SQL, demo_ledger, read
+from tabulon.sources.shared import stored
 
 L = LEDGER_SQL
 #: The tables that hold a word in their title, rows or columns.
@@ -137,4 +138,5 @@ def year_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.when(k % 5 > 0, "<th>Bonds 2/</th><th>Bills</th>").otherwise("<th>Notes</th><th>Bills</th>")
     html = F.concat(F.lit("<table><tr><th>Period</th><th>Bonds 1/</th><th>Bills</th>"), names, F.lit("</tr>"), F.when(k % 2 == 1, rows("3")).otherwise(""), last, F.lit("</table>"))
     pages = read(spark, sf_dir, "part")[0].select("p_partkey", (F.lit(1950) + F.col("p_size")).cast("int").alias("file_year"), html.alias("html"))
-    return sections.year_groups(grid.html_grid(spark, pages, "p_partkey", "html"), pages.select(F.col("p_partkey").alias("id"), "file_year"))
+    g = stored(spark, ("year group grid", sf_dir), lambda: {"grid": (grid.html_grid(spark, pages, "p_partkey", "html"), [])})["grid"]  # read five times
+    return sections.year_groups(g, pages.select(F.col("p_partkey").alias("id"), "file_year"))
