@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.llm import bpe, fingerprints, jaccard, katz, licenses, mixing, quality, store, suffixes, topk
+from tabulon.llm import bpe, fingerprints, jaccard, katz, licenses, mixing, periodic, quality, store, suffixes, topk
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         bpe.op8_bpe,
         licenses.op9_licenses,
         fingerprints.op10_fingerprints,
+        periodic.op11_periodic_runs,
     ]
     return {f.__name__: f for f in found}
 
