@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.llm import bpe, fingerprints, jaccard, katz, licenses, mixing, periodic, quality, store, suffixes, topk
+from tabulon.llm import bpe, conversations, fingerprints, jaccard, katz, licenses, mixing, periodic, quality, store, suffixes, topk
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         licenses.op9_licenses,
         fingerprints.op10_fingerprints,
         periodic.op11_periodic_runs,
+        conversations.op12_conversations,
     ]
     return {f.__name__: f for f in found}
 
