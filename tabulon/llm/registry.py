@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.llm import bpe, conversations, fingerprints, jaccard, katz, licenses, mixing, periodic, quality, store, suffixes, topk
+from tabulon.llm import bpe, conversations, fingerprints, jaccard, katz, licenses, mixing, periodic, quality, store, suffixes, topk, toxicity
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         fingerprints.op10_fingerprints,
         periodic.op11_periodic_runs,
         conversations.op12_conversations,
+        toxicity.op13_toxicity,
     ]
     return {f.__name__: f for f in found}
 
