@@ -44,6 +44,7 @@ TIERS = (1.5, 3.0, 4.5)  # cautious log odds from which a term is weak, fair, st
 ROUNDS = 12
 PRIOR = 4.0
 RIDGE = 0.1
+BEYOND = 0.05  # correlation from which voters share their weight
 LETTERS = re.compile(r"[^\W\d_]+")
 
 #: Common insults, by language, and threats.
@@ -163,11 +164,11 @@ def votes_of(counts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class LabelModel:
-    """Votes -> the probability of toxic. Fitted by expectation and maximisation; the labels are votes of a last pair of voters."""
+    """Votes -> the probability of toxic. Fitted by expectation and maximisation; the label is the vote of a last voter."""
 
     def __init__(self, votes: np.ndarray, speaks: np.ndarray, label: np.ndarray):
-        v = np.column_stack([votes, label == 1, label == 0])
-        speaks = np.append(speaks, [True, False])
+        v = np.column_stack([votes, label == 1])
+        speaks = np.append(speaks, True)
         self.q = np.where(label == 1, 0.85, 0.08)
         for _ in range(ROUNDS):
             q = self.q
@@ -185,6 +186,8 @@ class LabelModel:
             spread = np.sqrt((rest**2).mean(0)) + 1e-9
             self.correlation = (rest.T @ rest) / len(v) / np.outer(spread, spread)
             beyond = np.clip(self.correlation, 0, 1)
+            beyond[beyond < BEYOND] = 0
+            beyond[-1] = beyond[:, -1] = 0  # the label is a source of its own
             np.fill_diagonal(beyond, 0)
             self.weight = 1 / (1 + beyond.sum(1))
             says = v @ (self.weight * np.log(self.toxic / self.clean)) + (1 - v) @ (self.weight * np.log((1 - self.toxic) / (1 - self.clean)))

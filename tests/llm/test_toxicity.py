@@ -95,7 +95,7 @@ def test_label_model_finds_accuracies():
     label = np.where(rng.random(4000) < 0.1, ~y, y).astype(int)
     m = X.LabelModel(v, speaks, label)
     assert np.abs(m.toxic[:5] - toxic).max() < 0.08 and np.abs(m.clean[:5] - clean).max() < 0.05
-    assert m.weight[1] < 0.6 < m.weight[0]
+    assert m.weight[1] < 0.6 < m.weight[0] and m.weight[-1] == 1
     assert ((m.q > 0.5) == y).mean() > (label == y).mean()
 
 
