@@ -27,10 +27,40 @@ def folder(spark: SparkSession) -> str:
     return f"file://{_local['at']}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows, from files in the shared folder: what a later step reads several times is made once, and its plan starts anew. The
+    files go when the process ends."""
+    spark = df.sparkSession
+    at = f"{folder(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+
+    def drop() -> None:
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001  the session has ended; the folder's owner cleans it
+            return
+
+    atexit.register(drop)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def _files(spark: SparkSession, key: tuple) -> tuple:
+    """Names, lengths and times of all files below the folders that a key names: what was made of other files is another table."""
+    jvm, out = spark.sparkContext._jvm, []
+    for at in sorted({k for k in key if isinstance(k, str) and "/" in k}):
+        path = jvm.org.apache.hadoop.fs.Path(at)
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)  # an error where it can't be listed
+        while found.hasNext():
+            f = found.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def stored(spark: SparkSession, key: tuple, make: Callable[[], dict[str, tuple[DataFrame, list[str]]]]) -> dict[str, DataFrame]:
     """The tables that make() gives, by name with the columns they are partitioned by, from files. They are written the first time
-    that an application asks for the key, which must tell the inputs apart."""
-    key = (spark.sparkContext.applicationId, *key)
+    that an application asks for the key, and again once a file below a folder in the key has changed; the key must name the inputs' folder."""
+    key = (spark.sparkContext.applicationId, *key, _files(spark, key))
     if key not in _made:
         at = f"{folder(spark)}/stored-{uuid.uuid4().hex}"
         for name, (df, by) in make().items():
