@@ -42,7 +42,7 @@ class Kept:
     rows: DataFrame  # table_id, row_id, row_index, label (path, lower case), slug
     cells: DataFrame  # table_id, row_id, year, n: cells that hold a number
     columns: DataFrame  # table_id, label (path and leaf, lower case), leaf
-    coverage: DataFrame  # table_id, year
+    coverage: DataFrame  # table_id, year, monthly (whether a row or column of the year has a month)
     family_years: DataFrame  # family_id, year
 
 
@@ -66,7 +66,8 @@ def kept(spark: SparkSession, ledger: Ledger, key: tuple, stem: bool = True) ->
         head = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("title", "caption") if c in ledger.tables.columns))
         tables = ledger.tables.where("table_kind = 'data'").select("id", "file", "file_year", "file_month", "title", F.lower(head).alias("head"), "period", family)
         marked = tables.join(months.select(F.col("table_id").alias("id"), F.lit(True).alias("has_months")), "id", "left").fillna(False, ["has_months"])
-        covered = ledger.columns.select("table_id", F.col("year_extracted").alias("year")).union(ledger.rows.select("table_id", F.col("year_extracted").alias("year"))).where("year is not null").distinct()
+        dated = lambda df: df.where("year_extracted is not null").select("table_id", F.col("year_extracted").alias("year"), F.col("month_extracted").isNotNull().alias("monthly"))
+        covered = dated(ledger.columns).union(dated(ledger.rows)).groupBy("table_id", "year").agg(F.max("monthly").alias("monthly"))
         return {
             "tables": (marked, []), "postings": text["postings"], "stats": text["stats"], "terms": (text["postings"][0].select("term", "id").distinct().groupBy("term").agg(F.count("*").alias("df")), []),
             "rows": (ledger.rows.where("is_section_header = 0").select("table_id", F.col("id").alias("row_id"), "row_index", F.lower("row_path").alias("label"), F.col("metric_slug").alias("slug")), []),
@@ -148,6 +149,35 @@ def text_scores(k: Kept, terms: DataFrame, among: DataFrame | None = None, every
     return out.select("q", "id", "score")
 
 
+#: Stages of the text search, in the order in which they are tried.
+STAGES = ("exact_year_strict", "synonym_year_strict", "exact_year_window", "exact_unrestricted", "synonym_year_window", "synonym_unrestricted", "year_shifted")
+
+
+def staged(k: Kept, r: DataFrame, synonyms: Callable[[Column], Column] | None = None, stem: bool = True, enough: int = ENOUGH, most: int = 1000) -> DataFrame:
+    """(q, place, id, stage, score) over all tables: all of a request's words (exact), or any of them and of what stands for them (synonym);
+    in tables that have a year asked for, in issues of a window of years, anywhere, in later issues. A stage counts only where
+    no earlier one has enough tables; a table keeps its first stage. Each index is read twice, whatever the number of stages."""
+    hints = F.coalesce("hints", F.array())
+    other = F.flatten(F.transform(hints, synonyms)) if synonyms else F.array().cast("array<string>")
+    exact = text_scores(k, asked_terms(r, hints, stem), every=True).withColumn("exact", F.lit(True))
+    broad = text_scores(k, asked_terms(r, F.concat(hints, other), stem)).withColumn("exact", F.lit(False))
+    asked = r.select("q", F.array_min("years").alias("first"), F.array_max("years").alias("last"))
+    years = r.select("q", "monthly", F.explode(F.array_distinct("years")).alias("year"))
+    strict = k.coverage.select(F.col("table_id").alias("id"), "year", F.col("monthly").alias("has")).join(years, "year").where("has or not monthly").select("q", "id").distinct().withColumn("strict", F.lit(True))
+    j = exact.unionByName(broad).join(asked, "q").join(k.tables.select("id", "file_year"), "id").join(strict, ["q", "id"], "left")
+    own, year = F.coalesce("strict", F.lit(False)), F.col("file_year")
+    window, later = year.between(F.col("first"), F.col("last") + 5), year.between(F.col("first") + 5, F.col("last") + 10)
+    on = {0: F.col("exact") & own, 1: ~F.col("exact") & own, 2: F.col("exact") & window, 3: F.col("exact"), 4: ~F.col("exact") & window, 5: ~F.col("exact"), 6: ~F.col("exact") & own & later}
+    rows = j.select("q", "id", "score", F.explode(F.filter(F.array(*(F.when(c, n) for n, c in on.items())), lambda x: x.isNotNull())).alias("stage"))
+    by = lambda *keys: Window.partitionBy(*keys[0]).orderBy(*keys[1:], F.desc("score"), "id")
+    rows = rows.withColumn("nth", F.row_number().over(by(["q", "stage"]))).where(F.col("nth") <= most)
+    sizes = rows.groupBy("q", "stage").agg(F.count("*").alias("n")).where(F.col("n") >= enough).groupBy("q").agg(F.min("stage").alias("end"))
+    tried = rows.join(sizes, "q", "left").where(F.col("end").isNull() | (F.col("stage") <= F.col("end")))
+    first = tried.groupBy("q", "id").agg(F.min(F.struct("stage", "score")).alias("s")).select("q", "id", F.col("s.stage").alias("stage"), F.col("s.score").alias("score"))
+    placed = first.withColumn("place", F.row_number().over(by(["q"], "stage"))).where(F.col("place") <= most)
+    return placed.select("q", "place", "id", F.get(F.array(*(F.lit(x) for x in STAGES)), F.col("stage")).alias("stage"), "score")
+
+
 def slug_scores(k: Kept, r: DataFrame, synonyms: Callable[[Column], Column] | None = None, among: DataFrame | None = None, enough: int = ENOUGH) -> DataFrame:
     """(q, id, stage, score), higher is better: tables by row slugs that hold all words of a hint (primary), of what stands for it (synonym),
     or any word (partial). A table keeps its first stage; a later stage counts only where no earlier one has enough tables. score is the rows that match, and 5

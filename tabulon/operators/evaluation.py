@@ -66,11 +66,12 @@ def covering(entries: DataFrame, key: str) -> DataFrame:
 
 
 def budgeted(entries: DataFrame, key: str, chars: int, least: int = 500) -> DataFrame:
-    """Texts in rank order up to a budget of characters; the last one is cut if enough room is left for it."""
-    before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy(key).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    room = F.lit(chars) - before
-    out = entries.withColumn("room", room).where((F.col("room") >= F.length("text")) | (F.col("room") > least))
-    return out.withColumn("text", F.left("text", F.least("room", F.length("text")).cast("int"))).drop("room")
+    """Texts in rank order up to a budget of characters; the last one is cut if enough room is left for it. Only lengths are put in
+    order; texts are read again where their rank, unique in its key, fits."""
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(key).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = entries.select(key, "rank", F.length("text").alias("n")).withColumn("room", F.lit(chars) - before).where((F.col("room") >= F.col("n")) | (F.col("room") > least))
+    out = entries.join(room.select(F.col(key).alias("_key"), F.col("rank").alias("_rank"), "room"), F.col(key).eqNullSafe(F.col("_key")) & F.col("rank").eqNullSafe(F.col("_rank")))
+    return out.select(*(F.left("text", F.least("room", F.length("text")).cast("int")).alias("text") if c == "text" else entries[c] for c in entries.columns))
 
 
 def by_match(entries: DataFrame, key: str, section: str, years: list[int], tie: str) -> DataFrame:

@@ -31,8 +31,8 @@ def candidate_families(f: DataFrame, ledger: Ledger, r: Request, many: int = 100
     if not terms:
         return own
     hit = layers.family_columns(ledger).where(search.contains_any(F.col("col_leaf_lower"), terms)).select("family_id").distinct().withColumn("hit", F.lit(1))
-    w = Window.partitionBy()
-    marked = own.join(hit, "family_id", "left").withColumn("n", F.count("*").over(w)).withColumn("hits", F.count("hit").over(w))
+    marked = own.join(hit, "family_id", "left")
+    marked = marked.crossJoin(F.broadcast(marked.agg(F.count("*").alias("n"), F.count("hit").alias("hits"))))  # one row
     narrow = (F.col("n") > many) & (F.col("hits") >= F.greatest(F.lit(10), F.col("n") / 4))
     return marked.where(~narrow | F.col("hit").isNotNull()).select("family_id")
 
@@ -73,7 +73,8 @@ def _phrases(text: Column, words: list[str], gain: float, loss: float) -> Column
 def ranked(candidates: DataFrame, text: DataFrame, slugs: DataFrame, fit: DataFrame, r: Request) -> DataFrame:
     """id, title, file, score of candidates: a weighted sum of what is known of each."""
     j = candidates.join(text.withColumnRenamed("score", "text_score"), "id", "left").join(slugs.select(F.col("table_id").alias("id"), F.col("score").alias("slug_score")), "id", "left").join(fit, "id", "left").fillna(0, ["n_years", "n_columns", "n_months", "n_rows", "best_cells"])
-    j = j.withColumn("text_n", search.normalized(F.coalesce("text_score", F.lit(0.0)))).withColumn("slug_n", search.normalized(F.coalesce("slug_score", F.lit(0.0)))).withColumn("most", F.max("best_cells").over(Window.partitionBy()))
+    j = search.normalized(j.fillna(0.0, ["text_score", "slug_score"]), {"text_score": "text_n", "slug_score": "slug_n"})
+    j = j.crossJoin(F.broadcast(fit.agg(F.max("best_cells").alias("most"))))  # one row
     last = max(r.years) if r.years else None
     year = search.file_year_bonus(F.lit(r.mode), F.col("file_year") - last, F.col("file_month"), F.lit(min(r.years)) <= F.col("file_year")) if r.years else F.lit(0.0)
     found = F.when(F.col("n_rows") > 0, 5 * F.try_divide(F.col("best_cells"), F.col("most")) - 0.05 * F.least(F.col("n_rows") - 1, F.lit(8))).otherwise(0.0)

@@ -125,9 +125,11 @@ def period_delta(asked: Column, has: Column) -> Column:
     return F.when(asked.isNull() | has.isNull() | (asked == "unknown") | (has == "unknown"), 0.0).when(asked == has, 0.5).otherwise(-0.3)
 
 
-def normalized(score: Column) -> Column:
-    """-score over the best one."""
-    return F.coalesce(F.try_divide(-score, F.max(-score).over(Window.partitionBy())), F.lit(0.0))
+def normalized(df: DataFrame, scores: dict[str, str]) -> DataFrame:
+    """Adds -score over the best one under a new name, for each of the scores. The best ones are a row of their own, sent to every task."""
+    best = df.agg(*(F.max(-F.col(c)).alias(f"_{c}") for c in scores))
+    share = lambda c: F.coalesce(F.try_divide(-F.col(c), F.col(f"_{c}")), F.lit(0.0))
+    return df.crossJoin(F.broadcast(best)).select(*df.columns, *(share(c).alias(out) for c, out in scores.items()))  # one row
 
 
 def capped(ranked: DataFrame, group: str, cap: int, most: int) -> DataFrame:
@@ -137,10 +139,10 @@ def capped(ranked: DataFrame, group: str, cap: int, most: int) -> DataFrame:
 
 
 def soft_filter(df: DataFrame, cond: Column, k: int) -> DataFrame:
-    """Keeps the rows that meet a condition if enough do, else all."""
+    """Keeps the rows that meet a condition if enough do, else all. Whether enough do is one row, sent to every task."""
     need = max(min(k, 50), 10)
-    enough = F.sum(cond.cast("int")).over(Window.partitionBy()) >= need
-    return df.withColumn("_keep", cond | ~enough).where("_keep").drop("_keep")
+    enough = df.agg((F.count_if(cond) >= need).alias("_enough"))
+    return df.crossJoin(F.broadcast(enough)).where(cond | ~F.col("_enough")).drop("_enough")  # one row
 
 
 def without_aggregates(df: DataFrame, key: str, label: str) -> DataFrame:

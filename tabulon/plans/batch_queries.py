@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.operators import batch, containment
+from tabulon.functions import contexts
+from tabulon.operators import batch, containment, values
 from tabulon.plans.registry import query
 from tabulon.sources.ledger import LEDGER_SQL, demo_ledger, read
+from tabulon.sources.shared import written
 
 L = LEDGER_SQL
 
@@ -114,3 +116,111 @@ def spec_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     coverage = ledger.columns.select("table_id", F.col("year_extracted").alias("year")).distinct()
     rows, columns = ledger.rows.select("table_id", F.col("row_leaf").alias("label")), ledger.columns.select("table_id", F.col("col_path").alias("label"))
     return containment.validated(specs, scope, rows, columns, coverage)
+
+
+def _standing_for(hint):
+    return F.when(F.contains(hint, F.lit("america")), F.array(F.lit("africa"))).otherwise(F.array().cast("array<string>"))
+
+
+@query(
+    L
+    + f""", {_REQUESTS}, {_TEXT},
+  fam AS (SELECT DISTINCT q, lower(trim(title)) AS family_id FROM (SELECT q, unnest(years) AS year FROM r) JOIN (SELECT DISTINCT title, data_year FROM facts) ON data_year = year),
+  cand AS (SELECT DISTINCT q, t.id FROM fam JOIN tables t ON lower(trim(title)) = family_id),
+  qe AS (SELECT DISTINCT q, unnest(flatten(list_transform(hints, lambda x: {_T.format("x")}))) AS t FROM r),
+  qb AS (SELECT q, t FROM qe UNION SELECT q, 'africa' FROM r WHERE len(list_filter(hints, lambda x: contains(x, 'america'))) > 0),
+  bm AS (SELECT q, id, 'exact' AS how, sum(part) AS score FROM qe JOIN parts USING (t) GROUP BY q, id HAVING count(*) = (SELECT count(*) FROM qe e WHERE e.q = qe.q) UNION ALL SELECT q, id, 'synonym', sum(part) FROM qb JOIN parts USING (t) GROUP BY q, id),
+  j AS (SELECT bm.*, file_year, list_min(years) AS a, list_max(years) AS b, EXISTS (SELECT 1 FROM cols WHERE table_id = bm.id AND list_contains(years, year_extracted)) AS own FROM bm JOIN r USING (q) JOIN tables USING (id)),
+  st2 AS (SELECT q, id, score, unnest(CASE how WHEN 'exact' THEN list_concat(CASE WHEN own THEN [0] ELSE [] END, CASE WHEN file_year BETWEEN a AND b + 5 THEN [2] ELSE [] END, [3]) ELSE list_concat(CASE WHEN own THEN [1] ELSE [] END, CASE WHEN file_year BETWEEN a AND b + 5 THEN [4] ELSE [] END, [5], CASE WHEN own AND file_year BETWEEN a + 5 AND b + 10 THEN [6] ELSE [] END) END) AS stage FROM j),
+  lim AS (SELECT q, min(stage) AS end_ FROM (SELECT q, stage FROM st2 GROUP BY q, stage HAVING count(*) >= 6) GROUP BY q),
+  one AS (SELECT q, id, min(stage) AS stage, arg_min(score, stage) AS score FROM st2 LEFT JOIN lim USING (q) WHERE end_ IS NULL OR stage <= end_ GROUP BY q, id),
+  lm AS (SELECT q, id, score FROM (SELECT q, id, sum(part) AS score FROM qe JOIN parts USING (t) GROUP BY q, id) JOIN cand USING (q, id))
+  SELECT q, row_number() OVER (PARTITION BY q ORDER BY stage, score DESC, id) AS place, id, CASE stage WHEN 0 THEN 'exact_year_strict' WHEN 1 THEN 'synonym_year_strict' WHEN 2 THEN 'exact_year_window' WHEN 3 THEN 'exact_unrestricted' WHEN 4 THEN 'synonym_year_window' WHEN 5 THEN 'synonym_unrestricted' ELSE 'year_shifted' END AS stage, round(score, 5) AS score, 'staged' AS mode FROM one
+  UNION ALL SELECT q, row_number() OVER (PARTITION BY q ORDER BY round(score, 5) DESC, id), id, NULL, round(score, 5), 'limited' FROM lm"""
+)
+def table_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full text in both modes: over all tables in stages, and over each request's candidates only."""
+    from pyspark.sql import Window
+
+    k = batch.kept(spark, demo_ledger(spark, sf_dir), (sf_dir, "demo"), stem=False)
+    r = written(requests(spark, sf_dir))
+    staged = batch.staged(k, r, _standing_for, stem=False, enough=6).withColumn("score", F.round("score", 5)).withColumn("mode", F.lit("staged"))
+    among = written(batch.candidates(k, r))
+    limited = batch.text_scores(k, batch.asked_terms(r, F.col("hints"), False), among).withColumn("score", F.round("score", 5))
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    limited = limited.select("q", place.alias("place"), "id", F.lit(None).cast("string").alias("stage"), "score", F.lit("limited").alias("mode"))
+    return staged.unionByName(limited)
+
+
+@query(
+    L
+    + """, g0 AS (SELECT r_regionkey, y, m, CAST(sum(price) AS DOUBLE) AS v FROM base JOIN region USING (r_name) GROUP BY r_regionkey, y, m), g AS (SELECT r_regionkey * 10000 + y * 100 + m AS uid, y, m, v * CASE WHEN m % 3 = 0 THEN 1e-6 WHEN m % 3 = 1 THEN 1.0004 ELSE -1 END AS value FROM g0),
+  hit AS (SELECT uid, value, scale, c.table_id, c.row_id, c.col_id, abs(numeric_value - value * scale) / abs(value * scale) AS off FROM g, (SELECT unnest([1.0, 1e3, 1e-3, 1e6, 1e-6]) AS scale), cells c WHERE value <> 0 AND abs(numeric_value - value * scale) <= abs(value * scale) * 1e-3),
+  n AS (SELECT uid, count(DISTINCT (table_id, row_id, col_id)) AS n_cells, count(DISTINCT table_id) AS n_tables FROM hit GROUP BY uid),
+  b AS (SELECT uid, table_id, row_id, col_id, scale FROM hit QUALIFY row_number() OVER (PARTITION BY uid ORDER BY round(off, 12), table_id, row_id, col_id, scale) = 1)
+  SELECT g.uid, coalesce(n_cells, 0) AS n_cells, coalesce(n_tables, 0) AS n_tables, CASE WHEN n_tables IS NULL THEN 'none' WHEN n_tables = 1 THEN 'one' ELSE 'several' END AS places, table_id, row_id, col_id, CAST(scale AS DOUBLE) AS scale FROM g LEFT JOIN n USING (uid) LEFT JOIN b USING (uid)"""
+)
+def value_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where in the whole ledger monthly totals stand, at any scale: as published, or revised since, or nowhere (of other sign)."""
+    return values.summed(_totals(spark, sf_dir), values.places(_totals(spark, sf_dir), demo_ledger(spark, sf_dir).cells, 1e-3))
+
+
+def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customer, nation, region = read(spark, sf_dir, "orders", "customer", "nation", "region")
+    who = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "r_regionkey")
+    y, m = F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")
+    sums = orders.join(who, F.col("o_custkey") == F.col("c_custkey")).groupBy("r_regionkey", y, m).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("v"))
+    value = F.when(F.col("m") % 3 == 0, F.col("v") * 1e-6).when(F.col("m") % 3 == 1, F.col("v") * 1.0004).otherwise(-F.col("v"))
+    return sums.select("r_regionkey", (F.col("r_regionkey") * 10000 + F.col("y") * 100 + F.col("m")).cast("long").alias("uid"), "y", "m", value.alias("value"))
+
+
+@query(
+    L
+    + """, g0 AS (SELECT r_regionkey, y, m, CAST(sum(price) AS DOUBLE) AS v FROM base JOIN region USING (r_name) GROUP BY r_regionkey, y, m), g AS (SELECT r_regionkey * 10000 + y * 100 + m AS uid, r_regionkey * 10000 + y AS question, printf('issue_%04d_12.json', y + m % 2) AS file, 1 + m % 2 AS page, v * CASE WHEN m % 3 = 0 THEN 1e-6 WHEN m % 3 = 1 THEN 1.0004 ELSE -1 END AS value FROM g0),
+  hit AS (SELECT DISTINCT uid, t.file, t.element_seq AS page FROM g, (SELECT unnest([1.0, 1e3, 1e-3, 1e6, 1e-6]) AS scale), cells c JOIN tables t ON t.id = c.table_id WHERE value <> 0 AND abs(numeric_value - value * scale) <= abs(value * scale) * 1e-3),
+  e AS (SELECT question, uid IN (SELECT uid FROM hit) AS found, (uid, file) IN (SELECT (uid, file) FROM hit) AS in_file, (uid, file, page) IN (SELECT (uid, file, page) FROM hit) AS on_page FROM g)
+  SELECT question, count(*) AS n_values, CAST(count_if(found) AS BIGINT) AS n_found, bool_or(in_file) AS file_any, bool_and(in_file) AS file_all, bool_or(on_page) AS page_any, bool_and(on_page) AS page_all FROM e GROUP BY question"""
+)
+def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each region's year: whether its months stand in the issues and on the pages that are said to have them."""
+    t = _totals(spark, sf_dir)
+    m, y = F.col("m"), F.col("y")
+    gold = t.select("uid", (F.col("r_regionkey") * 10000 + y).cast("long").alias("question"), F.format_string("issue_%04d_12.json", y + m % 2).alias("file"), (1 + m % 2).alias("page"), "value")
+    ledger = demo_ledger(spark, sf_dir)
+    return values.reachable(gold, values.places(gold, ledger.cells, 1e-3), ledger.tables.select(F.col("id").alias("table_id"), "file", F.col("element_seq").alias("page")))
+
+
+_V = "CAST(o_totalprice AS DOUBLE)"
+
+
+@query(
+    f"""SELECT o_orderkey, CAST(n AS INTEGER) AS n, value, percent, CAST(start AS INTEGER) AS start, scale FROM (SELECT o_orderkey, unnest([
+      {{'n': 0, 'value': {_V}, 'percent': false, 'start': length(p), 'scale': u}}, {{'n': 1, 'value': -(o_custkey % 90) - 0.5, 'percent': true, 'start': length(p) + length(printf('%.2f', {_V})) + length(w) + 2, 'scale': CASE WHEN u IS NOT NULL THEN u END}},
+      {{'n': 2, 'value': CAST(year(o_orderdate) AS DOUBLE), 'percent': false, 'start': length(p) + length(printf('%.2f', {_V})) + length(w) + 2 + length('-' || (o_custkey % 90) || '.5%') + 49, 'scale': NULL}}], recursive := true)
+      FROM (SELECT *, 'Paid by ' || o_orderpriority[3:] || ': ' AS p, ['', ' million', ' thousands', ' m'][o_orderkey % 4 + 1] AS w, [NULL, 'million', 'thousand', 'million'][o_orderkey % 4 + 1] AS u FROM orders))"""
+)
+def number_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of a sentence for each order, with their places and scale words."""
+    (o,) = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey") % 4
+    word = F.when(k == 1, " million").when(k == 2, " thousands").when(k == 3, " m").otherwise("")
+    text = F.concat(F.lit("Paid by "), F.substring("o_orderpriority", 3, 99), F.lit(": "), F.format_number(F.col("o_totalprice").cast("double"), 2), word, F.lit(" ("), F.lit("−"), (F.col("o_custkey") % 90).cast("string"), F.lit(".5%) "), F.rpad(F.lit("of what was due"), 45, " "), F.lit("y "), F.year("o_orderdate").cast("string"))
+    rows = o.select("o_orderkey", F.posexplode(contexts.numbers_in(text)).alias("n", "x"))
+    return rows.select("o_orderkey", "n", "x.value", "x.percent", "x.start", "x.scale")
+
+
+@query(
+    f"""SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN true WHEN 1 THEN abs({_V} * 1.2 - {_V}) <= 0.01 * {_V} WHEN 2 THEN true WHEN 3 THEN true WHEN 4 THEN true WHEN 5 THEN abs(round({_V} / 3, 2) - {_V}) <= 0.01 * {_V} WHEN 6 THEN o_orderpriority LIKE '%URGENT' WHEN 7 THEN false END AS right_answer FROM orders"""
+)
+def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of all kinds against their truths: commas, years beside, scale words, several numbers, words, nothing."""
+    (o,) = read(spark, sf_dir, "orders")
+    v = F.col("o_totalprice").cast("double")
+    plain, grouped, third = F.format_string("%.2f", v), F.format_number(v, 2), F.format_number(F.round(v / 3, 2), 2)
+    k = F.col("o_orderkey") % 9
+    truth = F.when(k == 2, F.concat(plain, F.lit(" million"))).when(k == 3, F.lit("1995")).when(k.isin(4, 5), F.concat(plain, F.lit(" and "), third)).when(k == 6, '"Urgent (first)"').when(k != 8, plain)
+    answer = (
+        F.when(k == 0, F.concat(F.lit("The total is $"), grouped, F.lit("."))).when(k == 1, F.concat(F.lit("In 1995 it was "), F.format_number(v * 1.2, 2))).when(k == 2, F.concat(grouped, F.lit(" dollars"))).when(k == 3, "in 1995").when(k == 4, F.concat(F.lit("first "), third, F.lit(" and then "), grouped))
+        .when(k == 5, F.concat(F.lit("only this and that: "), third)).when(k == 6, F.regexp_replace("o_orderpriority", r"\d", "")).when(k == 7, "1995").otherwise("nothing")
+    )
+    return o.select("o_orderkey", contexts.matches(truth, answer, F.lit(0.01)).alias("right_answer"))

@@ -350,7 +350,8 @@ def budgeted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def score_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _pick(F.col("p_partkey") % 3, "calendar", "fiscal", "unknown"), _pick(F.col("p_size") % 4, "calendar", "fiscal", "unknown", F.lit(None).cast("string"))
-    return _read(spark, sf_dir, "part").select("p_partkey", F.round(search.normalized(-F.col("p_retailprice").cast("double")), 6).alias("norm"), search.period_delta(a, b).alias("delta"))
+    rows = _read(spark, sf_dir, "part").select("p_partkey", (-F.col("p_retailprice").cast("double")).alias("score"), search.period_delta(a, b).alias("delta"))
+    return search.normalized(rows, {"score": "norm"}).select("p_partkey", F.round("norm", 6).alias("norm"), "delta")
 
 
 @query(

@@ -92,14 +92,17 @@ _BONUS = "CASE WHEN o = 0 THEN {0} WHEN o = 1 THEN {1} WHEN o = 2 THEN {2} WHEN
 
 
 @query(
-    f"""WITH g AS (SELECT mode, o, m, covers FROM (VALUES ('calendar'), ('fiscal'), ('unknown')) a(mode), (SELECT unnest(range(-2, 9)) AS o), (SELECT unnest(range(1, 13)) AS m), (VALUES (true), (false)) b(covers)),
+    f"""WITH g AS (SELECT o_orderkey, ['calendar', 'fiscal', 'unknown'][o_custkey % 3 + 1] AS mode, year(o_orderdate) - 1994 AS o, month(o_orderdate) AS m, o_orderstatus = 'F' AS covers FROM orders),
     x AS (SELECT *, CASE mode WHEN 'calendar' THEN {_BONUS.format(2.0, 6.0, 3.5, 2.5, 1.5, 1.5)} WHEN 'fiscal' THEN {_BONUS.format(6.0, 3.5, 2.5, 2.0, 1.0, 1.5)} ELSE {_BONUS.format(5.0, 4.5, 3.0, 2.5, 1.5, 2.0)} END AS base FROM g)
-    SELECT mode, CAST(o AS INTEGER) AS o, CAST(m AS INTEGER) AS m, covers, CAST(base + CASE WHEN base <= 0 THEN 0 WHEN mode = 'calendar' THEN CASE WHEN o = 1 AND m <= 3 THEN 2 WHEN o = 1 AND m <= 6 THEN 1 WHEN o = 0 AND m >= 6 THEN 0.5 ELSE 0 END
+    SELECT o_orderkey, mode, CAST(base + CASE WHEN base <= 0 THEN 0 WHEN mode = 'calendar' THEN CASE WHEN o = 1 AND m <= 3 THEN 2 WHEN o = 1 AND m <= 6 THEN 1 WHEN o = 0 AND m >= 6 THEN 0.5 ELSE 0 END
     WHEN mode = 'fiscal' THEN CASE WHEN o = 0 AND m BETWEEN 7 AND 10 THEN 2 WHEN o = 0 AND m >= 7 THEN 1 ELSE 0 END ELSE CASE WHEN o = 0 AND m >= 6 THEN 0.5 ELSE 0 END END AS DOUBLE) AS bonus FROM x"""
 )
 def file_year_bonuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = spark.sql("SELECT mode, o, m, covers FROM (SELECT explode(array('calendar', 'fiscal', 'unknown')) AS mode) LATERAL VIEW explode(sequence(-2, 8)) AS o LATERAL VIEW explode(sequence(1, 12)) AS m LATERAL VIEW explode(array(true, false)) AS covers")
-    return g.select("*", search.file_year_bonus(F.col("mode"), F.col("o"), F.col("m"), F.col("covers")).alias("bonus"))
+    """Orders as issues of their month, held against the year 1994."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    mode = F.element_at(F.array(F.lit("calendar"), F.lit("fiscal"), F.lit("unknown")), (F.col("o_custkey") % 3 + 1).cast("int"))
+    bonus = search.file_year_bonus(mode, F.year("o_orderdate") - 1994, F.month("o_orderdate"), F.col("o_orderstatus") == "F")
+    return o.select("o_orderkey", mode.alias("mode"), bonus.alias("bonus"))
 
 
 @query(
@@ -176,13 +179,15 @@ def cell_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT s, t, round(CASE WHEN s IS NULL OR sm IS NULL OR s = t THEN v WHEN t IS NULL THEN CASE WHEN s = 'percent' THEN v ELSE v * sm END WHEN (s = 'percent') <> (t = 'percent') OR tm IS NULL THEN v ELSE v * (sm / tm) END, 6) AS out
+    """SELECT p_partkey, s, t, round(CASE WHEN s IS NULL OR sm IS NULL OR s = t THEN v WHEN t IS NULL THEN CASE WHEN s = 'percent' THEN v ELSE v * sm END WHEN (s = 'percent') <> (t = 'percent') OR tm IS NULL THEN v ELSE v * (sm / tm) END, 6) AS out
     FROM (SELECT *, CASE s WHEN 'thousands' THEN 1e3 WHEN 'millions' THEN 1e6 WHEN 'billions' THEN 1e9 WHEN 'percent' THEN 1.0 END AS sm, CASE t WHEN 'thousands' THEN 1e3 WHEN 'millions' THEN 1e6 WHEN 'billions' THEN 1e9 WHEN 'percent' THEN 1.0 END AS tm
-    FROM (VALUES ('thousands'), ('millions'), ('billions'), ('percent'), ('index'), (NULL)) a(s), (VALUES ('thousands'), ('millions'), ('billions'), ('percent'), ('count'), (NULL)) b(t), (SELECT 1234.5 :: DOUBLE AS v))"""
+    FROM (SELECT p_partkey, CAST(p_retailprice AS DOUBLE) AS v, ['thousands', 'millions', 'billions', 'percent', 'index', NULL][p_partkey % 6 + 1] AS s, ['thousands', 'millions', 'billions', 'percent', 'count', NULL][p_size % 6 + 1] AS t FROM part))"""
 )
 def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = spark.sql("SELECT s, t, 1234.5D AS v FROM (SELECT explode(array('thousands', 'millions', 'billions', 'percent', 'index', NULL)) AS s) LATERAL VIEW explode(array('thousands', 'millions', 'billions', 'percent', 'count', NULL)) AS t")
-    return g.select("s", "t", F.round(numbers.convert_unit(F.col("v"), F.col("s"), F.col("t")), 6).alias("out"))
+    """Prices of parts from one unit to another."""
+    unit = lambda n, *names: F.element_at(F.array(*(F.lit(x) for x in names)), (n % 6 + 1).cast("int"))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_retailprice").cast("double").alias("v"), unit(F.col("p_partkey"), "thousands", "millions", "billions", "percent", "index", None).alias("s"), unit(F.col("p_size"), "thousands", "millions", "billions", "percent", "count", None).alias("t"))
+    return p.select("p_partkey", "s", "t", F.round(numbers.convert_unit(F.col("v"), F.col("s"), F.col("t")), 6).alias("out"))
 
 
 @query(

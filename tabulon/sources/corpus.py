@@ -46,8 +46,10 @@ REACH = 5  #: fixed value: places on a page within which prose belongs to a tabl
 
 
 def numbered(e: DataFrame) -> DataFrame:
-    """Adds id: 18 bits of the issue, 22 of the file's place in it, 22 of the element's place."""
+    """Adds id: 18 bits of the issue, 22 of the file's place in it, 22 of the element's place. Files that bring their place (file_no) keep it."""
     issue = F.coalesce(F.col("file_year") * 100 + F.col("file_month"), F.lit(0)).cast("long")
+    if "file_no" in e.columns:
+        return e.withColumn("id", F.shiftleft(issue, 44) + F.shiftleft(F.col("file_no").cast("long"), 22) + F.col("element_seq") + 1).drop("file_no")
     files = e.select("file", issue.alias("issue")).distinct()
     files = files.withColumn("file_no", F.row_number().over(Window.partitionBy("issue").orderBy("file")))
     number = F.shiftleft(F.col("issue"), 44) + F.shiftleft(F.col("file_no").cast("long"), 22) + F.col("element_seq") + 1

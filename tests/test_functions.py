@@ -1,5 +1,7 @@
 """Expressions on small fixtures."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +108,33 @@ def test_bm25_against_sqlite(spark):
     expected = dict(c.execute("select rowid, bm25(f, 2.0, 1.5) from f where f match 'debt OR receipts'"))
     got = search.bm25(spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "id int, a string, b string"), "id", {"a": 2.0, "b": 1.5}, ["debt", "receipts"])
     assert {r["id"]: pytest.approx(r["score"]) for r in got.collect()} == expected
+
+
+def test_numbers_in_context(spark):
+    """Against a version that walks over matches."""
+    import random
+
+    from tabulon.functions import contexts
+
+    def walked(text):
+        text = re.sub(r"\d{1,3}(?:,\d{3})+(?:\.\d+)?", lambda m: m.group().replace(",", ""), text.replace("−", "-"))
+        scale = lambda c: next((n for n, p in contexts.SCALES if re.search(p, c)), None)
+        around = lambda m: text[max(0, m.start() - 20) : m.end() + 20].lower()
+        return [(float(m.group().rstrip("%")), m.group().endswith("%"), m.start(), around(m), scale(around(m))) for m in re.finditer(r"-?\d+\.?\d*%?", text)]
+
+    rng = random.Random(3)
+    parts = ["1,234", "5", "-7.5%", "−12", "1,2345", "12,34,567", "1.", ".5", "million", "Billions", "b", "k", "in 1995", ", ", "%", "-", "(3)", "x1,000,000.25y", "é"]
+    texts = ["", "none"] + [rng.choice(["", " "]).join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", contexts.numbers_in(F.col("t")).alias("n")).collect()
+    for r in rows:
+        assert [tuple(x) for x in r["n"]] == walked(r["t"]), r["t"]
+
+
+@pytest.mark.parametrize(
+    ("truth", "answer", "right"),
+    [("5", "five", False), ("0", "0.0 left", True), ("0", "1", False), ("12%", "about 12.0 percent", True), ("-3", "3", False), ("1,000 and 1990", "in 1990 and 1000", True), ("gold", "Silver", False), ("'gold'", "some Gold (pure)", True), ("5 apples", "5", False), ("5 apples", "5 red apples", False), ("5 apples", "I have 5 apples", True), (None, "5", None), ("5", "", None), ("7", "1999 7", True), ("1999", "1999", True)],
+)
+def test_answer_matches_in_the_jvm(spark, truth, answer, right):
+    from tabulon.functions import contexts
+
+    assert spark.createDataFrame([(truth, answer)], "t string, a string").select(contexts.matches(F.col("t"), F.col("a"), F.lit(0.0))).first()[0] is right
