@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions import contexts
-from tabulon.operators import batch, containment, values
+from tabulon.operators import batch, containment, layers, series_requests, values
 from tabulon.plans.registry import query
 from tabulon.sources.ledger import LEDGER_SQL, demo_ledger, read
 from tabulon.sources.shared import written
@@ -224,3 +224,41 @@ def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 5, F.concat(F.lit("only this and that: "), third)).when(k == 6, F.regexp_replace("o_orderpriority", r"\d", "")).when(k == 7, "1995").otherwise("nothing")
     )
     return o.select("o_orderkey", contexts.matches(truth, answer, F.lit(0.01)).alias("right_answer"))
+
+
+@query(
+    L
+    + f""", mx AS (SELECT table_id, title, file_year, file_month, data_year AS year, data_month AS month, CASE WHEN data_year = 1994 AND row_path LIKE '%ASIA' THEN NULL ELSE numeric_value END AS value, row_path, col_path, row_id, col_id FROM facts),
+  c AS (SELECT table_id, title, file_year, file_month, year, month, value, 'columns' AS way, lower(row_path) AS label, row_id AS line FROM mx WHERE title = 'Orders by region'
+    UNION ALL SELECT table_id, title, file_year, file_month, year, month, value, 'rows', lower(row_path), row_id FROM mx WHERE title = 'Orders by segment'
+    UNION ALL SELECT table_id + 2, 'Orders in years', file_year, file_month, year, NULL, sum(value), 'annual', unnest([lower(row_path), CAST(year AS VARCHAR)]), unnest([row_id, table_id * 1000 + year]) FROM mx WHERE title = 'Orders by region' AND year < 1998 AND year <> 1996 GROUP BY table_id, file_year, file_month, year, row_path, row_id),
+  r AS (SELECT item_id AS q, CASE item_id % 8 WHEN 3 THEN 'atlantis' WHEN 6 THEN 'building ' || lower(r_name) ELSE lower(r_name) END AS hint, CASE WHEN item_id % 8 = 5 THEN [1905] ELSE [1992 + item_id % 7, 1994] END AS years, CASE WHEN item_id % 2 = 0 THEN 'annual' ELSE 'monthly' END AS granularity,
+    CASE item_id % 8 WHEN 4 THEN 'no such title' WHEN 0 THEN 'region orders' WHEN 1 THEN 'orders in years' ELSE '' END AS title FROM benchmark JOIN region ON r_regionkey = item_id % 5),
+  lb AS (SELECT DISTINCT q, title AS want, label FROM r, (SELECT DISTINCT label FROM c) WHERE list_has_all({_T.format("label")}, {_T.format("hint")})),
+  h AS (SELECT q, c.* FROM lb JOIN c USING (label) WHERE want = '' OR list_has_all({_T.format("c.title")}, {_T.format("want")})),
+  y AS (SELECT DISTINCT q, granularity, unnest(years) AS year FROM r),
+  ln AS (SELECT q, year, granularity, way, table_id, line, file_year, file_month, count(v) AS n, sum(v) AS value, list({{'month': month, 'value': v}} ORDER BY month) FILTER (v IS NOT NULL) AS series FROM (SELECT q, year, granularity, way, table_id, line, file_year, file_month, month, max(value) AS v FROM h JOIN y USING (q, year) GROUP BY ALL) GROUP BY ALL),
+  b AS (SELECT *, CASE WHEN way <> 'annual' THEN n >= 10 ELSE n > 0 AND granularity <> 'monthly' END AS fits FROM ln QUALIFY row_number() OVER (PARTITION BY q, year ORDER BY fits DESC, CASE way WHEN 'columns' THEN 0 WHEN 'rows' THEN 1 ELSE 2 END, n DESC, file_year DESC, file_month DESC, table_id, line) = 1),
+  j AS (SELECT y.*, b.* EXCLUDE (q, year, granularity), CASE WHEN y.q NOT IN (SELECT q FROM lb) THEN 'label_miss' WHEN y.q NOT IN (SELECT q FROM h) THEN 'table_miss' WHEN b.way IS NULL THEN 'year_miss' WHEN b.n = 0 THEN 'null_numeric' WHEN NOT fits THEN 'incomplete' ELSE 'ok' END AS status FROM y LEFT JOIN b ON b.q = y.q AND b.year = y.year)
+  SELECT q, CAST(year AS INTEGER) AS year, status, CASE WHEN status IN ('ok', 'incomplete') THEN way END AS way, CASE WHEN status IN ('ok', 'incomplete') THEN table_id END AS table_id, CASE WHEN status IN ('ok', 'incomplete') THEN line END AS line, CASE WHEN status IN ('ok', 'incomplete') THEN n END AS n,
+    CASE WHEN status IN ('ok', 'incomplete') THEN round(value, 2) END AS value, CASE WHEN status IN ('ok', 'incomplete') AND granularity = 'monthly' AND way <> 'annual' THEN len(series) END AS n_series FROM j"""
+)
+def series_for_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series by every way and with every status, from tables with months in columns, with months in rows, and of whole years."""
+    ledger = demo_ledger(spark, sf_dir)
+    hole = (F.col("data_year") == 1994) & F.endswith("row_path", F.lit("ASIA"))
+    keep = ["table_id", "title", "file_year", "file_month", "table_kind", "is_section_header", "row_path", "col_path", "row_id", "col_id", "data_year", "numeric_value"]
+    f = series_requests.with_axes(layers.facts(ledger), ledger.rows, ledger.columns).withColumn("numeric_value", F.when(~hole, F.col("numeric_value")))
+    region = f.where("title = 'Orders by region'").select(*keep, "row_month", "col_month")
+    turned = f.where("title = 'Orders by segment'").select(*(F.col({"row_path": "col_path", "col_path": "row_path", "row_id": "col_id", "col_id": "row_id"}.get(c, c)).alias(c) for c in keep), F.col("col_month").alias("row_month"), F.lit(None).cast("int").alias("col_month"))
+    years = region.where("data_year < 1998 and data_year <> 1996").groupBy("table_id", "file_year", "file_month", "data_year", "row_path", "row_id").agg(F.sum("numeric_value").alias("numeric_value"))
+    whole = years.select((F.col("table_id") + 2).alias("table_id"), F.lit("Orders in years").alias("title"), "file_year", "file_month", F.lit("data").alias("table_kind"), F.lit(0).alias("is_section_header"), "row_path", F.col("data_year").cast("string").alias("col_path"), "row_id", (F.col("table_id") * 1000 + F.col("data_year")).alias("col_id"), "data_year", "numeric_value", F.lit(None).cast("int").alias("row_month"), F.lit(None).cast("int").alias("col_month"))
+    items, regions = read(spark, sf_dir, "benchmark", "region")
+    i, name = F.col("item_id"), F.lower("r_name")
+    k = i % 8
+    asked = items.join(regions, F.col("r_regionkey") == i % 5).select(
+        i.alias("q"), F.when(k == 3, "atlantis").when(k == 6, F.concat(F.lit("building "), name)).otherwise(name).alias("hint"), F.when(k == 5, F.array(F.lit(1905))).otherwise(F.array((1992 + i % 7).cast("int"), F.lit(1994))).alias("years"),
+        F.when(i % 2 == 0, "annual").otherwise("monthly").alias("granularity"), F.when(k == 4, "No such title").when(k == 0, "region orders").when(k == 1, "Orders in years").alias("title"),
+    )
+    out = series_requests.resolved(asked, region.unionByName(turned).unionByName(whole))
+    return out.select("q", "year", "status", "way", "table_id", "line", "n", F.round("value", 2).alias("value"), F.size("series").cast("long").alias("n_series"))
