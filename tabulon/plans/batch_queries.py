@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions import contexts
-from tabulon.operators import batch, containment, layers, series_requests, values
+from tabulon.operators import batch, containment, layers, polynomial, series_requests, values
 from tabulon.plans.registry import query
 from tabulon.sources.ledger import LEDGER_SQL, demo_ledger, read
 from tabulon.sources.shared import written
@@ -262,3 +262,21 @@ def series_for_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = series_requests.resolved(asked, region.unionByName(turned).unionByName(whole))
     return out.select("q", "year", "status", "way", "table_id", "line", "n", F.round("value", 2).alias("value"), F.size("series").cast("long").alias("n_series"))
+
+
+@query(
+    f"""WITH o AS (SELECT o_orderpriority AS k, CAST(year(o_orderdate) AS DOUBLE) AS x, {_V} AS y FROM orders), m AS (SELECT k, (min(x) + max(x)) / 2 AS mid, (max(x) - min(x)) / 2 AS half FROM o GROUP BY k),
+  s AS (SELECT k, any_value(mid) AS mid, any_value(half) AS half, count(*) AS n, sum(t) AS p1, sum(t * t) AS p2, sum(t * t * t) AS p3, sum(t * t * t * t) AS p4, sum(y) AS q0, sum(t * y) AS q1, sum(t * t * y) AS q2, sqrt(sum(y * y)) AS norm, sum(y) AS total, max(y) AS most FROM (SELECT *, (x - mid) / half AS t FROM o JOIN m USING (k)) GROUP BY k),
+  d AS (SELECT *, n * (p2 * p4 - p3 * p3) - p1 * (p1 * p4 - p3 * p2) + p2 * (p1 * p3 - p2 * p2) AS det FROM s),
+  b AS (SELECT *, (q0 * (p2 * p4 - p3 * p3) - p1 * (q1 * p4 - p3 * q2) + p2 * (q1 * p3 - p2 * q2)) / det AS b0, (n * (q1 * p4 - q2 * p3) - q0 * (p1 * p4 - p3 * p2) + p2 * (p1 * q2 - p2 * q1)) / det AS b1, (n * (p2 * q2 - p3 * q1) - p1 * (p1 * q2 - p2 * q1) + q0 * (p1 * p3 - p2 * p2)) / det AS b2 FROM d)
+  SELECT k, n, round(b0 + b1 * (1995 - mid) / half + b2 * ((1995 - mid) / half) ** 2, 1) AS at_1995, round(b0 + b1 * (2001 - mid) / half + b2 * ((2001 - mid) / half) ** 2, 1) AS at_2001, round(norm, 1) AS norm_2, most AS norm_inf, round(most / total, 9) AS most_share FROM b"""
+)
+def polynomial_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quadratic through each priority's orders by year, the norms of their prices, and the share of the dearest."""
+    (orders,) = read(spark, sf_dir, "orders")
+    o = orders.select(F.col("o_orderpriority").alias("k"), F.year("o_orderdate").alias("x"), F.col("o_totalprice").cast("double").alias("y"))
+    fit = polynomial.polynomial(o, "k", "x", "y", 2)
+    norms = o.groupBy("k").agg(F.round(polynomial.p_norm(F.col("y"), 2), 1).alias("norm_2"), polynomial.p_norm(F.col("y"), float("inf")).alias("norm_inf"))
+    share = polynomial.shares(o, "k", "y", "share").groupBy("k").agg(F.round(F.max("share"), 9).alias("most_share"))
+    value = lambda x: F.round(polynomial.at(F.col("coefficients"), F.lit(x)), 1).alias(f"at_{x:.0f}")
+    return fit.join(norms, "k").join(share, "k").select("k", "n", value(1995.0), value(2001.0), "norm_2", "norm_inf", "most_share")
