@@ -55,9 +55,13 @@ def _split(line: str) -> list[str]:
     return out[:-1] if out and out[-1] == "" else out
 
 
+#: A number as tables print it: a revision letter before or after, brackets or a sign, separators, a footnote at the end.
+_PRINTED = re.compile(r"(?:[rpe]/\s*)?[-+($\s]*((?:\d[\d,]*)?\.?\d[\d,]*\.?)\s*%?\)?\s*[rpe]?(?:\s*\d+/)?")
+
+
 def _large(cell: str) -> bool:
-    found = re.fullmatch(r"-?\(?\$?([\d,]+(?:\.\d+)?)\)?(?:\s*\S/)?", cell)
-    return bool(found) and float(found[1].replace(",", "") or 0) >= 10
+    found = _PRINTED.fullmatch(cell.strip())
+    return bool(found) and float(found[1].replace(",", "")) >= 10
 
 
 def _months(rows: list[str], year: int) -> int:

@@ -148,3 +148,11 @@ def test_section_score():
     # the label is the term (40), a header holds it (0.85 * 15), the year stands there (20) with ten months (40), numbers (15)
     assert sections.score("Ships", ["Old ships"], months, ["ships"], [1940]) == pytest.approx(40 + 12.75 + 20 + 40 + 15)
     assert sections.score("", [], ["| a | b |"], ["zzz"], []) == -20
+
+
+def test_numbers_of_sections():
+    from tabulon.operators import sections
+
+    large = ["1,234 r", "r/ 1,234", "12%", "+50", "(1,234)", "$ 55.5", "1,234 1/", "10", "-10.", "1,234.5 p 2/", "$(12)"]
+    assert all(map(sections._large, large))
+    assert not any(map(sections._large, ["9.99", "9 r", "", "-", "nan", "...", "1940-Jan.", "12 34", "a 12", "12 x", ".5", "1/"]))

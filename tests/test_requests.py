@@ -36,6 +36,9 @@ def test_hints():
     assert hints.phrases("national defense outlays") == ["national defense", "outlays"]
     assert {"defense spending", "military spending", "defensespending"} <= set(hints.variants("Defense spending"))
     assert hints.descriptive("all of the rows such as these", True) and not hints.descriptive("receipts", True)
+    told = ["all tax rows", "Excluding gold", "aggregates of it", "w " * 16, "e.g.gold"]
+    assert all(hints.descriptive(t, True) for t in told) and not any(hints.descriptive(t, True) for t in ("all of the rows", "an included sum", "e.g. gold", "net public debt of gold"))
+    assert hints.descriptive("net public debt gold", False) and not hints.descriptive("all tax rows", False)
     assert [hints.year_mode(q) for q in ("in fiscal year 1940", "fiscal year and calendar year", "FY 88", "the fy of", "CY")] == ["fiscal", "calendar", "fiscal", "unknown", "unknown"]
     assert hints.operation("What was the percent change from 1940?") == "percent_change"
 
