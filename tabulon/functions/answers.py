@@ -15,6 +15,13 @@ def tagged(text: Column) -> Column:
     return F.when(has, F.nullif(F.regexp_replace(found, r"^\s+|\s+$", ""), F.lit(""))).otherwise(text)
 
 
+def last_line(text: Column) -> Column:
+    """What follows ANSWER: (in any case) on the last line that begins with it; else the last line."""
+    lines = F.transform(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    marked = F.filter(lines, lambda x: F.startswith(F.upper(x), F.lit("ANSWER:")))
+    return F.when(F.size(marked) > 0, F.regexp_replace(F.substring(F.try_element_at(marked, F.lit(-1)), 8, 1 << 30), r"^\s+", "")).otherwise(F.try_element_at(lines, F.lit(-1)))
+
+
 def written(value: Column) -> Column:
     """Commas between thousands; near-integers without decimals, others with three at most and no zeros at the end."""
     whole = F.abs(value - F.round(value)) < 1e-9
@@ -82,3 +89,13 @@ def year_total(label: Column) -> Column:
     """A row of a whole year: a bare year, or a fiscal year by name."""
     t = F.trim(label)
     return t.rlike(r"^\d{4}$") | t.rlike(r"(?i)^(fiscal\s+year|fy|fiscal)\s+\d{4}")
+
+
+def month_row(label: Column) -> Column:
+    """A row of a month: its label begins with a month's name, perhaps after a year."""
+    return labels.leading_month(F.regexp_replace(F.trim(label), r"^\d{4}\s*-\s*", "")).isNotNull()
+
+
+def fits_granularity(label: Column, granularity: Column) -> Column:
+    """Whole years don't belong to all months of a year, nor months to years; every other row does."""
+    return F.when(granularity == "monthly_all", ~year_total(label)).when(granularity.isin("annual", "multi_year_annual"), ~month_row(label)).otherwise(F.lit(True))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.functions import contexts
+from tabulon.functions import answers, contexts
 from tabulon.operators import batch, containment, layers, polynomial, series_requests, values
 from tabulon.plans.registry import query
 from tabulon.sources.ledger import LEDGER_SQL, demo_ledger, read
@@ -280,3 +280,27 @@ def polynomial_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = polynomial.shares(o, "k", "y", "share").groupBy("k").agg(F.round(F.max("share"), 9).alias("most_share"))
     value = lambda x: F.round(polynomial.at(F.col("coefficients"), F.lit(x)), 1).alias(f"at_{x:.0f}")
     return fit.join(norms, "k").join(share, "k").select("k", "n", value(1995.0), value(2001.0), "norm_2", "norm_inf", "most_share")
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size || ' units' WHEN 1 THEN 'second' WHEN 2 THEN 'so it is ' || p_size ELSE '' END AS answer FROM part"""
+)
+def answer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers marked once, twice, not at all, and with nothing after the mark."""
+    (part,) = read(spark, sf_dir, "part")
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 4
+    text = F.when(k == 0, F.concat(F.lit("Think.\n  Answer:  "), size, F.lit(" units \nbye\n"))).when(k == 1, "ANSWER: first\nANSWER: second\n\n").when(k == 2, F.concat(F.lit("The ANSWER: no\nso it is "), size, F.lit("  \n"))).otherwise("x\nanswer:")
+    return part.select("p_partkey", answers.last_line(text).alias("answer"))
+
+
+@query(
+    """SELECT o_orderkey, g, label FROM (SELECT o_orderkey, ['monthly_all', 'annual', 'specific_month'][o_orderkey % 3 + 1] AS g, o_custkey % 5 AS k, CASE o_custkey % 5 WHEN 0 THEN CAST(year(o_orderdate) AS VARCHAR) WHEN 1 THEN 'Fiscal year ' || year(o_orderdate) WHEN 2 THEN year(o_orderdate) || '-' || strftime(o_orderdate, '%B') WHEN 3 THEN strftime(o_orderdate, '%B') ELSE 'Total ' || year(o_orderdate) END AS label FROM orders)
+    WHERE g = 'specific_month' OR (g = 'monthly_all' AND k NOT IN (0, 1)) OR (g = 'annual' AND k NOT IN (2, 3))"""
+)
+def granular_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that belong to what is asked for: months or whole years."""
+    (o,) = read(spark, sf_dir, "orders")
+    y, m, k = F.year("o_orderdate").cast("string"), F.date_format("o_orderdate", "MMMM"), F.col("o_custkey") % 5
+    label = F.when(k == 0, y).when(k == 1, F.concat(F.lit("Fiscal year "), y)).when(k == 2, F.concat_ws("-", y, m)).when(k == 3, m).otherwise(F.concat(F.lit("Total "), y))
+    g = F.element_at(F.array(F.lit("monthly_all"), F.lit("annual"), F.lit("specific_month")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return o.select("o_orderkey", g.alias("g"), label.alias("label")).where(answers.fits_granularity(F.col("label"), F.col("g")))

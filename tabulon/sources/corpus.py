@@ -20,8 +20,14 @@ from tabulon.sources.ledger import Ledger
 SCHEMA = "document struct<elements: array<struct<type: string, id: string, content: string, bbox: array<struct<page_id: string>>>>, pages: array<struct<id: string, page_id: string, image_uri: string>>>"
 
 
-def scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, document of JSON files, one document each; files are read whole, in parallel."""
+def scan(spark: SparkSession, paths: str | list[str], first: int = 0) -> DataFrame:
+    """file, document of JSON files, one document each; files are read whole, in parallel. With first, only so many, the first by name: names
+    are listed before anything is read."""
+    if first:
+        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        found = [s.getPath() for p in ([paths] if isinstance(paths, str) else paths) for s in fs_path(p).getFileSystem(conf).globStatus(fs_path(p)) or []]
+        paths = [p.toString() for p in sorted(found, key=lambda p: p.getName())[:first]]
     return spark.read.schema(SCHEMA).option("multiLine", True).json(paths).select(F.col("_metadata.file_name").alias("file"), "document")
 
 
@@ -33,6 +39,12 @@ def elements(docs: DataFrame) -> DataFrame:
     return e.select("file", "element_seq", F.col("e.id").alias("element_id"), F.col("e.type").alias("kind"), F.coalesce("e.content", F.lit("")).alias("content"), page.alias("page_id"), period["year"].alias("file_year"), period["month"].alias("file_month"))
 
 
+def fetched(e: DataFrame, places: DataFrame) -> DataFrame:
+    """file, element_seq, html of tables at given places; empty where no table stands there."""
+    tables = e.where("kind = 'table'").select("file", "element_seq", F.col("content").alias("html"))
+    return places.select("file", "element_seq").distinct().join(tables, ["file", "element_seq"], "left").fillna("", ["html"])
+
+
 @dataclass(frozen=True)
 class Ingested(Ledger):
     prose: DataFrame
