@@ -313,10 +313,12 @@ class Repair:
         placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
         placed = self.scratch.write(placed, "sorted")
         part, inside = F.shiftright("at", PART_BITS), F.shiftright(F.col("at").bitwiseAND(F.lit((1 << PART_BITS) - 1)), PIECE_BITS)
-        most, parts = placed.agg(F.max(inside), F.max(part)).first()
-        width = (most or 0) + 1  # pieces of the largest partition
-        self.pieces = width * ((parts or 0) + 1)
-        return placed.withColumn("piece", part * width + inside)
+        # a row a partition, so as many as the shuffle has: pieces are numbered without holes, for each looks at the one before it
+        each = sorted(tuple(r) for r in placed.groupBy(part.alias("part")).agg((F.max(inside) + 1).alias("n")).collect())
+        starts = [(p, sum(n for _, n in each[:k])) for k, (p, _) in enumerate(each)]
+        self.pieces = sum(n for _, n in each)
+        first = self.spark.createDataFrame(starts, "part long, first long")
+        return placed.join(F.broadcast(first), part == F.col("part")).withColumn("piece", F.col("first") + inside).drop("part", "first")
 
     def _leaves(self) -> DataFrame:
         keys = ["conv", "piece", "at", "turn", "digest", "initial", "later", "copies", "blank", "truncated"]
