@@ -46,9 +46,46 @@ def token_sort(a: str, b: str) -> float:
     return indel_ratio(" ".join(sorted(a.lower().split())), " ".join(sorted(b.lower().split())))
 
 
+def partial(a: str, b: str) -> float:
+    """The best likeness of the shorter text to a stretch of the longer one: stretches of its own length, and shorter ones at both ends."""
+    short, long = sorted((a, b), key=len)
+    if not short:
+        return 100.0 if not long else 0.0
+    best = max(indel_ratio(short, x) for x in _stretches(short, long))
+    return max(best, *(indel_ratio(long, x) for x in _stretches(long, short))) if len(short) == len(long) else best
+
+
+def _stretches(short: str, long: str) -> list[str]:
+    """Those that begin or end with a character of the shorter text; no other can be best."""
+    m, n, own = len(short), len(long), set(short)
+    starts = [long[:i] for i in range(1, m) if long[i - 1] in own] + [long[i:] for i in range(n - m + 1, n) if long[i] in own]
+    return starts + [long[i : i + m] for i in range(n - m + 1) if long[i + m - 1] in own or long[i] in own] or [long[:m]]
+
+
+def partial_token(a: str, b: str) -> float:
+    """100 where a word is shared; else the best stretch of the words in order."""
+    x, y = a.lower().split(), b.lower().split()
+    if not x or not y:
+        return 0.0
+    return 100.0 if set(x) & set(y) else max(partial(" ".join(sorted(x)), " ".join(sorted(y))), partial(" ".join(sorted(set(x))), " ".join(sorted(set(y)))))
+
+
+#: Weights of likenesses that don't look at the order of words, and of those that look at a stretch of the longer text only, by
+#: how many times longer it is: fixed values of the published definition.
+UNORDERED, STRETCH, FAR_STRETCH = 0.95, 0.9, 0.6
+
+
 def weighted(a: str, b: str) -> float:
-    """The plain likeness, or that of words in any order at 95 %."""
-    return max(indel_ratio(a.lower(), b.lower()), 0.95 * token_sort(a, b), 0.95 * token_set(a, b))
+    """The greatest of several likenesses, each with its weight; texts that differ in length by half or more are compared by stretches."""
+    x, y = a.lower(), b.lower()
+    if not x or not y:
+        return 0.0
+    longer = max(len(x), len(y)) / min(len(x), len(y))
+    plain = indel_ratio(x, y)
+    if longer < 1.5:
+        return max(plain, UNORDERED * max(token_sort(a, b), token_set(a, b)))
+    scale = STRETCH if longer <= 8 else FAR_STRETCH
+    return max(plain, scale * partial(x, y), UNORDERED * scale * partial_token(a, b))
 
 
 _VOWEL = "aeiou"

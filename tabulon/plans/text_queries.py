@@ -255,10 +255,10 @@ def html_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fuzzy_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part types most like a hint, by words in any order. Distinct labels are scored, not rows."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_type").distinct()
-    hint = F.lit("polished tin small")
-    scored = p.select("p_type", fuzzy.token_set_ratio("p_type", hint).alias("token_set"), fuzzy.weighted_ratio("p_type", hint).alias("weighted"), fuzzy.sequence_ratio("p_type", hint).alias("sequence"))
+    """Labels most like a hint, by words in any order and by several likenesses. Distinct labels are scored, not rows."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("label")).distinct()
+    hint = F.lit("promo ring small")
+    scored = p.select("label", fuzzy.token_set_ratio("label", hint).alias("token_set"), fuzzy.weighted_ratio("label", hint).alias("weighted"), fuzzy.sequence_ratio("label", hint).alias("sequence"))
     return scored.where("token_set >= 60")
 
 
