@@ -30,7 +30,7 @@ _EPS = 1e-9
 
 @pandas_udf(T.LongType())
 def _aligned(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([fuzzy.lcs_length(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
+    return pd.Series([fuzzy.lcs_length(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
 def _joined(words: Column) -> Column:
@@ -104,12 +104,10 @@ def alike(hints: DataFrame, labels: DataFrame, least: float = 60.0) -> DataFrame
     """(hint, label, likeness): all pairs with a token-set ratio of least or more, which must be above 0."""
     ship(hints.sparkSession)
     pairs = bounded(hints, labels, least)
-    open_ = undecided(pairs)
-    settled = pairs.where(~open_).withColumn("likeness", F.col("known"))
-    space = F.when(F.col("head") > 0, F.col("head") + 1).otherwise(0)
-    third = 200.0 * (space + _aligned("left", "right")) / (F.col("n") + F.col("m"))
-    looked = pairs.where(open_).withColumn("third", third).withColumn("likeness", F.greatest("known", "third")).drop("third")
-    return settled.unionByName(looked).where(F.col("likeness") >= least - _EPS).select("hint", "label", "likeness")
+    third = F.when(F.col("open"), 200.0 * (F.when(F.col("head") > 0, F.col("head") + 1).otherwise(0) + F.col("aligned")) / (F.col("n") + F.col("m")))
+    asked = pairs.withColumn("open", undecided(pairs)).withColumn("aligned", _aligned(*(F.when(F.col("open"), F.col(c)) for c in ("left", "right"))))
+    out = asked.withColumn("likeness", F.greatest("known", third))
+    return out.where(F.col("likeness") >= least - _EPS).select("hint", "label", "likeness")
 
 
 def nearest(hints: DataFrame, labels: DataFrame, most: int = 100, least: float = 60.0) -> DataFrame:

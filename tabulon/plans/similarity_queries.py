@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.operators import similarity
+from tabulon.operators import bottom_up, similarity
 from tabulon.plans.registry import query
+from tabulon.sources.ledger import LEDGER_SQL as L
+from tabulon.sources.ledger import demo_ledger, read
 
 
 def hints_and_slugs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -48,3 +50,36 @@ def hint_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hint_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five slugs most like each hint, of those by 65 or more."""
     return similarity.nearest(*hints_and_slugs(spark, sf_dir), 5, 65.0).withColumn("likeness", F.round("likeness", 6))
+
+
+_UP_REQUESTS = """r AS (SELECT item_id AS q, CASE item_id % 5 WHEN 0 THEN array_to_string(list_reverse(string_split(n, ' ')), ' ') WHEN 1 THEN left(n, len(n) - 1) WHEN 2 THEN 'orders ' || n WHEN 3 THEN 'qqq' ELSE ' ' END AS hint,
+    CASE item_id % 4 WHEN 0 THEN 'segment' WHEN 1 THEN 'payroll' WHEN 2 THEN n || ' 7' END AS topic, CASE WHEN item_id % 7 = 6 THEN CAST([] AS INTEGER[]) WHEN item_id % 2 = 0 THEN [1992 + item_id % 7] ELSE [1993 + item_id % 7, 1994 + item_id % 7] END AS years
+  FROM (SELECT item_id, lower(r_name) AS n FROM benchmark JOIN region ON r_regionkey = item_id % 5)),
+  pr AS (SELECT q, 0 AS stage, trim(hint) AS hint, 60.0 AS least FROM r UNION SELECT q, 1, topic, 55.0 FROM r WHERE topic IS NOT NULL UNION SELECT q, 2, unnest(string_split(topic, ' ')), 55.0 FROM r
+    UNION SELECT q, 2, unnest(list_transform(range(1, len(string_split(topic, ' '))), lambda i: string_split(topic, ' ')[i] || ' ' || string_split(topic, ' ')[i + 1])), 55.0 FROM r),
+  hints AS (SELECT DISTINCT hint FROM pr WHERE hint <> ''), labels AS (SELECT DISTINCT metric_slug AS label FROM rws)"""
+
+
+@query(
+    L
+    + f""", {_UP_REQUESTS}, {_PAIRS},
+  n0 AS (SELECT q, stage, label, max(likeness) AS likeness FROM pr JOIN alike USING (hint) WHERE likeness >= least - 1e-9 GROUP BY ALL),
+  near AS (SELECT q, rws.table_id, rws.id AS row_id, likeness, years, topic FROM (SELECT * FROM n0 QUALIFY stage = min(stage) OVER (PARTITION BY q)) JOIN rws ON metric_slug = label JOIN r USING (q)),
+  words AS (SELECT id AS table_id, unnest(string_split(lower(title), ' ')) AS w FROM tables UNION SELECT table_id, unnest(regexp_split_to_array(lower(row_path), '[^a-z0-9]+')) FROM rws UNION SELECT table_id, unnest(regexp_split_to_array(lower(col_path), '[^a-z0-9]+')) FROM cols),
+  own AS (SELECT near.*, NOT EXISTS (SELECT 1 FROM (SELECT unnest(string_split(topic, ' ')) AS t) WHERE t NOT IN (SELECT w FROM words x WHERE x.table_id = near.table_id)) AND topic IS NOT NULL AS told FROM near WHERE len(years) = 0 OR table_id IN (SELECT table_id FROM cols WHERE list_contains(years, year_extracted))),
+  hits AS (SELECT * FROM own QUALIFY told OR NOT bool_or(told) OVER (PARTITION BY q)),
+  g AS (SELECT q, h.table_id AS id, max(likeness) AS likeness, count(*) AS n_cells FROM hits h JOIN cells x ON x.table_id = h.table_id AND x.row_id = h.row_id JOIN cols c ON c.id = x.col_id WHERE x.numeric_value IS NOT NULL AND (len(years) = 0 OR list_contains(years, year_extracted)) GROUP BY ALL),
+  top AS (SELECT g.*, title, file_year, file_month FROM g JOIN tables USING (id) QUALIFY row_number() OVER (PARTITION BY q, signature ORDER BY file_year DESC, file_month DESC, id DESC) = 1)
+  SELECT q, id, title, n_cells, round(likeness, 6) AS likeness, row_number() OVER (PARTITION BY q ORDER BY file_year DESC, file_month DESC, id DESC) AS place FROM top QUALIFY place <= 20"""
+)
+def bottom_up_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request an item: hints in another order, cut short, with a word too many, unknown or blank; topics that tables have or not."""
+    items, region = read(spark, sf_dir, "benchmark", "region")
+    i, n = F.col("item_id"), F.lower("r_name")
+    short = F.left(n, F.length(n) - 1)
+    hint = F.when(i % 5 == 0, F.array_join(F.reverse(F.split(n, " ")), " ")).when(i % 5 == 1, short).when(i % 5 == 2, F.concat(F.lit("orders "), n)).when(i % 5 == 3, "qqq").otherwise(" ")
+    topic = F.when(i % 4 == 0, "segment").when(i % 4 == 1, "payroll").when(i % 4 == 2, F.concat(n, F.lit(" 7")))
+    y = (1992 + i % 7).cast("int")
+    years = F.when(i % 7 == 6, F.array().cast("array<int>")).when(i % 2 == 0, F.array(y)).otherwise(F.array(y + 1, y + 2))
+    asked = items.join(region, F.col("r_regionkey") == i % 5).select(i.alias("q"), hint.alias("hint"), topic.alias("topic"), years.alias("years"))
+    return bottom_up.retrieve(demo_ledger(spark, sf_dir), asked).select("q", "id", "title", "n_cells", F.round("likeness", 6).alias("likeness"), "place")
