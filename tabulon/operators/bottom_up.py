@@ -31,7 +31,7 @@ def probes(r: DataFrame) -> DataFrame:
 
 def slugs(ledger: Ledger, r: DataFrame) -> DataFrame:
     """q, metric_slug, likeness: row slugs of the first stage that finds any."""
-    asked = probes(r)
+    asked = written(probes(r))
     labels = ledger.rows.where("is_section_header = 0 and trim(metric_slug) <> ''").select(F.col("metric_slug").alias("label")).distinct()
     least, most = (f(x[i] for x in (HINT, TOPIC, WORD, PAIR)) for i, f in ((0, min), (1, max)))
     near = similarity.nearest(asked.select("hint"), labels, most, least)
@@ -60,7 +60,7 @@ def retrieve(ledger: Ledger, requests: DataFrame, most: int = 20) -> DataFrame:
 
     Tables have a row or column of a year asked for, or a column path that names one. Where tables with all words of the topic are
     among a request's, the others go."""
-    r = requests.select("q", "hint", "topic", F.coalesce("years", F.array().cast("array<int>")).alias("years"))
+    r = written(requests.select("q", "hint", "topic", F.coalesce("years", F.array().cast("array<int>")).alias("years")))
     rows = ledger.rows.where("is_section_header = 0").select("table_id", F.col("id").alias("row_id"), "metric_slug", F.col("year_extracted").alias("row_year"))
     near = written(slugs(ledger, r).join(rows, "metric_slug").select("q", "table_id", "row_id", "likeness"))
     asked = r.select("q", F.explode("years").alias("year")).distinct()
@@ -72,14 +72,15 @@ def retrieve(ledger: Ledger, requests: DataFrame, most: int = 20) -> DataFrame:
     ids = near.select("q", "table_id").distinct()
     in_years = ids.join(asked, "q").join(columns, ["table_id", "year"]).select("q", "table_id", "col_id").distinct()
     any_year = ids.join(free, "q").join(ledger.columns.select("table_id", F.col("id").alias("col_id")), "table_id").select("q", "table_id", "col_id")
-    at = in_years.union(any_year)
+    at = written(in_years.union(any_year))  # steps that later ones read several times
     dated = ledger.rows.where("year_extracted is not null").select("table_id", F.col("year_extracted").alias("year")).distinct()
     own = at.select("q", "table_id").union(ids.join(asked, "q").join(dated, ["table_id", "year"]).select("q", "table_id")).union(ids.join(free, "q").select("q", "table_id")).distinct()
 
-    pool = near.join(own, ["q", "table_id"], "left_semi")
+    pool = written(near.join(own, ["q", "table_id"], "left_semi"))
     told = _told(ledger, r.where(F.coalesce("topic", F.lit("")) != ""), pool).withColumn("told", F.lit(True))
+    told = written(told)
     some = told.select("q").distinct().withColumn("narrow", F.lit(True))
-    hits = pool.join(told, ["q", "table_id"], "left").join(some, "q", "left").where("narrow is null or told")
+    hits = written(pool.join(told, ["q", "table_id"], "left").join(some, "q", "left").where("narrow is null or told"))
     numbers = ledger.cells.where("numeric_value is not null").select("table_id", "row_id", "col_id")
     cells = hits.select("q", "table_id", "row_id").join(numbers, ["table_id", "row_id"]).join(at, ["q", "table_id", "col_id"], "left_semi").groupBy("q", "table_id").agg(F.count("*").alias("n_cells"))
     score = hits.groupBy("q", "table_id").agg(F.max("likeness").alias("likeness")).join(cells, ["q", "table_id"])

@@ -24,6 +24,7 @@ from pyspark.sql.functions import pandas_udf
 
 from tabulon.operators import fuzzy
 from tabulon.session import ship
+from tabulon.sources.shared import written
 
 _EPS = 1e-9
 
@@ -73,7 +74,7 @@ def _rare_chars(df: DataFrame, name: str, often: DataFrame) -> DataFrame:
 def candidates(hints: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     """(hint, label) that may reach the ratio, with what the bounds need."""
     share = least / (200.0 - least)  # of either text, that is shared at least
-    h, v = _texts(hints, "hint", share), _texts(labels, "label", share)
+    h, v = written(_texts(hints, "hint", share)), written(_texts(labels, "label", share))  # each is read in several steps
     words, chars = _often(v, "words"), _often(v, "chars")
     posted = lambda df, name: df.select(name, F.explode("words").alias("g"))
     arms = _rare_words(h, "hint", words, share).join(posted(v, "label"), "g").select("hint", "label")
