@@ -13,7 +13,7 @@ of a candidate is the inner product over its own components, and a candidate's s
 Queries are rows whose id is divisible by ``every``; they are packed into blocks of ``QUERY_ROWS`` and meet blocks of
 ``BLOCK_ROWS`` candidates, so a task holds one pair of blocks at a time, whatever the sizes. Each pair of blocks
 gives at most k rows a query. Query blocks are copied to as many lanes as a shuffle has partitions: the work is each query
-against each row by contract, and a lane holds one pair of blocks at a time.
+against each row by contract, and a lane holds one pair of blocks at a time. The copies are shuffled, never broadcast.
 
 Components become floor(256 * x). Sums are exact: in doubles where they can't pass 2**53, in 64-bit integers
 otherwise; components beyond 2**31 in size are refused with an error, for a score may not fit a long.
@@ -145,7 +145,9 @@ def top_k(vectors: DataFrame, k: int, every: int, id_col: str = "vec_id", vector
 
     def met(q: DataFrame) -> DataFrame:
         named = q.select("q_block", *(F.col(c).alias(f"q_{c}") for c in ("n", "dim", "ids", "data")), *(["cutoffs"] if "cutoffs" in q.columns else []))
-        return laid.join(named.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))), "lane").drop("lane")
+        # sizes are guessed from the files, which hold one lane of the copies: a broadcast would bring all of them to the driver
+        copies = named.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+        return laid.join(copies.hint("merge"), "lane").drop("lane")
 
     out = "query_id long, vec_id long, score long"
     heads = met(queries).mapInArrow(_pairs(1, k), out)
@@ -167,7 +169,7 @@ def top_k(vectors: DataFrame, k: int, every: int, id_col: str = "vec_id", vector
             packed = [np.array([x["cutoff"] for x in c], "<i8").tobytes() for c in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["q_block", "cutoffs"])
 
-    known = queries.join(packed.mapInArrow(cut_bytes, "q_block long, cutoffs binary"), "q_block")
+    known = queries.join(packed.mapInArrow(cut_bytes, "q_block long, cutoffs binary").hint("merge"), "q_block")
     found = met(known).mapInArrow(_pairs(2, k), out)
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

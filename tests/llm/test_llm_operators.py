@@ -415,6 +415,13 @@ def test_topk(spark, monkeypatch):
     assert sorted(tuple(r) for r in topk.top_k(df, 5, 50).collect()) == sorted(expected)
 
 
+def test_topk_copies_no_query_to_the_driver(spark):
+    """Copies of the query blocks for all lanes are shuffled: their size isn't known when the join is planned."""
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(200)], "vec_id long, embedding array<double>")
+    plan = topk.top_k(df, 5, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [lane" not in plan and "SortMergeJoin [lane" in plan
+
+
 def test_bpe(docs, rows, tokenizers):
     import base64
 
