@@ -219,8 +219,10 @@ def period_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT k AS l_orderkey, coalesce(abs(want - said) > greatest(abs(want) * 0.01, 0.01), false) AS fails FROM c"""
 )
 def submission_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order's quantities submitted with their sum, in a third of the cases with 100 more, as the result of an operation."""
-    pairs = F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("double").alias("q"))))
+    """Each order's quantities submitted with their sum, in a third of the cases with 100 more, as the result of an operation. Lines of
+    one number stay in the table's order."""
+    place = F.struct("l_linenumber", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col("l_quantity").cast("double").alias("q"))
+    pairs = F.array_sort(F.collect_list(place))
     v = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(pairs, lambda p: p["q"]).alias("x"))
     said = F.aggregate("x", F.lit(0.0), lambda a, b: a + b) + F.when(F.col("l_orderkey") % 3 == 0, 100.0).otherwise(0.0)
     return v.select("l_orderkey", answers.submission_fails(said.cast("string"), F.col("x"), _pick(F.col("l_orderkey") % 4, "sum", "mean", "percent_change", "other")).alias("fails"))

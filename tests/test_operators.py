@@ -156,3 +156,12 @@ def test_numbers_of_sections():
     large = ["1,234 r", "r/ 1,234", "12%", "+50", "(1,234)", "$ 55.5", "1,234 1/", "10", "-10.", "1,234.5 p 2/", "$(12)"]
     assert all(map(sections._large, large))
     assert not any(map(sections._large, ["9.99", "9 r", "", "-", "nan", "...", "1940-Jan.", "12 34", "a 12", "12 x", ".5", "1/"]))
+
+
+def test_lines_of_one_number_stay_in_the_tables_order(spark, tmp_path):
+    """47 then 27 is a change of -43 %, which isn't the sum; 27 then 47 is 74 %, which is nearly the sum of 74."""
+    from tabulon.plans import catalog
+
+    rows = [(2, 3, 47.0), (2, 3, 27.0), (10, 3, 27.0), (10, 3, 47.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r["l_orderkey"]: r["fails"] for r in catalog.QUERIES["submission_checks"](spark, str(tmp_path)).collect()} == {2: True, 10: False}
