@@ -49,8 +49,11 @@ def numbers_in(text: Column) -> Column:
     return F.transform(placed, told)
 
 
-def is_year(value: Column) -> Column:
-    return value.between(FIRST_YEAR, LAST_YEAR) & (value == F.floor(value))
+def values_in(text: Column) -> Column:
+    """array<struct<value, year>>: the values of a text's numbers alone, and whether one is written as a year, which 2000.00 isn't."""
+    found = F.regexp_extract_all(without_commas(F.coalesce(text, F.lit(""))), F.lit(NUMBER), F.lit(0))
+    value = lambda x: F.rtrim(x, F.lit("%")).cast("double")
+    return F.transform(found, lambda x: F.struct(value(x).alias("value"), (value(x).between(FIRST_YEAR, LAST_YEAR) & ~x.rlike(r"\.\d")).alias("year")))
 
 
 def words_of(text: Column) -> Column:
@@ -71,11 +74,11 @@ def matches(truth: Column, answer: Column, tolerance: Column) -> Column:
     """Whether an answer gives the truth: all of its numbers within a relative tolerance and its words; without numbers on either side,
     its text. Years among the answer's numbers don't count unless the truth has years, or, where it is one number, words. Null where either is
     null or empty."""
-    t, a = F.transform(numbers_in(truth), lambda x: x["value"]), F.transform(numbers_in(answer), lambda x: x["value"])
-    years_count = F.when(F.size(t) > 1, F.exists(t, is_year)).otherwise(F.coalesce(is_year(F.get(t, F.lit(0))), F.lit(False)) | (words_of(truth) != ""))
-    given = F.filter(a, lambda x: years_count | ~is_year(x))
+    t, a = values_in(truth), values_in(answer)
+    years_count = F.exists(t, lambda x: x["year"]) | ((F.size(t) <= 1) & (words_of(truth) != ""))
+    given = F.filter(a, lambda x: years_count | ~x["year"])
     near = lambda x, y: F.when(x == 0, y == 0).otherwise(F.abs(x - y) <= tolerance * F.abs(x))
-    every = F.forall(t, lambda x: F.exists(given, lambda y: near(x, y))) & overlaps(truth, answer)
+    every = F.forall(t, lambda x: F.exists(given, lambda y: near(x["value"], y["value"]))) & overlaps(truth, answer)
     plain = lambda c: F.trim(F.regexp_replace(F.trim(F.trim(F.lower(F.trim(c)), F.lit('"')), F.lit("'")), r"\([^)]*\)", ""))
     text = F.contains(plain(answer), plain(truth))
     empty = (F.coalesce(truth, F.lit("")) == "") | (F.coalesce(answer, F.lit("")) == "")

@@ -138,3 +138,11 @@ def test_answer_matches_in_the_jvm(spark, truth, answer, right):
     from tabulon.functions import contexts
 
     assert spark.createDataFrame([(truth, answer)], "t string, a string").select(contexts.matches(F.col("t"), F.col("a"), F.lit(0.0))).first()[0] is right
+
+
+@pytest.mark.parametrize(("truth", "answer", "right"), [("2000.00", "In 1995 it was 2,400.00", False), ("1995.00", "1995", False), ("1995.00", "1,995.00", True), ("1995", "It was 1995.", True)])
+def test_prices_are_no_years(spark, truth, answer, right):
+    """A price such as 2000.00 doesn't make the years of an answer count."""
+    from tabulon.functions import contexts
+
+    assert spark.createDataFrame([(truth, answer)], "t string, a string").select(contexts.matches(F.col("t"), F.col("a"), F.lit(0.01))).first()[0] is right
