@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabulon.operators import channels, grid, layers, sections, tools
 from tabulon.plans.registry import query
 from tabulon.sources.ledger import LEDGER_SQL, demo_ledger, read
-from tabulon.sources.shared import stored
+from tabulon.sources.shared import spread, stored
 
 L = LEDGER_SQL
 #: The tables that hold a word in their title, rows or columns.
@@ -125,7 +125,8 @@ def text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey AS id, p_name AS row_label, '1940 > ' || c AS \"column\", CAST(p_size * m AS VARCHAR) AS value, CAST(p_size * m AS DOUBLE) AS numeric_value FROM part, (VALUES ('Net', 1), ('Gross', 3)) v(c, m)")
 def flat_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(F.lit("<table><tr><th>Item</th><th colspan=2>1940</th><th></th></tr><tr><th></th><th>Net</th><th>Gross</th><th></th></tr><tr><td>"), "p_name", F.lit(" . . ....</td><td>"), F.col("p_size").cast("string"), F.lit("</td><td>"), (F.col("p_size") * 3).cast("string"), F.lit("</td><td></td></tr></table>"))
-    g = grid.html_grid(spark, read(spark, sf_dir, "part")[0].select("p_partkey", html.alias("html")), "p_partkey", "html")
+    pages = spread(read(spark, sf_dir, "part")[0], "p_partkey").select("p_partkey", html.alias("html"))
+    g = stored(spark, ("flat grid", sf_dir), lambda: {"grid": (grid.html_grid(spark, pages, "p_partkey", "html"), [])})["grid"]  # read three times
     return sections.flat_entries(g).select("id", "row_label", "column", "value", "numeric_value")
 
 
@@ -141,6 +142,6 @@ def year_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.when(k % 3 == 0, rows("3")).otherwise(rows("nan"))
     names = F.when(k % 5 > 0, "<th>Bonds 2/</th><th>Bills</th>").otherwise("<th>Notes</th><th>Bills</th>")
     html = F.concat(F.lit("<table><tr><th>Period</th><th>Bonds 1/</th><th>Bills</th>"), names, F.lit("</tr>"), F.when(k % 2 == 1, rows("3")).otherwise(""), last, F.lit("</table>"))
-    pages = read(spark, sf_dir, "part")[0].select("p_partkey", (F.lit(1950) + F.col("p_size")).cast("int").alias("file_year"), html.alias("html"))
+    pages = spread(read(spark, sf_dir, "part")[0], "p_partkey").select("p_partkey", (F.lit(1950) + F.col("p_size")).cast("int").alias("file_year"), html.alias("html"))
     g = stored(spark, ("year group grid", sf_dir), lambda: {"grid": (grid.html_grid(spark, pages, "p_partkey", "html"), [])})["grid"]  # read five times
     return sections.year_groups(g, pages.select(F.col("p_partkey").alias("id"), "file_year"))
