@@ -11,7 +11,7 @@ from tabulon.operators import channels, grid, layers, render
 from tabulon.plans.registry import query
 from tabulon.sources import corpus, incremental
 from tabulon.sources.ledger import read
-from tabulon.sources.shared import folder, stored, written
+from tabulon.sources.shared import folder, spread, stored, written
 
 _QUARTERS = ("Mar.", "June", "Sept.", "Dec.")
 
@@ -114,7 +114,7 @@ def row_major_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def wide_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of six to nine columns; from eight on a line for each column."""
-    p = read(spark, sf_dir, "part")[0]
+    p = spread(read(spark, sf_dir, "part")[0], "p_partkey")
     w = F.col("p_partkey") % 4 + 5
     months = F.slice(F.lit(["January", "February", "March", "April", "May", "June", "July", "August", "September"]), F.lit(1), w.cast("int"))
     values = F.transform(F.sequence(F.lit(1), w.cast("int")), lambda i: (F.col("p_size") + i).cast("string"))
