@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabulon.functions import answers, labels, numbers
 from tabulon.operators import context, evaluation, search, series, stats
 from tabulon.plans.registry import query
+from tabulon.sources.shared import spread
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +74,7 @@ def month_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def titled_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month columns whose years only the title tells, for two titles of three."""
-    p = _read(spark, sf_dir, "part")
+    p = spread(_read(spark, sf_dir, "part"), "p_partkey")  # by table, before its columns are made
     year = F.lit(1900) + F.col("p_size")
     title = F.when(F.col("p_partkey") % 3 == 0, "Receipts by month").otherwise(F.format_string("Receipts, January %d to Mar. %d", year, year + 1))
     columns = p.select(F.col("p_partkey").alias("table_id"), F.explode(F.sequence(F.lit(1), F.lit(15))).alias("col_index")).select("table_id", "col_index", F.lit(None).cast("int").alias("year"), ((F.col("col_index") - 1) % 12 + 1).cast("int").alias("month"))

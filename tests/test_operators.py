@@ -165,3 +165,38 @@ def test_lines_of_one_number_stay_in_the_tables_order(spark, tmp_path):
     rows = [(2, 3, 47.0), (2, 3, 27.0), (10, 3, 27.0), (10, 3, 47.0)]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {r["l_orderkey"]: r["fails"] for r in catalog.QUERIES["submission_checks"](spark, str(tmp_path)).collect()} == {2: True, 10: False}
+
+
+def test_plain_markup_reads_as_parsed(monkeypatch):
+    """Plain tags go past the parser; the grids are the same, with spans that overlap, clash and never close."""
+    import random
+    import re
+
+    rng = random.Random(7)
+    parts = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "<td rowspan=2>", "<td colspan='3'>", '<th colspan="2">', "<td colspan='2\">", "<td colspan=0>", "a", " b  c ", "<b>", "</b>", "x > y", "&amp;"]
+    texts = ["<table>" + "".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(3000)]
+    fast = [list(grid.grids(t)) for t in texts]
+    assert any(grid._PLAIN.fullmatch(t) for t in texts)
+    monkeypatch.setattr(grid, "_PLAIN", re.compile(r"(?!)"))
+    assert fast == [list(grid.grids(t)) for t in texts]
+
+
+@pytest.mark.parametrize("name", ["flat_entries", "year_groups", "wide_texts"])
+def test_parts_are_dealt_out_before_they_are_parsed(spark, sf, tmp_path, monkeypatch, name):
+    """A small file is read by one task; its tables are parsed by as many as a shuffle has."""
+    from tabulon.plans import catalog
+
+    seen = []
+    whole = grid.html_grid
+    monkeypatch.setattr(grid, "html_grid", lambda spark, pages, *names: seen.append(pages.rdd.getNumPartitions()) or whole(spark, pages, *names))
+    spark.read.parquet(f"{sf}/part.parquet").limit(20).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert catalog.QUERIES[name](spark, str(tmp_path)).count() > 0
+    assert seen == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+
+
+def test_columns_are_made_where_their_table_is(spark, sf):
+    """titled_months shuffles tables, not the columns that it makes of them."""
+    from tabulon.plans import catalog
+
+    plan = catalog.QUERIES["titled_months"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(table_id" not in plan
