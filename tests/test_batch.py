@@ -120,3 +120,16 @@ def test_stored_follows_its_inputs(spark, tmp_path):
     assert count() == 5
     with pytest.raises(Exception, match="none"):
         shared.stored(spark, ("test", str(tmp_path / "none")), dict)
+
+
+def test_postings_are_shuffled_once(spark):
+    """Terms are counted in their document's row, with its length beside."""
+    from pyspark.sql import functions as F
+
+    from tabulon.operators import index
+
+    docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "runs running a")], "id long, text string")
+    plain, stemmed = (index.make(docs, "id", ["text"], stem)["postings"][0] for stem in (False, True))
+    assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in plain.select("id", "term", "tf", "n_tokens").collect()) == [(1, "a", 1, 3), (1, "b", 2, 3), (4, "a", 1, 3), (4, "running", 1, 3), (4, "runs", 1, 3)]
+    assert [r["tf"] for r in stemmed.where(F.col("term") == "run").collect()] == [2]
