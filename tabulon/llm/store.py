@@ -33,16 +33,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.llm.pretokens import BatchEncoder
 from tabulon.llm.tokens import trimmed
 from tabulon.llm.util import Scratch, block_of, blocks_for, range_bounds, release, running_start, small_batches, table
-from tabulon.llm.words import TextEncoder
 
 WINDOW, LOW_BITS, MOST = 16, 9, 8192
-GPT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_characters() -> dict[int, str]:
@@ -54,30 +54,53 @@ def byte_characters() -> dict[int, str]:
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """texts -> their packed ids, by the library's BPE model for each distinct pre-token. A text that holds an added
-    token's string goes through the library whole."""
+    """texts -> (all their ids, where each text's begin and the last one's end), by the library's BPE model for each
+    distinct pre-token. A text that holds an added token's string goes through the library whole."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
-    model, letters = tokenizer.model, byte_characters()
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    listed = Tokenizer(tokenizer.model)  # of pre-tokens in a row, written as byte characters, which hold no space
+    listed.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    letters = np.array([ord(c) for _, c in sorted(byte_characters().items())], "<u4")
+    n_bytes = np.zeros(tokenizer.get_vocab_size(), np.int64)
+    for token, i in tokenizer.get_vocab().items():
+        n_bytes[i] = len(token)
+
+    def pieces(words: list[bytes]) -> list[bytes]:
+        out: list[bytes] = []
+        for k in range(0, len(words), 1000):
+            some = words[k : k + 1000]
+            sizes = np.cumsum([len(w) for w in some])
+            # a space, which no byte is written as, stands between two words
+            spelled = np.insert(letters[np.frombuffer(b"".join(some), np.uint8)], sizes[:-1], 32).tobytes().decode("utf-32-le")
+            ids = np.array(listed.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
+            covered = np.cumsum(n_bytes[ids])
+            if not len(ids) or covered[-1] != sizes[-1]:
+                raise ValueError("the vocabulary lacks a byte")
+            ends = np.searchsorted(covered, sizes) + 1
+            packed, at = ids.tobytes(), 0
+            for e in (4 * ends).tolist():
+                out.append(packed[at:e])
+                at = e
+        return out
 
-    packed = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
-    space = letters[32]
-
-    def piece(word: str) -> bytes:
-        # of printable ASCII only the space is written otherwise
-        plain = word.isascii() and word.isprintable()
-        spelled = word.replace(" ", space) if plain else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters)
-        return b"".join([packed[t.id] for t in model.tokenize(spelled)])
-
-    fast = TextEncoder(piece, GPT_PATTERN, 400_000, 12 << 20)
-
-    def encode(texts: list[str]) -> list[bytes]:
-        whole = [any(a in t for a in added) for t in texts]
-        out = fast.batch(["" if w else t for t, w in zip(texts, whole, strict=True)])
-        return [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else o for t, w, o in zip(texts, whole, out, strict=True)]
+    fast = BatchEncoder(pieces, 400_000)
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        whole = np.zeros(len(texts), bool)
+        for a in added:
+            whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return fast(texts)
+        ids, bounds = fast(pc.if_else(pa.array(whole), "", texts))
+        own = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts.filter(pa.array(whole)).to_pylist()]
+        each = np.zeros(len(texts), np.int64)
+        each[whole] = [len(o) for o in own]
+        ids = np.insert(ids, np.repeat(bounds[:-1], each), np.concatenate([np.array(o, "<u4") for o in own]))
+        return ids, bounds + np.append(0, np.cumsum(each))
 
     return encode
 
@@ -85,22 +108,33 @@ def encoder(path: str):
 _GEAR = np.random.default_rng(20).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
 
-def cut_points(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one id stream."""
-    n = len(ids)
-    if n <= WINDOW:
-        return np.array([n] if n else [], np.int64)
-    h = _GEAR[ids & 0xFFFF] ^ (ids >> 16).astype(np.uint64)
-    for k in (1, 2, 4, 8):  # after these h[i] holds ids i - 15 to i, each shifted by its distance
-        h[k:] = h[k:] + (h[:-k] << np.uint64(k))
-    cuts = np.flatnonzero((h[WINDOW - 1 : -1] >> np.uint64(64 - LOW_BITS)) == 0) + WINDOW
-    ends = np.append(cuts, n)
+def all_cut_points(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Ends of the chunks of id streams that lie one after another; bounds: where each begins and the last ends."""
+    cuts, step = [], 1 << 16
+    for a in range(0, len(ids), step):  # so many ids stay in the processor's cache
+        some = ids[max(a - WINDOW + 1, 0) : a + step]
+        h = _GEAR[some & 0xFFFF] ^ (some >> 16).astype(np.uint64)
+        for k in (1, 2, 4, 8):  # after these h[i] holds ids i - 15 to i, each shifted by its distance
+            h[k:] = h[k:] + (h[:-k] << np.uint64(k))
+        at = np.flatnonzero(h >> np.uint64(64 - LOW_BITS) == 0) + max(a - WINDOW + 1, 0)
+        cuts.append(at[at >= a] + 1)
+    cuts = np.concatenate([np.empty(0, np.int64), *cuts])
+    cuts = cuts[cuts < len(ids)]
+    # the window lies in the stream
+    cuts = cuts[cuts - bounds[np.searchsorted(bounds, cuts, "right") - 1] >= WINDOW]
+    ends = np.union1d(cuts, bounds[1:][np.diff(bounds) > 0])
     gaps = np.diff(ends, prepend=0)
-    if gaps.max() > MOST:
-        ends = np.unique(np.concatenate([ends, *(np.arange(e - g + MOST, e, MOST) for e, g in zip(ends, gaps, strict=True) if g > MOST)]))
+    long = gaps > MOST
+    if long.any():
+        ends = np.union1d(ends, np.concatenate([np.arange(e - g + MOST, e, MOST) for e, g in zip(ends[long], gaps[long], strict=True)]))
     return ends
 
 
+def cut_points(ids: np.ndarray) -> np.ndarray:
+    """Ends of the chunks of one id stream."""
+    return all_cut_points(ids, np.array([0, len(ids)]))
+
+
 def merkle(keys: list[bytes]) -> bytes:
     """Root of a binary Merkle tree; an odd node moves up unchanged; no keys: the hash of nothing."""
     if not keys:
@@ -122,26 +156,33 @@ def _objects(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for b in batches:
-            rows: list[tuple] = []
-            seen: set[bytes] = set()
-            for doc_id, packed in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                packed += end_id.to_bytes(4, "little")
-                ids = np.frombuffer(packed, "<u4")
-                ends = cut_points(ids)
-                keys, at = [], 0
-                for e in ends.tolist():
-                    keys.append(key := hashlib.sha256(packed[4 * at : 4 * e]).digest())
-                    if key not in seen:
-                        seen.add(key)
-                        part = ids[at:e]
-                        width = 2 if part.max() < 1 << 16 else 4
-                        rows.append(("chunk", key, None, e - at, width, part.astype(f"<u{width}").tobytes(), None, None))
-                    at = e
-                listed = b"".join(keys)
-                rows.append(("recipe", recipe_key(doc_id, listed), doc_id, len(ids), 0, listed, np.diff(ends, prepend=0).astype("<u4").tobytes(), merkle(keys)))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-            kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "key", "doc_id", "n", "width", "data", "lengths", "root"])
+            ids, bounds = encode(b.column(1))
+            ids, bounds = np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
+            ends = all_cut_points(ids, bounds)
+            begins = np.append(0, ends)[:-1]
+            sizes = ends - begins
+            wide, narrow = memoryview(ids.tobytes()), memoryview(ids.astype("<u2").tobytes())
+            keys = [hashlib.sha256(wide[4 * i : 4 * j]).digest() for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
+            first = sorted({key: k for k, key in reversed(list(enumerate(keys)))}.values())
+            widths = np.where(np.maximum.reduceat(ids, begins) < 1 << 16, 2, 4)[first].tolist() if first else []
+            data = [bytes((narrow if w == 2 else wide)[w * i : w * j]) for w, i, j in zip(widths, begins[first].tolist(), ends[first].tolist(), strict=True)]
+            listed, lengths = b"".join(keys), sizes.astype("<u4").tobytes()
+            of = np.searchsorted(ends, bounds, "right").tolist()
+            spans = list(zip(of[:-1], of[1:], strict=True))
+            lists = [listed[32 * i : 32 * j] for i, j in spans]
+            doc_ids, none = b.column(0).to_pylist(), [None]
+            chunks, recipes = len(first), len(spans)
+            cols = (
+                (pa.string(), ["chunk"] * chunks + ["recipe"] * recipes),
+                (pa.binary(), [keys[k] for k in first] + [recipe_key(d, own) for d, own in zip(doc_ids, lists, strict=True)]),
+                (pa.int64(), none * chunks + doc_ids),
+                (pa.int64(), np.append(sizes[first], np.diff(bounds)) if first else np.diff(bounds)),
+                (pa.int32(), widths + [0] * recipes),
+                (pa.binary(), data + lists),
+                (pa.binary(), none * chunks + [lengths[4 * i : 4 * j] for i, j in spans]),
+                (pa.binary(), none * chunks + [merkle(keys[i:j]) for i, j in spans]),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for k, c in cols], names=["kind", "key", "doc_id", "n", "width", "data", "lengths", "root"])
 
     return run
 
@@ -182,7 +223,7 @@ def write_store(docs: DataFrame, path: str, end_id: int, scratch: Scratch) -> No
     """Encodes all documents and writes the three tables of the format to the scratch folder."""
     spark = docs.sparkSession
     objects = _objects(path, end_id)
-    small_batches(spark, 4096, 8)  # words of many texts are numbered together
+    small_batches(spark, 4096, 8)  # pre-tokens of many texts are numbered together
     made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda batches: trimmed(objects(batches)), ROWS)
     once = made.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in ("doc_id", "n", "width", "data", "lengths", "root")), F.count("*").alias("copies"))
     once.write.partitionBy("kind").option("compression", "zstd").parquet(scratch.path("objects"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import re
 
-from tabulon.llm import bpe, fingerprints, jaccard, katz, licenses, mixing, quality, store, suffixes, topk
+from tabulon.llm import bpe, fingerprints, jaccard, katz, licenses, mixing, pretokens, quality, store, suffixes, topk
 from tabulon.llm.util import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, block int"
@@ -283,6 +283,57 @@ def test_store_rows_repeat_when_a_task_is_run_again(tokenizers):
     assert made[0] == made[1]
 
 
+def test_store_encodes_odd_texts_as_the_library(tokenizers):
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("byte_bpe_50k.json")
+    library, encode, rng = Tokenizer.from_file(path), store.encoder(path), random.Random(4)
+    bits = ["'", "'s", "'ll", "'v", "'l", "S", " ", "  ", "\n", "\r\n", "\u0085", "\u00a0", "\u2003", "\u200b", "a", "é", "日", "😀", "1", "²", "٣", "!", "...", "\u0301", "the", "<|endoftext|>", "\x00", "\x1c", "x" * 70, "re", "m"]
+    for kind, most in ((pa.string(), 6), (pa.large_string(), 40), (pa.string(), 1)):
+        texts = [None, "", *("".join(rng.choice(bits) for _ in range(rng.randint(0, most))) for _ in range(1500))]
+        ids, bounds = encode(pa.array(["left out", *texts], kind).slice(1))
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    ids, bounds = encode(pa.array([], pa.string()))
+    assert not len(ids) and bounds.tolist() == [0]
+    broken = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, 2], "<i4")), pa.py_buffer(b"a\xe6")])
+    with pytest.raises(pa.ArrowInvalid, match="UTF8"):
+        encode(broken)
+
+
+def test_store_asks_for_distinct_words_of_a_batch_at_once():
+    """A call a word took most of the time of op4."""
+    asked = []
+
+    def pieces(keys):
+        asked.append(sorted(keys))
+        return [np.frombuffer(k, np.uint8).astype("<u4").tobytes() for k in keys]
+
+    encode = pretokens.BatchEncoder(pieces, 2)
+    texts = ["one two, one", " two\none's", "y" * 65]
+    ids, bounds = encode(pa.array(texts))
+    assert [bytes(ids[a:b].tolist()) for a, b in zip(bounds, bounds[1:])] == [t.encode() for t in texts]
+    assert asked == [sorted([b"one", b" two", b",", b" one", b"\n", b"'s", b"y" * 65])]
+    for text in ("one one", " three", "y" * 65, " three one"):  # words come back from the older generation, long ones aren't kept
+        assert bytes(encode(pa.array([text]))[0].tolist()) == text.encode()
+    assert asked[1:] == [[], [b" three"], [b"y" * 65], []]
+
+
+def test_cut_points_of_many_streams(monkeypatch):
+    monkeypatch.setattr(store, "MOST", 700)
+    rng = np.random.default_rng(2)
+    sizes = [1, 15, 16, 17, 70_000, 1, 0, 2000, 140_000]
+    streams = [rng.integers(0, 90_000, n).astype("<u4") for n in sizes] + [np.full(2000, 7, "<u4")]
+    bounds = np.cumsum([0, *map(len, streams)])
+    want = [store.cut_points(s) + at for s, at in zip(streams, bounds)]
+    ends = store.all_cut_points(np.concatenate(streams), bounds)
+    assert ends.tolist() == np.concatenate(want).tolist() and np.diff(ends, prepend=0).max() == 700
+    for s, own, at in zip(streams, want, bounds):  # by the definition, id by id
+        mixed = [int(store._GEAR[i & 0xFFFF]) ^ (i >> 16) for i in s.tolist()]
+        cuts = [e for e in range(16, min(len(s), 3000)) if sum(m << k for k, m in enumerate(mixed[e - 16 : e][::-1])) % 2**64 >> 55 == 0]
+        assert {e + at for e in cuts} <= set(own.tolist())
+
+
 def test_cut_points_and_crc():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50_000, 60_000).astype("<u4")
